@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.clock import local_to_utc
 from ..operators import consensus, fixing, pit
-from .views import load, present, sql, v_bars, v_cot, v_macro, v_quotes, v_settles, v_ticks
+from .views import load, present, sql, v_bars, v_cot, v_macro, v_quotes, v_settles, v_ticks, view
 
 EXACT3 = dims.Policy("umbrella_exact", "fail_closed", 3, "NORMAL")
 WIDE3 = dims.widen(EXACT3)
@@ -171,6 +171,7 @@ P14_SQL = sql(
 )
 
 
+@view(stored=True)
 def v_venue_bars(spark, sf):
     """Five-minute venue bars whose times fall into the London fixing hour, over a whole year."""
     t = v_ticks(spark, sf)
@@ -316,6 +317,7 @@ P13_SQL = sql(
 )
 
 
+@view(stored=True)
 def _events(spark, sf):
     names = F.array(*[F.lit(s[0]) for s in dims.SERIES])
     o = load(spark, sf, "orders").select(

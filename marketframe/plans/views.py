@@ -9,11 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import PRICE, iso_utc
+from ..session import cut_lineage
 
 # Source, tier, how far its calendar is shifted (decides gaps and deviations).
 SOURCES = [("src_a", 2, 0), ("src_b", 3, 1), ("src_c", 4, 2), ("src_d", 6, 3)]
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def view(stored: bool):
+    """Build a view once per application and folder.
+
+    A stored view is written to the shared work folder first: several queries and several branches
+    of one query then read a table instead of deriving it again.
+    """
+
+    def wrap(fn):
+        def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
+            if key not in _KEPT:
+                df = fn(spark, sf_dir)
+                _KEPT[key] = cut_lineage(df, fn.__name__) if stored else df
+            return _KEPT[key]
+
+        get.__name__, get.__doc__ = fn.__name__, fn.__doc__
+        return get
+
+    return wrap
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -51,6 +76,7 @@ _EVENT_CONTRACT_SQL = (
 )
 
 
+@view(stored=False)
 def v_ticks(spark, sf):
     return load(spark, sf, "events").select(
         _event_contract().alias("contract"), "ts", "event_id", "user_id",
@@ -71,10 +97,12 @@ def bars_of(ticks: DataFrame, unit: str = "hour") -> DataFrame:
     )
 
 
+@view(stored=True)
 def v_bars(spark, sf):
     return bars_of(v_ticks(spark, sf))
 
 
+@view(stored=True)
 def v_quotes(spark, sf):
     hr = (F.unix_timestamp("ts") / 3600).cast("long")
     q = v_bars(spark, sf).select("*", _sources().alias("s")).select("*", "s.*").drop("s")
@@ -95,6 +123,7 @@ def v_quotes(spark, sf):
 _ROOT = "CASE l_suppkey % 4 WHEN 0 THEN 'ES' WHEN 1 THEN 'CL' WHEN 2 THEN 'GC' ELSE 'ZN' END"
 
 
+@view(stored=True)
 def v_base(spark, sf):
     return (
         load(spark, sf, "lineitem")
@@ -106,6 +135,7 @@ def v_base(spark, sf):
     )
 
 
+@view(stored=True)
 def v_roll(spark, sf):
     """A quarterly chain per root: third-Friday expiry, roll target a week before."""
     dim = spark.sql(
@@ -127,6 +157,7 @@ def v_roll(spark, sf):
     )
 
 
+@view(stored=True)
 def v_contract_bars(spark, sf):
     b, r = v_base(spark, sf), v_roll(spark, sf)
     months = (F.year("ltd") - F.year("d")) * 12 + F.month("ltd") - F.month("d")
@@ -144,6 +175,7 @@ def v_contract_bars(spark, sf):
     )
 
 
+@view(stored=True)
 def v_settles(spark, sf):
     s = v_contract_bars(spark, sf).select("*", _sources().alias("s")).select("*", "s.*").drop("s")
     day = F.datediff("d", F.lit("1970-01-01").cast("date"))
@@ -163,6 +195,7 @@ def v_settles(spark, sf):
     )
 
 
+@view(stored=True)
 def v_ret(spark, sf):
     return (
         load(spark, sf, "lineitem")
@@ -171,6 +204,7 @@ def v_ret(spark, sf):
     )
 
 
+@view(stored=True)
 def v_ret_m(spark, sf):
     return (
         v_ret(spark, sf)
@@ -179,6 +213,7 @@ def v_ret_m(spark, sf):
     )
 
 
+@view(stored=True)
 def v_panel(spark, sf):
     """The dense monthly matrix: position ``i`` counts months from the first one."""
     m = v_ret_m(spark, sf)
@@ -189,14 +224,15 @@ def v_panel(spark, sf):
     )
 
 
+@view(stored=True)
 def v_equity(spark, sf):
-    """Curves of 100,000 plus summed returns; strategy 20 copies strategy 0 and is ruined once."""
+    """Curves of 100,000 plus 10,000 per unit of summed return; strategy 20 copies strategy 0 and is ruined once."""
     from ..operators.ordered import segmented
 
     r = v_ret(spark, sf)
     run = segmented(r, ["strategy_id"], ["d"], F.year("d"),
                     {"c": ("sum", F.col("r").cast("decimal(18,10)")), "rn": ("row_number", None)})
-    e = run.select("strategy_id", "d", (F.lit(100000.0) + F.lit(100000.0) * F.col("c").cast("double")).alias("equity"), "rn")
+    e = run.select("strategy_id", "d", (F.lit(100000.0) + F.lit(10000.0) * F.col("c").cast("double")).alias("equity"), "rn")
     ruin = e.filter("strategy_id = 0").select(
         F.lit(20).cast("long").alias("strategy_id"), "d",
         F.when(F.col("rn") == 500, F.col("equity") - 200000.0).otherwise(F.col("equity")).alias("equity"), "rn")
@@ -206,6 +242,7 @@ def v_equity(spark, sf):
 _FILL_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
+@view(stored=True)
 def v_fills(spark, sf):
     """One fill per line; ``fill_key`` is a total order within an account and root."""
     li = load(spark, sf, "lineitem")
@@ -218,6 +255,7 @@ def v_fills(spark, sf):
     )
 
 
+@view(stored=True)
 def v_orders(spark, sf):
     t = v_ticks(spark, sf).filter(F.col("event_id") % 20 == 0)
     kind = F.when(F.col("event_id") % 3 == 0, "MKT").when(F.col("event_id") % 3 == 1, "LMT").otherwise("STP")
@@ -231,6 +269,7 @@ def v_orders(spark, sf):
     )
 
 
+@view(stored=True)
 def v_cot(spark, sf):
     o = load(spark, sf, "orders").select(
         (F.col("o_custkey") % 6).alias("code"),
@@ -242,6 +281,7 @@ def v_cot(spark, sf):
     ).withColumn("code", F.concat(F.lit("M"), F.col("code").cast("string")))
 
 
+@view(stored=True)
 def v_macro(spark, sf):
     lag = F.when(F.col("o_orderstatus") == "F", 30).when(F.col("o_orderstatus") == "O", 60).otherwise(90)
     return (
@@ -290,7 +330,7 @@ SQL: dict[str, str] = {
     "v_ret_m": """SELECT strategy_id, CAST(date_trunc('month', d) AS DATE) AS m,
         CAST(sum(CAST(r AS DECIMAL(18,10))) AS DOUBLE) / count(*) AS r FROM v_ret GROUP BY 1, 2""",
     "v_panel": """SELECT strategy_id, CAST(date_diff('month', (SELECT min(m) FROM v_ret_m), m) AS BIGINT) AS i, r FROM v_ret_m""",
-    "v_equity": """WITH e AS (SELECT strategy_id, d, 100000e0 + 100000e0 * CAST(sum(CAST(r AS DECIMAL(18,10))) OVER w AS DOUBLE) AS equity,
+    "v_equity": """WITH e AS (SELECT strategy_id, d, 100000e0 + 10000e0 * CAST(sum(CAST(r AS DECIMAL(18,10))) OVER w AS DOUBLE) AS equity,
           row_number() OVER w AS rn FROM v_ret WINDOW w AS (PARTITION BY strategy_id ORDER BY d))
         SELECT strategy_id, d, equity FROM e UNION ALL
         SELECT 20, d, CASE WHEN rn = 500 THEN equity - 200000e0 ELSE equity END FROM e WHERE strategy_id = 0""",
