@@ -74,28 +74,28 @@ def affine_running(df: DataFrame, keys: list[str], position: str, a: str, b: str
     takes whatever is left.
     """
     keys = list(keys)
-    top = levels <= 1
+    top, ck_name = levels <= 1, f"__chunk{levels}"
     ck = F.lit(0) if top else F.floor((F.col(position) - 1) / chunk)
-    d = df.withColumn("__ck", ck.cast("long"))
-    w = Window.partitionBy(*keys, "__ck").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn(ck_name, ck.cast("long"))
+    w = Window.partitionBy(*keys, ck_name).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__z", F.sum((F.col(a) == 0).cast("int")).over(w))
-    wz = Window.partitionBy(*keys, "__ck", "__z").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    wz = Window.partitionBy(*keys, ck_name, "__z").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     log_a = F.when(F.col(a) == 0, F.lit(0.0)).otherwise(F.log(F.when(F.col(a) > 0, F.col(a)).otherwise(F.lit(1.0))))
     d = d.withColumn("__p", F.exp(F.sum(log_a).over(wz)))
     d = d.withColumn("__local", F.col("__p") * F.sum(F.col(b) / F.col("__p")).over(wz))
     scale = F.when(F.col("__z") > 0, F.lit(0.0)).otherwise(F.col("__p"))
     d = d.withColumn("__scale", scale)
-    step = Window.partitionBy(*keys, "__ck").orderBy(position)
+    step = Window.partitionBy(*keys, ck_name).orderBy(position)
     d = d.withColumn("__local_prev", F.coalesce(F.lag("__local").over(step), F.lit(0.0)))
     d = d.withColumn("__scale_prev", F.coalesce(F.lag("__scale").over(step), F.lit(1.0)))
     if top:
         return d.select(*df.columns, F.col("__local").alias(name), F.col("__local_prev").alias(f"{name}_prev"))
-    steps = d.groupBy(*keys, "__ck").agg(
+    steps = d.groupBy(*keys, ck_name).agg(
         F.max_by("__scale", position).alias("__a"), F.max_by("__local", position).alias("__b")
-    ).withColumn("__ckpos", F.col("__ck") + 1)
-    ends = affine_running(steps, keys, "__ckpos", "__a", "__b", "__end", levels - 1, chunk)
-    starts = ends.select(*keys, F.col("__ck"), F.col("__end_prev").alias("__start"))
-    out = d.join(starts, [*keys, "__ck"], "left")
+    ).withColumn("__pos", F.col(ck_name) + 1)
+    ends = affine_running(steps, keys, "__pos", "__a", "__b", "__end", levels - 1, chunk)
+    starts = ends.select(*keys, F.col(ck_name), F.col("__end_prev").alias("__start"))
+    out = d.join(starts, [*keys, ck_name], "left")
     start = F.coalesce("__start", F.lit(0.0))
     return out.select(
         *df.columns, (F.col("__local") + F.col("__scale") * start).alias(name),
@@ -121,7 +121,7 @@ def average_cost(fills: DataFrame, levels: int = 3) -> DataFrame:
     mult = F.col("multiplier").cast("double")
     realised = F.col("cash").cast("double") + _sign(F.col("net")) * F.col("cost") * mult
     reduces = (F.col("before") != 0) & ~grows
-    entry = F.col("cost_prev") / F.abs("before")
+    entry = F.when(reduces, F.col("cost_prev") / F.abs("before"))
     closed = F.least(F.abs("before"), F.abs("qty"))
     gain = F.when(reduces, (p - entry) * closed * _sign(F.col("before")) * mult).otherwise(F.lit(0.0))
     return f.withColumns({"avg_price": avg, "realised": realised, "gain": gain}).drop("__ma", "__mb", "cost", "cost_prev")
@@ -205,7 +205,7 @@ def stop_loss_flags(states: DataFrame, bars: DataFrame, pct: float) -> DataFrame
     best = F.struct("d", "fill_key", "net", "avg_price")
     got = best_so_far(points, states, KEYS, days(F.col("d")), days(F.col("d")), best, 31.0, "pos")
     avg, px = F.col("pos.avg_price"), F.col("close").cast("double")
-    adverse = F.when(F.col("pos.net") > 0, (avg - px) / avg).otherwise((px - avg) / avg)
+    adverse = F.when(F.col("pos.net") > 0, (avg - px) / avg).when(F.col("pos.net") < 0, (px - avg) / avg)
     return got.filter("pos.net <> 0").select(
         *KEYS, "d", F.col("pos.net").alias("net"), avg.alias("avg_price"), "close", adverse.alias("adverse")
     ).withColumn("stop", F.col("adverse") >= pct)

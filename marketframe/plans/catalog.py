@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quote_queries, trade_queries
+from . import quote_queries, resample_queries, stat_queries, trade_queries
 
-_MODULES = [quote_queries, trade_queries]
+_MODULES = [quote_queries, trade_queries, stat_queries, resample_queries]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: text for m in _MODULES for name, text in m.ORACLES.items()}

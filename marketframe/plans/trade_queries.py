@@ -208,13 +208,13 @@ def v_signals(spark, sf):
     s = r.withColumn("root", root).join(v_base(spark, sf).select("root", "d", "px"), ["root", "d"])
     return s.select(
         "strategy_id", "root", "d", F.greatest(F.col("r"), F.lit(0.0)).alias("edge"),
-        (F.greatest(F.col("r"), F.lit(0.0)) * 1000).alias("kelly"), (F.greatest(F.col("equity"), F.lit(1000.0)) * 100).alias("equity"), F.col("px").alias("price"),
+        (F.greatest(F.col("r"), F.lit(0.0)) * 1000).alias("kelly"), (F.greatest(F.col("equity"), F.lit(1000.0)) * 97.31).alias("equity"), F.col("px").alias("price"),
         F.when(F.col("r") > 0, 1).when(F.col("r") < 0, -1).otherwise(0).alias("direction"), "r",
         (F.dayofmonth("d") % 7).cast("long").alias("survival_contracts"),
     )
 
 
-VIEWS["v_signals"] = """SELECT strategy_id, s.root, s.d, greatest(r, 0e0) AS edge, greatest(r, 0e0) * 1000 AS kelly, greatest(equity, 1000e0) * 100 AS equity, b.px AS price,
+VIEWS["v_signals"] = """SELECT strategy_id, s.root, s.d, greatest(r, 0e0) AS edge, greatest(r, 0e0) * 1000 AS kelly, greatest(equity, 1000e0) * 97.31e0 AS equity, b.px AS price,
     CASE WHEN r > 0 THEN 1 WHEN r < 0 THEN -1 ELSE 0 END AS direction, r, day(s.d) % 7 AS survival_contracts FROM (
     SELECT r.*, e.equity, ['ES', 'CL', 'GC', 'ZN'][r.strategy_id % 4 + 1] AS root FROM v_ret r JOIN v_equity e ON e.strategy_id = r.strategy_id AND e.d = r.d) s
     JOIN v_base b ON b.root = s.root AND b.d = s.d"""
