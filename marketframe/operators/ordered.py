@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 _SEG = "__seg"
 
@@ -74,10 +75,16 @@ def segmented(
     carried = per_segment.select(*keys, _SEG, *carry)
 
     out = base.withColumns(local).join(carried, [*keys, _SEG])
+    types = {f.name: f.dataType for f in out.schema.fields}
     final = {}
     for name, (kind, _) in scans.items():
         mine, prior = F.col(name), F.col(f"__c_{name}")
         if kind == "sum":
+            t = types[name]
+            if isinstance(t, DecimalType):
+                # one digit of headroom, so that adding does not shorten the scale
+                t = DecimalType(min(t.precision, 37), t.scale)
+                mine, prior = mine.cast(t), prior.cast(t)
             final[name] = F.when(prior.isNull(), mine).when(mine.isNull(), prior).otherwise(mine + prior)
         elif kind == "row_number":
             final[name] = mine + F.coalesce(prior, F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,26 +103,27 @@ def _variance_term(sr: Column, skew: Column, kurt: Column) -> Column:
     return 1.0 - skew * sr + (kurt - 1.0) / 4.0 * sr * sr
 
 
-def psr_probability(sr: Column, benchmark: Column, n: Column, skew: Column, kurt: Column) -> Column:
-    """Probability that the true Sharpe exceeds a per-period benchmark."""
+def psr_score(sr: Column, benchmark: Column, n: Column, skew: Column, kurt: Column) -> Column:
+    """Normal score of the event that the true Sharpe exceeds a per-period benchmark."""
     var = _variance_term(sr, skew, kurt)
-    z = (sr - benchmark) * F.sqrt((n - 1).cast("double")) / F.sqrt(F.when(var > 0, var))
-    return normal_cdf(z)
+    return (sr - benchmark) * F.sqrt((n - 1).cast("double")) / F.sqrt(F.when(var > 0, var))
 
 
 def probabilistic_sharpe(moments: DataFrame, periods_per_year: float, threshold: Column | float = 0.0) -> DataFrame:
     """Add ``psr``, annual Sharpe, pass flag and the reason when undefined. ``threshold`` is annual."""
     ppy = float(periods_per_year)
     t = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
-    psr = psr_probability(F.col("sr"), t / ppy**0.5, F.col("n"), F.col("skew"), F.col("kurt"))
     enough = F.col("n") >= MIN_RELIABLE
-    psr = F.when(enough, psr)
+    # the score gets a column of its own: the rational functions name their argument many times
+    moments = moments.withColumn("__z", psr_score(F.col("sr"), t / ppy**0.5, F.col("n"), F.col("skew"), F.col("kurt")))
+    moments = moments.withColumn("psr", F.when(enough, normal_cdf(F.col("__z")))).drop("__z")
+    psr = F.col("psr")
     reason = (
         F.when(F.col("sr").isNull(), "no variance").when(~enough, "too few observations")
         .when(_variance_term(F.col("sr"), F.col("skew"), F.col("kurt")) <= 0, "variance term not positive")
     )
     return moments.withColumns({
-        "sr_annual": F.col("sr") * ppy**0.5, "psr": psr, "passes": F.coalesce(psr > PASS_LEVEL, F.lit(False)), "reason": reason,
+        "sr_annual": F.col("sr") * ppy**0.5, "passes": F.coalesce(psr > PASS_LEVEL, F.lit(False)), "reason": reason,
     })
 
 
@@ -129,17 +131,19 @@ def min_track_record(moments: DataFrame, benchmark: float = 0.0, alpha: float =
     """Observations needed before the Sharpe beats a per-period benchmark with confidence."""
     sr = F.col("sr")
     var = _variance_term(sr, F.col("skew"), F.col("kurt"))
-    z = normal_ppf(F.lit(1.0 - alpha))
+    z = F.lit(NormalDist().inv_cdf(1.0 - alpha))
     edge = F.when((sr > benchmark) & (var > 0), sr - benchmark)
     return moments.withColumn("min_length", 1.0 + var * F.pow(z / edge, 2))
 
 
-def expected_max_sharpe(n: Column, variance: Column) -> Column:
+def expected_max_sharpe(families: DataFrame, n: str, variance: str, out: str) -> DataFrame:
     """Expected best Sharpe of n trials without skill; 0 for one trial or no variance."""
-    nn = F.when(n >= 2, n.cast("double"))
-    first = (1.0 - EULER_GAMMA) * normal_ppf(1.0 - 1.0 / nn)
-    second = EULER_GAMMA * normal_ppf(1.0 - 1.0 / (nn * F.exp(F.lit(1.0))))
-    return F.when((n < 2) | (variance <= 0), F.lit(0.0)).otherwise(F.sqrt(variance) * (first + second))
+    nn = F.when(F.col(n) >= 2, F.col(n).cast("double"))
+    f = families.withColumns({"__p1": 1.0 - 1.0 / nn, "__p2": 1.0 - 1.0 / (nn * F.exp(F.lit(1.0)))})
+    f = f.withColumns({"__q1": normal_ppf(F.col("__p1")), "__q2": normal_ppf(F.col("__p2"))})
+    best = F.sqrt(variance) * ((1.0 - EULER_GAMMA) * F.col("__q1") + EULER_GAMMA * F.col("__q2"))
+    none = (F.col(n) < 2) | F.coalesce(F.col(variance) <= 0, F.lit(True))
+    return f.withColumn(out, F.when(none, F.lit(0.0)).otherwise(best)).drop("__p1", "__p2", "__q1", "__q2")
 
 
 def deflated_sharpe(moments: DataFrame, trials: DataFrame, family: Sequence[str], periods_per_year: float) -> DataFrame:
@@ -147,8 +151,9 @@ def deflated_sharpe(moments: DataFrame, trials: DataFrame, family: Sequence[str]
     t = F.col("sr_trial")
     finite = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
     fam = trials.filter(finite).groupBy(*family).agg(F.count(F.lit(1)).alias("n_trials"), F.var_samp(t).alias("trial_var"))
+    fam = expected_max_sharpe(fam, "n_trials", "trial_var", "sr_star")
     m = moments.join(fam, list(family), "left").withColumn("n_trials", F.coalesce("n_trials", F.lit(0)))
-    m = m.withColumn("sr_star", F.when(F.col("n_trials") >= 2, expected_max_sharpe(F.col("n_trials"), F.col("trial_var"))))
+    m = m.withColumn("sr_star", F.when(F.col("n_trials") >= 2, F.col("sr_star")))
     out = probabilistic_sharpe(m, periods_per_year, F.col("sr_star"))
     return out.withColumnRenamed("psr", "dsr").withColumn(
         "reason", F.when(F.col("n_trials") < 2, "too few trials").otherwise(F.col("reason"))

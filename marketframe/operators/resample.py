@@ -9,6 +9,7 @@ and statistics that are sums need only how often each position was drawn.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,16 +258,18 @@ def bca_interval(panel: DataFrame, statistic: str = "profit_factor", draws: int
     half = 0.5 / F.col("m")
     share = F.least(F.greatest((F.col("less") + 0.5 * F.col("same")) / F.col("m"), half), 1.0 - half)
     usable = (F.col("odd") == 0) & (F.col("d2") > 0)
-    g = g.withColumns({"z0": normal_ppf(share), "accel": F.when(usable, F.col("d3") / (6.0 * F.pow(F.when(usable, F.col("d2")), F.lit(1.5)))).otherwise(0.0)})
+    g = g.withColumn("__share", share)
+    g = g.withColumns({"z0": normal_ppf(F.col("__share")), "accel": F.when(usable, F.col("d3") / (6.0 * F.pow(F.when(usable, F.col("d2")), F.lit(1.5)))).otherwise(0.0)})
 
     def adjusted(p: float) -> Column:
-        z = F.col("z0") + normal_ppf(F.lit(p))
+        z = F.col("z0") + NormalDist().inv_cdf(p)
         den = 1.0 - F.col("accel") * z
         den = F.when(F.abs(den) < 1e-12, F.when(den < 0, -1e-12).otherwise(1e-12)).otherwise(den)
-        return normal_cdf(F.col("z0") + z / den)
+        return F.col("z0") + z / den
 
     alpha = 1.0 - confidence
-    g = g.withColumns({"__pl": adjusted(alpha / 2), "__pu": adjusted(1 - alpha / 2)})
+    g = g.withColumns({"__zl": adjusted(alpha / 2), "__zu": adjusted(1 - alpha / 2)})
+    g = g.withColumns({"__pl": normal_cdf(F.col("__zl")), "__pu": normal_cdf(F.col("__zu"))})
     ranked = value_ranks(theta, KEYS, "theta").join(g.select(*KEYS, "__pl", "__pu"), KEYS)
     q = quantiles(ranked, KEYS, "theta", {"lower": F.col("__pl"), "upper": F.col("__pu")})
     reason = F.when(~_finite(F.col("point")), "point is not finite").when(F.col("m") < draws // 2, "too many undefined draws")

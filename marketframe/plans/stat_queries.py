@@ -45,7 +45,7 @@ W4_SQL = sql(
 
 
 def w5(spark, sf):
-    return present(perf.drawdowns(_alive(spark, sf)).select("strategy_id", "d", (F.col("drawdown") + 1e-10).alias("drawdown")))
+    return present(perf.drawdowns(_alive(spark, sf)).select("strategy_id", "d", "drawdown"))
 
 
 def w9(spark, sf):
@@ -409,7 +409,7 @@ ORACLES = {
     "A19_profit_factor": sql("""WITH g AS (SELECT strategy_id, sum(r) FILTER (r > 0) AS g, -sum(r) FILTER (r < 0) AS l FROM v_ret GROUP BY 1)
         SELECT strategy_id, round(g, 6) AS gains, round(l, 6) AS losses, round(g / l, 6) AS profit_factor FROM g"""),
     "A21_decay_verdict": A21_SQL, "A22_lag_one": A22_SQL, "A23_family_bridge": A23_SQL, "W4_ruin_latch": W4_SQL,
-    "W5_drawdown": sql("""SELECT strategy_id, d::VARCHAR AS d, round((p - equity) / p + 1e-10, 6) AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY d) AS p FROM v_equity WHERE strategy_id < 20)"""),
+    "W5_drawdown": sql("""SELECT strategy_id, d::VARCHAR AS d, round((p - equity) / p, 6) AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY d) AS p FROM v_equity WHERE strategy_id < 20)"""),
     "W9_trailing_sharpe": W9_SQL, "P4_session_clock": P4_SQL, "P5_periods_per_year": P5_SQL, "P6_provenance_hash": P6_SQL,
     "P9_severity": sql("""SELECT CASE WHEN series = 'FOMC_STATEMENT' THEN 'CRITICAL' WHEN series IN ('CPI', 'NFP') THEN 'HIGH' WHEN series = 'JOBLESS_CLAIMS' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
         CASE WHEN series IN ('FOMC_STATEMENT', 'CPI', 'NFP') THEN 0.5e0 ELSE 1e0 END AS size_multiplier, count(*) AS n FROM v_events GROUP BY 1, 2""", EVENTS_SQL),
