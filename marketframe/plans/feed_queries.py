@@ -134,7 +134,7 @@ def v_pages(spark, sf):
     status = F.when(F.col("n") % 3 == 0, F.lit("<span class=\"status-value\">Final</span>")).when(F.col("n") % 3 == 1, F.lit("<p>Final</p>")).otherwise(F.lit("<p>Final or Preliminary</p>"))
     body = F.when(F.col("n") % 31 == 0, F.lit("<p>nothing here</p>")).when(F.col("n") % 37 == 0, F.lit("<p>Just a moment...</p>")).otherwise(table)
     page_id = F.col("n").cast("bigint") * 10 + F.instr(F.lit("ECGZ"), F.substring("root", 1, 1))
-    return rows.select(page_id.alias("page_id"), "root", F.col("d").alias("as_of_date"), F.timestampadd("HOUR", F.lit(23), F.col("d").cast("timestamp")).alias("as_of"),
+    return rows.select(page_id.alias("page_id"), "root", F.col("d").alias("as_of_date"), F.timestamp_add("HOUR", F.lit(23), F.col("d").cast("timestamp")).alias("as_of"),
                        F.concat(F.lit("<html><body>"), status, body, F.lit("</body></html>")).alias("html"))
 
 
@@ -169,7 +169,7 @@ def s7(spark, sf):
     row = F.concat(F.lit("["), F.concat_ws(", ", (F.unix_timestamp("ts") * 1000).cast("string"), *[F.col(c).cast("decimal(20,2)").cast("string") for c in ("open", "high", "low", "close")],
                                            F.concat(F.col("volume").cast("string"), F.lit(".75"))), F.lit("]"))
     d = b.withColumn("row", row).groupBy("contract", F.to_date("ts").alias("day")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ", "), F.lit("]")).alias("payload"))
-    at = lambda h: F.timestampadd("HOUR", F.lit(h), F.col("day").cast("timestamp"))
+    at = lambda h: F.timestamp_add("HOUR", F.lit(h), F.col("day").cast("timestamp"))
     d = d.select("contract", F.lit("kraken").alias("venue"), "payload", at(48).alias("as_of"), at(2).alias("starts"), at(20).alias("ends"))
     return present(feeds.venue_bars(d, "1h").select("contract", "ts", "open", "high", "low", "close", "volume", "sha"))
 
@@ -216,8 +216,8 @@ S9_SQL = """WITH e AS (SELECT event_id, event_id % 4 AS k, date_trunc('second',
 
 
 def s10(spark, sf):
-    b = _daily(spark, sf).withColumn("ts", F.timestampadd("HOUR", F.lit(22), "ts"))
-    as_of = F.timestampadd("HOUR", (F.lit(10) + F.dayofmonth("d") * 2).cast("int"), F.col("ts"))
+    b = _daily(spark, sf).withColumn("ts", F.timestamp_add("HOUR", F.lit(22), "ts"))
+    as_of = F.timestamp_add("HOUR", (F.lit(10) + F.dayofmonth("d") * 2).cast("int"), F.col("ts"))
     return present(feeds.settles_from_bars(b.withColumn("asof", as_of), F.col("asof")).select("contract", "as_of_date", "settle", "settle_state", "change", "volume_est"))
 
 
@@ -275,7 +275,7 @@ def s12(spark, sf):
     v = F.when(F.month("ref_date") % 2 == 0, F.lit(".")).otherwise(F.col("value").cast("decimal(20,2)").cast("string"))
     obs = lambda d, val: F.concat(F.lit('{"realtime_start":"'), F.date_add("known_at", 1).cast("string"), F.lit('","date":"'), d.cast("string"), F.lit('","value":"'), val, F.lit('"}'))
     doc = F.concat(F.lit('{"observations":['), obs(F.col("ref_date"), v), F.lit(","), obs(F.add_months("ref_date", -1), F.lit("10.5")), F.lit("]}"))
-    as_of = F.timestampadd("HOUR", F.lit(38), F.col("known_at").cast("timestamp"))
+    as_of = F.timestamp_add("HOUR", F.lit(38), F.col("known_at").cast("timestamp"))
     d = m.select("series", F.concat_ws("_", "series", F.col("ref_date").cast("string")).alias("event_id"), as_of.alias("as_of"), doc.alias("payload"))
     return present(feeds.vintage_values(d).select("series", "event_id", "ref_date", "known_at", "value"))
 
@@ -330,7 +330,7 @@ def s16(spark, sf):
     if key not in _ARCHIVES:
         path = work_dir(spark, "dates")
         d = load(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).filter("weekday(d) = 2 AND day(d) BETWEEN 15 AND 21").distinct()
-        d.groupBy(F.year("d").alias("y")).agg(F.to_json(F.array_sort(F.collect_list(F.col("d").cast("string")))).alias("value")).select("value").write.text(path)
+        d.groupBy(F.year("d").alias("y")).agg(F.to_json(F.array_sort(F.collect_list(F.col("d").cast("string")))).alias("value")).write.partitionBy("y").text(path)
         _ARCHIVES[key] = (path, [])
     days = feeds.static_dates(spark, _ARCHIVES[key][0], "FOMC_STATEMENT")
     o = load(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("release_date")).agg(F.count(F.lit(1)).alias("orders"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,13 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _observed(o: Observation) -> int | None:
+    try:
+        return o.get["n"]
+    except Py4JJavaError:
+        return None
+
+
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last by the given order."""
     rest = [c for c in df.columns if c not in key]
@@ -63,7 +71,11 @@ def append_new(df: DataFrame, path: str, key: Sequence[str], parts: Sequence[str
     new = new_rows(submitted, stored(spark, path), key, parts).hint("rebalance", *parts)
     new = new.sortWithinPartitions(*parts, *sort).observe(fresh, F.count(F.lit(1)).alias("n"))
     new.write.mode("append").partitionBy(*parts).parquet(path)
-    return WriteResult(fresh.get["n"], seen.get["n"] - fresh.get["n"])
+    written, total = _observed(fresh), _observed(seen)
+    if written is None or total is None:
+        # nothing was new: AQE cut the plan down to an empty one and its counters with it
+        written, total = 0, df.count()
+    return WriteResult(written, total - written)
 
 
 def with_bar_parts(bars: DataFrame) -> DataFrame:
