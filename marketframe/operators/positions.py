@@ -67,33 +67,38 @@ def affine_running(df: DataFrame, keys: list[str], position: str, a: str, b: str
 
     Adds ``name`` (after the row) and ``name_prev`` (before it).
 
-    Rows are cut into chunks by position. Inside a chunk the recurrence unrolls into running sums:
-    after the last row with a = 0, x is P times the sum of b / P, where P is the running product of a.
-    Each chunk is itself one such step, so the chunk starts come from the same function one level up;
-    ``levels`` chunk sizes multiply to the longest key handled in parallel pieces, and the top level
-    takes whatever is left.
+    Rows are cut into chunks by position. Inside a chunk the recurrence unrolls into running sums: with
+    P the running product of the non-zero a, x is P times the sum of b / P since the last row with
+    a = 0. Each chunk is itself one such step, so the chunk starts come from the same function one
+    level up, on a table ``chunk`` times smaller; the top level takes whatever is left. All windows
+    of a level share one partitioning and order, hence one shuffle and one sort.
     """
     keys = list(keys)
     top, ck_name = levels <= 1, f"__chunk{levels}"
     ck = F.lit(0) if top else F.floor((F.col(position) - 1) / chunk)
     d = df.withColumn(ck_name, ck.cast("long"))
-    w = Window.partitionBy(*keys, ck_name).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__z", F.sum((F.col(a) == 0).cast("int")).over(w))
-    wz = Window.partitionBy(*keys, ck_name, "__z").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    log_a = F.when(F.col(a) == 0, F.lit(0.0)).otherwise(F.log(F.when(F.col(a) > 0, F.col(a)).otherwise(F.lit(1.0))))
-    d = d.withColumn("__p", F.exp(F.sum(log_a).over(wz)))
-    d = d.withColumn("__local", F.col("__p") * F.sum(F.col(b) / F.col("__p")).over(wz))
-    scale = F.when(F.col("__z") > 0, F.lit(0.0)).otherwise(F.col("__p"))
-    d = d.withColumn("__scale", scale)
     step = Window.partitionBy(*keys, ck_name).orderBy(position)
-    d = d.withColumn("__local_prev", F.coalesce(F.lag("__local").over(step), F.lit(0.0)))
-    d = d.withColumn("__scale_prev", F.coalesce(F.lag("__scale").over(step), F.lit(1.0)))
+    w = step.rowsBetween(Window.unboundedPreceding, 0)
+    reset = F.col(a) == 0
+    log_a = F.when(reset, F.lit(0.0)).otherwise(F.log(F.when(F.col(a) > 0, F.col(a)).otherwise(F.lit(1.0))))
+    d = d.withColumns({"__s": F.sum(log_a).over(w), "__z": F.max(reset).over(w)})
+    d = d.withColumn("__u", F.col(b) * F.exp(-F.col("__s")))
+    d = d.withColumn("__t", F.sum("__u").over(w))
+    d = d.withColumn("__base", F.last(F.when(reset, F.col("__t") - F.col("__u")), ignorenulls=True).over(w))
+    d = d.withColumns({
+        "__local": F.exp("__s") * (F.col("__t") - F.coalesce("__base", F.lit(0.0))),
+        "__scale": F.when(F.col("__z"), F.lit(0.0)).otherwise(F.exp("__s")),
+    })
+    d = d.withColumns({
+        "__local_prev": F.coalesce(F.lag("__local").over(step), F.lit(0.0)),
+        "__scale_prev": F.coalesce(F.lag("__scale").over(step), F.lit(1.0)),
+    })
     if top:
         return d.select(*df.columns, F.col("__local").alias(name), F.col("__local_prev").alias(f"{name}_prev"))
     steps = d.groupBy(*keys, ck_name).agg(
         F.max_by("__scale", position).alias("__a"), F.max_by("__local", position).alias("__b")
     ).withColumn("__pos", F.col(ck_name) + 1)
-    ends = affine_running(steps, keys, "__pos", "__a", "__b", "__end", levels - 1, chunk)
+    ends = affine_running(cut_lineage(steps, "steps"), keys, "__pos", "__a", "__b", "__end", levels - 1, chunk)
     starts = ends.select(*keys, F.col(ck_name), F.col("__end_prev").alias("__start"))
     out = d.join(starts, [*keys, ck_name], "left")
     start = F.coalesce("__start", F.lit(0.0))
@@ -169,7 +174,8 @@ def loss_limit_flags(fills: DataFrame, daily_loss: float, trailing_loss: float,
     Reducing fills always pass. The first breach halts everything after it that increases exposure.
     Works on the equity known before the fill: start plus realised profit of the whole account.
     """
-    f = cut_lineage(average_cost(fills, levels), "cost")
+    f = average_cost(fills, levels).select(*KEYS, "d", "fill_key", "qty", "net", "before", "gain")
+    f = cut_lineage(f, "cost")
     order, seg = ["d", "fill_key"], month_of(F.col("d"))
     f = segmented(f, ["account"], order, seg, {"__total": ("sum", F.col("gain").cast("decimal(28,6)"))})
     f = cut_lineage(f, "total")
@@ -178,21 +184,23 @@ def loss_limit_flags(fills: DataFrame, daily_loss: float, trailing_loss: float,
     over = F.abs("net") > max_contracts
     checked = F.col("increases") & ~over
     f = segmented(f, ["account"], order, seg, {"__peak": ("max", F.when(checked, F.col("realised_before")))})
-    f = cut_lineage(f, "peak")
     peak = F.greatest(F.coalesce("__peak", F.lit(0.0)), F.lit(0.0))
     f = f.withColumn("drawdown", peak - F.col("realised_before"))
     breach = checked & ((F.col("realised_before") <= -daily_loss) | (F.col("drawdown") >= trailing_loss))
-    f = segmented(f, ["account"], order, seg, {"__hits": ("sum", breach.cast("long"))})
+    # the latch needs only the place of each account's first breach
+    f = cut_lineage(f.withColumn("breach", breach), "breach")
+    first = f.filter("breach").groupBy("account").agg(F.min(F.struct("d", "fill_key")).alias("__first"))
+    f = f.join(first, "account", "left")
     verdict = (
         F.when(~F.col("increases"), "reduce")
-        .when((F.col("__hits") - breach.cast("long")) > 0, "halted")
+        .when(F.col("__first") < F.struct("d", "fill_key"), "halted")
         .when(over, "max_contracts")
-        .when(breach & (F.col("realised_before") <= -daily_loss), "loss_limit")
-        .when(breach, "trailing_limit")
+        .when(F.col("breach") & (F.col("realised_before") <= -daily_loss), "loss_limit")
+        .when(F.col("breach"), "trailing_limit")
         .otherwise("allowed")
     )
     return f.withColumn("verdict", verdict).withColumn("equity_before", F.lit(start) + F.col("realised_before")).drop(
-        "__total", "__peak", "__hits"
+        "__total", "__peak", "__first"
     )
 
 
