@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import ROOTS, root_table
+from ..dims import ROOTS
 from ..functions import contracts as sym
 
 # First year with a June holiday, and the first day of round-the-clock crypto trading.
@@ -120,10 +120,11 @@ def roll_calendar(years: DataFrame, cal: DataFrame) -> DataFrame:
     Last trade and first notice follow the root's family; the roll target and deadline lie a number
     of open days before the anchor, and crude may not be held past the day before first notice.
     """
-    spark = years.sparkSession
-    roots = root_table(spark).filter("family IS NOT NULL").select("root", "cycle", "family", "anchor", "target_offset", "deadline_offset")
+    rules = [(r[0], *r[4:]) for r in ROOTS if r[5] is not None]
+    fields = ["root", "cycle", "family", "anchor", "target_offset", "deadline_offset"]
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, rule)]) for rule in rules]))
     codes = F.filter(F.split("cycle", ""), lambda c: c != "")
-    c = years.withColumn("__k", F.lit(1)).join(F.broadcast(roots.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    c = years.select("y", each.alias("rule")).select("y", "rule.*")
     c = c.withColumn("code", F.explode(codes))
     c = c.withColumns({"contract": sym.contract_symbol(F.col("root"), F.col("code"), F.col("y"))})
     m = F.instr(F.lit(sym.MONTH_CODES), F.col("code"))

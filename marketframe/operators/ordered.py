@@ -195,7 +195,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     ranked = segmented(counts, keys, [value], value_bucket(F.col(value)), {"hi": ("sum", F.col("cnt"))})
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     return ranked.join(sizes, keys)
 
 

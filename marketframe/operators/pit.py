@@ -40,12 +40,20 @@ def cot_known_at(report_date: Column) -> Column:
     )
 
 
-def cot_history(requests: DataFrame, reports: DataFrame) -> DataFrame:
-    """Reports of each request (code, since, as_of) that were public at its as-of moment."""
+def cot_history(requests: DataFrame, reports: DataFrame, bucket_days: int = 91) -> DataFrame:
+    """Reports of each request (code, since, as_of) that were public at its as-of moment.
+
+    A request is copied to each time bucket it spans and meets the reports of that bucket only, so a
+    code with many requests and many reports is never paired whole.
+    """
+    bucket = lambda d: F.floor(days(d) / bucket_days)
+    span = F.sequence(bucket(F.col("since")), bucket(F.to_date("as_of")))
+    r = requests.filter(F.col("since") <= F.to_date("as_of")).withColumn("__bucket", F.explode(span))
     return (
-        requests.join(reports, "code")
+        r.join(reports.withColumn("__bucket", bucket(F.col("report_date"))), ["code", "__bucket"])
         .filter((F.col("report_date") >= F.col("since")) & (F.col("report_date") <= F.to_date("as_of")))
         .filter(F.col("known_at") <= F.col("as_of"))
+        .drop("__bucket")
     )
 
 

@@ -137,6 +137,16 @@ def daily_net(fills: DataFrame) -> DataFrame:
     return segmented(per_day, KEYS, ["d"], F.year("d"), {"net": ("sum", F.col("q"))}).drop("q")
 
 
+def on_root_dates(chains: DataFrame, closes: DataFrame, first: Column) -> DataFrame:
+    """Each (account, root) row with every close of its root from the year of ``first`` on.
+
+    Joined on root and year: roots alone are too few keys to spread the result.
+    """
+    per_year = closes.select("root", F.year("d").alias("__y")).distinct()
+    years = chains.withColumn("__from", F.year(first)).join(per_year, "root").filter("__y >= __from").drop("__from")
+    return years.join(closes.select("root", "d", "close", F.year("d").alias("__y")), ["root", "__y"]).drop("__y")
+
+
 def equity_curve(fills: DataFrame, closes: DataFrame, start: float = 50000.0) -> DataFrame:
     """Marked equity per account and date: start, plus cash flows, plus net position at the last close.
 
@@ -147,7 +157,7 @@ def equity_curve(fills: DataFrame, closes: DataFrame, start: float = 50000.0) ->
         F.sum("qty").alias("q"), F.sum((-F.col("qty") * F.col("price") * F.col("multiplier")).cast("decimal(38,8)")).alias("c")
     )
     first = fills.groupBy(*KEYS).agg(F.min("d").alias("first"), F.max("multiplier").alias("multiplier"))
-    axis = first.join(closes.select("root", "d", "close"), "root").filter("d >= first").select(*KEYS, "d", "close", "multiplier")
+    axis = on_root_dates(first, closes, F.col("first")).filter("d >= first").select(*KEYS, "d", "close", "multiplier")
     line = axis.join(flows, [*KEYS, "d"], "full_outer").join(first.select(*KEYS, F.col("multiplier").alias("__m")), KEYS)
     line = line.withColumn("multiplier", F.coalesce("multiplier", "__m")).drop("__m")
     run = segmented(line, KEYS, ["d"], F.year("d"), {
@@ -209,7 +219,8 @@ def stop_loss_flags(states: DataFrame, bars: DataFrame, pct: float) -> DataFrame
 
     ``states``: account, root, d, fill_key, net, avg_price after each fill. ``bars``: root, d, close.
     """
-    points = states.select(*KEYS).distinct().join(bars.select("root", "d", "close"), "root")
+    chains = states.groupBy(*KEYS).agg(F.min("d").alias("first"))
+    points = on_root_dates(chains, bars, F.col("first")).filter("d >= first").drop("first")
     best = F.struct("d", "fill_key", "net", "avg_price")
     got = best_so_far(points, states, KEYS, days(F.col("d")), days(F.col("d")), best, 31.0, "pos")
     avg, px = F.col("pos.avg_price"), F.col("close").cast("double")
@@ -228,46 +239,75 @@ def target_deltas(targets: DataFrame, keys: list[str], order: str = "d") -> Data
     ).drop("__prev")
 
 
-def fill_orders(orders: DataFrame, bars: DataFrame, segment_seconds: int = 86400) -> DataFrame:
+SECOND = 1_000_000  # times are compared in microseconds
+HOUR, DAY, MONTH = 3600 * SECOND, 86400 * SECOND, 30 * 86400 * SECOND
+
+
+def _reached() -> Column:
+    """Whether a bar, or a segment's extremes, reaches an order's price."""
+    buy = F.col("side") == "buy"
+    limit = F.when(buy, F.col("low") <= F.col("limit_price")).otherwise(F.col("high") >= F.col("limit_price"))
+    stop = F.when(buy, F.col("high") >= F.col("stop_price")).otherwise(F.col("low") <= F.col("stop_price"))
+    return F.when(F.col("order_type") == "LMT", limit).otherwise(stop)
+
+
+def fill_orders(orders: DataFrame, bars: DataFrame, widths: tuple[int, ...] = (HOUR, DAY, MONTH)) -> DataFrame:
     """First later bar that executes each order.
 
     Market: open of the next bar. Limit and stop: the first bar whose range reaches the price, at
-    that price. Other types stay open. Per contract, the bars are summarised by segment (lowest low,
-    highest high, first time); an order finds its segment from the summary and then its bar inside
-    that one segment, so it never meets all later bars.
+    that price. Other types stay open.
+
+    Market orders are a forward as-of join. For the others the bars are summarised per hour, day and
+    month (lowest low, highest high). An order looks at the rest of its hour, then at the later hours of
+    its day, the later days of its month, the later months; from the first segment that reaches the
+    price it goes down again to the bar. Each step is an equi-join on contract and segment in which
+    an order meets one segment's worth of rows, however many bars the contract has.
     """
-    sec = F.unix_timestamp("ts")
-    seg = F.floor(sec / segment_seconds)
-    b = bars.select("contract", seg.alias("seg"), sec.alias("bar_s"), "open", "high", "low")
-    per_seg = b.groupBy("contract", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    o = orders.filter(F.col("order_type").isin("MKT", "LMT", "STP")).withColumns({"oseg": seg, "order_s": sec})
-    buy = F.col("side") == "buy"
-    reach = (
-        F.when(F.col("order_type") == "MKT", F.lit(True))
-        .when(F.col("order_type") == "LMT", F.when(buy, F.col("low") <= F.col("limit_price")).otherwise(F.col("high") >= F.col("limit_price")))
-        .otherwise(F.when(buy, F.col("high") >= F.col("stop_price")).otherwise(F.col("low") <= F.col("stop_price")))
+    sec = F.unix_micros("ts")
+    names = [f"__w{k}" for k in range(len(widths))]
+    seg = {n: F.floor(F.col("__s") / w) for n, w in zip(names, widths)}
+    b = bars.select("contract", sec.alias("__s"), "open", "high", "low").withColumns(seg)
+    o = orders.withColumn("__s", sec).withColumns(seg)
+
+    market = o.filter("order_type = 'MKT'").select("order_id", "contract", (-F.col("__s")).alias("__neg"))
+    nxt = best_so_far(
+        market, b, ["contract"], F.col("__neg"), -F.col("__s") + 1, F.struct((-F.col("__s")).alias("neg"), "open"), float(DAY), "bar"
     )
-    price = F.when(F.col("order_type") == "MKT", F.col("open")).when(F.col("order_type") == "LMT", F.col("limit_price")).otherwise(F.col("stop_price"))
-    hit = F.min_by(F.struct("bar_s", price.alias("fill_price")), "bar_s").alias("hit")
-    keep = ["order_id", "contract", "order_type", "side", "quantity", "limit_price", "stop_price", "oseg", "order_s"]
-    o = o.select(*keep)
-    same = o.join(b, (o.contract == b.contract) & (o.oseg == b.seg)).drop(b.contract).filter(F.col("bar_s") > F.col("order_s")).filter(reach)
-    same = same.groupBy("order_id").agg(hit)
-    rest = o.join(same, "order_id", "left_anti")
-    later = rest.join(per_seg, (rest.contract == per_seg.contract) & (per_seg.seg > rest.oseg)).drop(per_seg.contract).filter(reach_segment(reach))
-    pick = later.groupBy("order_id").agg(F.min("seg").alias("seg"))
-    there = rest.join(pick, "order_id").join(b, ["contract", "seg"]).filter(reach).groupBy("order_id").agg(hit)
-    filled = same.unionByName(there)
+    hit = F.struct((-F.col("bar.neg")).alias("bar_s"), F.col("bar.open").alias("fill_price")).alias("hit")
+    filled = nxt.filter("bar IS NOT NULL").select("order_id", hit)
+
+    want = ["order_id", "contract", "side", "order_type", "limit_price", "stop_price"]
+    priced = o.filter("order_type IN ('LMT', 'STP')").select(*want, F.col("__s").alias("order_s"), *[F.col(n).alias(f"o{n}") for n in names])
+    ext = [b.groupBy("contract", *names[k:]).agg(F.min("low").alias("low"), F.max("high").alias("high")) for k in range(len(widths))]
+    at_bar = F.min_by(F.struct(F.col("__s").alias("bar_s"), F.coalesce("limit_price", "stop_price").alias("fill_price")), "__s").alias("hit")
+
+    # the rest of the order's own finest segment
+    own = priced.withColumn(names[0], F.col(f"o{names[0]}")).join(b.select("contract", names[0], "__s", "high", "low"), ["contract", names[0]])
+    own = own.filter((F.col("__s") > F.col("order_s")) & _reached()).groupBy("order_id").agg(at_bar)
+    rest = priced.join(own, "order_id", "left_anti")
+    # upwards: later segments inside the next wider one
+    found = []
+    for k, n in enumerate(names):
+        last = k == len(names) - 1
+        on = ["contract"] if last else ["contract", names[k + 1]]
+        side = rest if last else rest.withColumn(names[k + 1], F.col(f"o{names[k + 1]}"))
+        up = side.join(ext[k].select(*on, n, "high", "low"), on).filter((F.col(n) > F.col(f"o{n}")) & _reached())
+        up = up.groupBy("order_id").agg(F.min(n).alias(n))
+        found.append(priced.select(*want).join(up, "order_id"))
+        rest = rest.join(up, "order_id", "left_anti")
+    # downwards: the first narrower segment inside the one found
+    level = found[-1]
+    for k in range(len(names) - 2, -1, -1):
+        down = level.join(ext[k].select("contract", names[k + 1], names[k], "high", "low"), ["contract", names[k + 1]]).filter(_reached())
+        down = down.groupBy(*want).agg(F.min(names[k]).alias(names[k]))
+        level = found[k].unionByName(down)
+    there = level.join(b.select("contract", names[0], "__s", "high", "low"), ["contract", names[0]]).filter(_reached()).groupBy("order_id").agg(at_bar)
+    filled = filled.unionByName(own).unionByName(there)
     return orders.join(filled, "order_id", "left").select(
-        *orders.columns, F.timestamp_seconds(F.col("hit.bar_s")).alias("filled_at"), F.col("hit.fill_price").alias("fill_price"),
+        *orders.columns, F.timestamp_micros(F.col("hit.bar_s")).alias("filled_at"), F.col("hit.fill_price").alias("fill_price"),
     )
 
 
-def reach_segment(reach: Column) -> Column:
-    """The per-bar test applied to a segment's extremes: true iff some bar inside passes it."""
-    return reach
-
-
 def trailing_returns(bars: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Sum and count of the last ``rows`` returns per key, for a table with a row position ``n``."""
     return trailing(bars, keys, "n", rows, {"trail_sum": F.sum("r"), "trail_n": F.count("r")})

@@ -408,12 +408,13 @@ P18_SQL = """WITH d AS (SELECT l_partkey % 6 AS k, CAST(l_extendedprice AS DECIM
 
 def t1(spark, sf):
     """Canonical settle order, shown as each row's place within its contract."""
-    from pyspark.sql import Window
-
     from ..operators.consensus import state_rank
+    from ..operators.ordered import segmented
+    from ..operators.rolls import month_of
 
-    w = Window.partitionBy("contract").orderBy("as_of_date", state_rank(F.col("settle_state")), "sha")
-    return present(v_settles(spark, sf).select("contract", "as_of_date", "settle_state", "sha", F.row_number().over(w).alias("place")))
+    s = v_settles(spark, sf).withColumn("rank", state_rank(F.col("settle_state")))
+    s = segmented(s, ["contract"], ["as_of_date", "rank", "sha"], month_of(F.col("as_of_date")), {"place": ("row_number", None)})
+    return present(s.select("contract", "as_of_date", "settle_state", "sha", "place"))
 
 
 T1_SQL = sql(
