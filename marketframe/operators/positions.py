@@ -278,12 +278,17 @@ def fill_orders(orders: DataFrame, bars: DataFrame, widths: tuple[int, ...] = (H
 
     want = ["order_id", "contract", "side", "order_type", "limit_price", "stop_price"]
     priced = o.filter("order_type IN ('LMT', 'STP')").select(*want, F.col("__s").alias("order_s"), *[F.col(n).alias(f"o{n}") for n in names])
-    ext = [b.groupBy("contract", *names[k:]).agg(F.min("low").alias("low"), F.max("high").alias("high")) for k in range(len(widths))]
+    ext, finer = [], b
+    for k in range(len(names)):
+        finer = finer.groupBy("contract", *names[k:]).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        finer = cut_lineage(finer, "extremes") if k == 0 else finer
+        ext.append(finer)
     at_bar = F.min_by(F.struct(F.col("__s").alias("bar_s"), F.coalesce("limit_price", "stop_price").alias("fill_price")), "__s").alias("hit")
 
     # the rest of the order's own finest segment
     own = priced.withColumn(names[0], F.col(f"o{names[0]}")).join(b.select("contract", names[0], "__s", "high", "low"), ["contract", names[0]])
     own = own.filter((F.col("__s") > F.col("order_s")) & _reached()).groupBy("order_id").agg(at_bar)
+    own = cut_lineage(own, "own")
     rest = priced.join(own, "order_id", "left_anti")
     # upwards: later segments inside the next wider one
     found = []
@@ -292,7 +297,7 @@ def fill_orders(orders: DataFrame, bars: DataFrame, widths: tuple[int, ...] = (H
         on = ["contract"] if last else ["contract", names[k + 1]]
         side = rest if last else rest.withColumn(names[k + 1], F.col(f"o{names[k + 1]}"))
         up = side.join(ext[k].select(*on, n, "high", "low"), on).filter((F.col(n) > F.col(f"o{n}")) & _reached())
-        up = up.groupBy("order_id").agg(F.min(n).alias(n))
+        up = cut_lineage(up.groupBy("order_id").agg(F.min(n).alias(n)), "up")
         found.append(priced.select(*want).join(up, "order_id"))
         rest = rest.join(up, "order_id", "left_anti")
     # downwards: the first narrower segment inside the one found

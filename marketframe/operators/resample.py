@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import normal_cdf, normal_ppf
 from ..functions.rng import pick, uniform
+from ..session import cut_lineage
 from .ordered import quantiles, value_ranks
 from .performance import autocovariances, centred, profit_factor
 
@@ -226,7 +227,7 @@ def block_bootstrap_ci(panel: DataFrame, statistic: str = "mean", scheme: str =
         raise ValueError(f"draws must be at least {MIN_DRAWS}")
     sizes = family_sizes(panel)
     make = {"stationary": stationary_indices, "moving": moving_indices, "fixed": fixed_indices}[scheme]
-    theta = _resampled(panel, make(sizes, draws, block, seed), sizes, statistic).filter(~F.isnan("theta"))
+    theta = cut_lineage(_resampled(panel, make(sizes, draws, block, seed), sizes, statistic).filter(~F.isnan("theta")), "theta")
     alpha = 1.0 - confidence
     q = quantiles(value_ranks(theta, KEYS, "theta"), KEYS, "theta", {"lower": F.lit(alpha / 2), "upper": F.lit(1 - alpha / 2)})
     kept = theta.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("kept"))
@@ -242,7 +243,8 @@ def bca_interval(panel: DataFrame, statistic: str = "profit_factor", draws: int
         raise ValueError(f"draws must be at least {MIN_DRAWS}")
     sizes = family_sizes(panel)
     point = _point(panel, statistic)
-    theta = _resampled(panel, independent_indices(sizes, draws, seed), sizes, statistic).filter(~F.isnan("theta"))
+    # one row per draw and strategy, read by the bias correction and by the quantiles
+    theta = cut_lineage(_resampled(panel, independent_indices(sizes, draws, seed), sizes, statistic).filter(~F.isnan("theta")), "theta")
     t = theta.join(point.select(*KEYS, "point"), KEYS)
     place = t.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("m"), F.count_if(F.col("theta") < F.col("point")).alias("less"), F.count_if(F.col("theta") == F.col("point")).alias("same")
@@ -268,7 +270,7 @@ def bca_interval(panel: DataFrame, statistic: str = "profit_factor", draws: int
         return F.col("z0") + z / den
 
     alpha = 1.0 - confidence
-    g = g.withColumns({"__zl": adjusted(alpha / 2), "__zu": adjusted(1 - alpha / 2)})
+    g = cut_lineage(g, "bca").withColumns({"__zl": adjusted(alpha / 2), "__zu": adjusted(1 - alpha / 2)})
     g = g.withColumns({"__pl": normal_cdf(F.col("__zl")), "__pu": normal_cdf(F.col("__zu"))})
     ranked = value_ranks(theta, KEYS, "theta").join(g.select(*KEYS, "__pl", "__pu"), KEYS)
     q = quantiles(ranked, KEYS, "theta", {"lower": F.col("__pl"), "upper": F.col("__pu")})
