@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cal_ops
 from ..operators import events, performance as perf
 from ..operators import positions as pos
+from ..operators.ordered import segmented
 from . import sqlmath
 from .quote_queries import EVENTS_SQL, _events
 from .trade_queries import _W7, v_f
@@ -69,7 +70,7 @@ A8_SQL = sql(
     SELECT t.account, count(*) AS n_trades, count(*) FILTER (pnl > 0) AS n_wins, count(*) FILTER (pnl < 0) AS n_losses, count(*) FILTER (pnl = 0) AS n_scratch,
       round(count(*) FILTER (pnl > 0) / count(*), 6) AS win_rate, round(avg(pnl) FILTER (pnl > 0), 6) AS avg_win, round(-avg(pnl) FILTER (pnl < 0), 6) AS avg_loss,
       round(avg(pnl) FILTER (pnl > 0) / -avg(pnl) FILTER (pnl < 0), 6) AS payoff, round(avg(pnl), 6) AS expectancy,
-      round(sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0), 6) AS profit_factor, round(avg(pow(pnl - mu, 3)) / pow(avg(pow(pnl - mu, 2)), 1.5e0), 6) AS pnl_skew
+      round(coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0), 6) AS profit_factor, CASE WHEN count(*) >= 3 AND var_pop(pnl) > 0 THEN round(avg(pow(pnl - mu, 3)) / pow(avg(pow(pnl - mu, 2)), 1.5e0), 6) END AS pnl_skew
     FROM t JOIN m ON m.account = t.account GROUP BY t.account""",
     TRADE_VIEWS,
 )
@@ -224,13 +225,16 @@ A22_SQL = ssql(
 
 
 def a23(spark, sf):
-    """Family of curves sampled on one common axis: the last equity of each month."""
-    e = v_equity(spark, sf).groupBy("strategy_id", F.trunc("d", "month").alias("d")).agg(F.max_by("equity", "d").alias("equity"))
+    """Family of monthly curves of equal length, one of them ruined after forty months."""
+    run = segmented(v_panel(spark, sf), ["strategy_id"], ["i"], F.floor(F.col("i") / 12), {"c": ("sum", F.col("r").cast("decimal(18,10)"))})
+    fall = F.when((F.col("strategy_id") == 3) & (F.col("i") >= 40), 300000.0).otherwise(0.0)
+    e = run.select("strategy_id", F.add_months(F.lit("2000-01-01").cast("date"), F.col("i").cast("int")).alias("d"), (100000.0 + 10000.0 * F.col("c").cast("double") - fall).alias("equity"))
     return present(perf.family_from_curves(e, PPY_M)[1])
 
 
 A23_SQL = sql(
-    """WITH m AS (SELECT strategy_id, date_trunc('month', d) AS mo, arg_max(equity, d) AS equity FROM v_equity GROUP BY 1, 2),
+    """WITH m AS (SELECT strategy_id, i AS mo, 100000e0 + 10000e0 * CAST(sum(CAST(r AS DECIMAL(18,10))) OVER (PARTITION BY strategy_id ORDER BY i) AS DOUBLE)
+        - CASE WHEN strategy_id = 3 AND i >= 40 THEN 300000e0 ELSE 0e0 END AS equity FROM v_panel),
     e AS (SELECT *, lag(equity) OVER w AS prev, min(equity) OVER w AS low, min(equity) OVER (PARTITION BY strategy_id ORDER BY mo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lb FROM m
       WINDOW w AS (PARTITION BY strategy_id ORDER BY mo)),
     r AS (SELECT strategy_id, CASE WHEN lb <= 0 THEN 0e0 WHEN low <= 0 THEN -1e0 ELSE equity / prev - 1 END AS r FROM e WHERE prev IS NOT NULL)

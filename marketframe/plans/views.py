@@ -215,13 +215,13 @@ def v_ret_m(spark, sf):
 
 @view(stored=True)
 def v_panel(spark, sf):
-    """The dense monthly matrix: position ``i`` counts months from the first one."""
+    """The dense monthly matrix: position ``i`` counts months from the first one; idle months return 0."""
     m = v_ret_m(spark, sf)
-    start = m.agg(F.min("m").alias("m0")).withColumn("one", F.lit(1))
+    span = m.agg(F.min("m").alias("m0"), F.max("m").alias("m1")).withColumn("one", F.lit(1))
+    months = F.explode(F.expr("sequence(m0, m1, interval 1 month)")).alias("m")
+    grid = m.select("strategy_id", F.lit(1).alias("one")).distinct().join(F.broadcast(span), "one").select("strategy_id", "m0", months)
     i = (F.year("m") - F.year("m0")) * 12 + F.month("m") - F.month("m0")
-    return m.withColumn("one", F.lit(1)).join(F.broadcast(start), "one").select(
-        "strategy_id", i.cast("long").alias("i"), "r"
-    )
+    return grid.join(m, ["strategy_id", "m"], "left").select("strategy_id", i.cast("long").alias("i"), F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 @view(stored=True)
@@ -329,7 +329,9 @@ SQL: dict[str, str] = {
         CAST(sum(CAST(l_discount AS DECIMAL(10,4))) AS DOUBLE) / count(*) - 0.05e0 AS r FROM lineitem GROUP BY 1, 2""",
     "v_ret_m": """SELECT strategy_id, CAST(date_trunc('month', d) AS DATE) AS m,
         CAST(sum(CAST(r AS DECIMAL(18,10))) AS DOUBLE) / count(*) AS r FROM v_ret GROUP BY 1, 2""",
-    "v_panel": """SELECT strategy_id, CAST(date_diff('month', (SELECT min(m) FROM v_ret_m), m) AS BIGINT) AS i, r FROM v_ret_m""",
+    "v_panel": """SELECT g.strategy_id, g.i, coalesce(r, 0e0) AS r FROM (
+        SELECT strategy_id, unnest(range(0, (SELECT date_diff('month', min(m), max(m)) FROM v_ret_m) + 1)) AS i FROM (SELECT DISTINCT strategy_id FROM v_ret_m)) g
+        LEFT JOIN (SELECT strategy_id, date_diff('month', (SELECT min(m) FROM v_ret_m), m) AS i, r FROM v_ret_m) x ON x.strategy_id = g.strategy_id AND x.i = g.i""",
     "v_equity": """WITH e AS (SELECT strategy_id, d, 100000e0 + 10000e0 * CAST(sum(CAST(r AS DECIMAL(18,10))) OVER w AS DOUBLE) AS equity,
           row_number() OVER w AS rn FROM v_ret WINDOW w AS (PARTITION BY strategy_id ORDER BY d))
         SELECT strategy_id, d, equity FROM e UNION ALL
