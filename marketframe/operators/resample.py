@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.normal import normal_cdf, normal_ppf
 from ..functions.rng import pick, uniform
 from ..session import cut_lineage
-from .ordered import quantiles, value_ranks
+from .ordered import quantiles, segmented, value_bucket, value_ranks
 from .performance import autocovariances, centred, profit_factor
 
 MIN_DRAWS = 1000
+RANKS = 4096  # ranks handled together in one ordered segment
 
 
 def family_sizes(panel: DataFrame, strict: bool = True) -> DataFrame:
@@ -166,18 +167,19 @@ def stepdown(panel: DataFrame, means: DataFrame, alpha: float = 0.05) -> DataFra
     the tail from k on. Each draw needs, for every k, the maximum over that tail: the strategies of one
     draw, in order. What comes out of the draws is one count per rank.
     """
-    s = studentised(panel, means)
-    rank = Window.partitionBy("family").orderBy(F.col("t").desc(), "strategy_id")
-    s = s.withColumn("k", F.row_number().over(rank))
+    s = studentised(panel, means).withColumn("__nt", -F.col("t"))
+    s = segmented(s, ["family"], ["__nt", "strategy_id"], value_bucket(F.col("__nt")), {"k": ("row_number", None)})
+    s = cut_lineage(s.drop("__nt"), "ranked")
     z = F.when(F.col("omega") > 0, F.sqrt("n") * (F.col("dstar") - F.col("dbar")) / F.when(F.col("omega") > 0, F.col("omega")))
-    d = means.join(s, ["family", "strategy_id"]).withColumn("z", z)
-    tail = Window.partitionBy("family", "b").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("m", F.coalesce(F.max("z").over(tail), F.lit(0.0)))
-    counts = d.groupBy("family", "k").agg(F.count_if(F.col("m") >= F.col("t")).alias("c"), F.count(F.lit(1)).alias("draws"))
-    r = s.join(counts, ["family", "k"])
-    step = Window.partitionBy("family").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("running", F.max((F.col("c") + 1) / (F.col("draws") + 1)).over(step))
-    first_kept = F.min(F.when(F.col("running") > alpha, F.col("running"))).over(Window.partitionBy("family"))
+    d = means.join(s, ["family", "strategy_id"]).select("family", "b", "k", "t", z.alias("z"), (-F.col("k")).alias("__nk"))
+    d = segmented(d, ["family", "b"], ["__nk"], F.floor(F.col("__nk") / RANKS), {"m": ("max", F.col("z"))})
+    hits = F.coalesce("m", F.lit(0.0)) >= F.col("t")
+    counts = d.groupBy("family", "k").agg(F.count_if(hits).alias("c"), F.count(F.lit(1)).alias("draws"))
+    r = cut_lineage(s.join(counts, ["family", "k"]), "counts")
+    r = segmented(r, ["family"], ["k"], F.floor(F.col("k") / RANKS), {"running": ("max", (F.col("c") + 1) / (F.col("draws") + 1))})
+    kept = r.groupBy("family").agg(F.min(F.when(F.col("running") > alpha, F.col("running"))).alias("__kept"))
+    r = r.join(kept, "family")
+    first_kept = F.col("__kept")
     rejected = F.col("running") <= alpha
     return r.select(
         "family", "strategy_id", "k", "t", F.when(rejected, F.col("running")).otherwise(first_kept).alias("adjusted_p"), rejected.alias("reject")
@@ -398,14 +400,13 @@ def adjust_p_values(p_values: DataFrame, family: Sequence[str], item: str, level
     ok = F.when(bad, F.raise_error(F.lit("p-values must lie in [0, 1]"))).otherwise(F.lit(True))
     n = p_values.groupBy(*fam).agg(F.count(F.lit(1)).alias("__n"))
     d = p_values.filter(ok).join(n, fam)
-    up = Window.partitionBy(*fam).orderBy("p", item)
-    d = d.withColumn("__k", F.row_number().over(up))
-    seen, ahead = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(0, Window.unboundedFollowing)
-    one, k, m = F.lit(1.0), F.col("__k"), F.col("__n")
+    bucket = value_bucket(F.col("p"))
+    d = cut_lineage(segmented(d, fam, ["p", item], bucket, {"__k": ("row_number", None)}), "ranked")
+    one, k, m, p = F.lit(1.0), F.col("__k"), F.col("__n"), F.col("p")
+    d = segmented(d, fam, ["p", item], bucket, {"holm": ("max", F.least(one, (m - k + 1) * p))}).withColumn("__nk", -k)
+    d = segmented(d, fam, ["__nk"], value_bucket(-p), {"__bh": ("min", p * m / k)})
     return d.select(
-        *fam, item, "p", F.least(one, F.col("p") * m).alias("bonferroni"),
-        F.max(F.least(one, (m - k + 1) * F.col("p"))).over(seen).alias("holm"),
-        F.least(one, F.min(F.col("p") * m / k).over(ahead)).alias("bh"),
+        *fam, item, "p", F.least(one, p * m).alias("bonferroni"), "holm", F.least(one, F.col("__bh")).alias("bh")
     ).withColumns({f"reject_{c}": F.col(c) <= level for c in ("bonferroni", "holm", "bh")})
 
 

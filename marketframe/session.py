@@ -27,6 +27,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for tables, sinks and stream checkpoints of one run.
 
@@ -34,10 +37,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
     session without that setting falls back to a temporary folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and spark.sparkContext.applicationId in _LOCAL:
+        base = _LOCAL[spark.sparkContext.applicationId]
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
