@@ -8,6 +8,8 @@ instead of deriving it 2, 4, 8, ... times.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,15 @@ from .rolls import month_of
 
 KEYS = ["account", "root"]
 
+# How a fill's time is cut into segments. It must not decrease with time; pass a finer one (days, hours)
+# where one account trades so much that a month of it is too large for a task.
+Segment = Callable[[Column], Column]
+
 
-def running_net(fills: DataFrame, **more) -> DataFrame:
+def running_net(fills: DataFrame, segment: Segment = month_of, **more) -> DataFrame:
     """Add ``net`` after and ``before`` each fill. Roll legs (``is_roll``) leave the chain's net alone."""
     moves = F.when(F.col("is_roll"), F.lit(0)).otherwise(F.col("qty")) if "is_roll" in fills.columns else F.col("qty")
-    out = segmented(fills, KEYS, ["d", "fill_key"], month_of(F.col("d")), {"net": ("sum", moves), **more})
+    out = segmented(fills, KEYS, ["d", "fill_key"], segment(F.col("d")), {"net": ("sum", moves), **more})
     return out.withColumn("before", F.col("net") - moves)
 
 
@@ -30,18 +36,18 @@ def _sign(c: Column) -> Column:
     return F.signum(c.cast("double"))
 
 
-def trade_ledger(fills: DataFrame) -> DataFrame:
+def trade_ledger(fills: DataFrame, segment: Segment = month_of) -> DataFrame:
     """Closed flat-to-flat trades with their profit.
 
     A trade ends when the net returns to zero or changes sign; a fill through zero is split between
     the old trade and the next. Profit of a closed trade is minus the sum of signed cash flows,
     which needs no average cost. Needs ``multiplier`` on each fill.
     """
-    f = cut_lineage(running_net(fills), "net")
+    f = cut_lineage(running_net(fills, segment), "net")
     roll = F.col("is_roll") if "is_roll" in fills.columns else F.lit(False)
     ends = (F.col("before") != 0) & ((F.col("net") == 0) | (_sign(F.col("net")) != _sign(F.col("before")))) & ~roll
     f = f.withColumn("__ends", ends.cast("long"))
-    f = segmented(f, KEYS, ["d", "fill_key"], month_of(F.col("d")), {"__done": ("sum", F.col("__ends"))})
+    f = segmented(f, KEYS, ["d", "fill_key"], segment(F.col("d")), {"__done": ("sum", F.col("__ends"))})
     closing = (
         F.when(roll, F.col("qty"))
         .when((F.col("before") != 0) & (_sign(F.col("before")) != _sign(F.col("qty"))),
@@ -108,14 +114,14 @@ def affine_running(df: DataFrame, keys: list[str], position: str, a: str, b: str
     )
 
 
-def average_cost(fills: DataFrame, levels: int = 3) -> DataFrame:
+def average_cost(fills: DataFrame, levels: int = 3, segment: Segment = month_of) -> DataFrame:
     """Net, average entry price and realised profit after every fill, and the fill's own ``gain``.
 
     The cost basis follows x = a x + b: an add keeps it and adds price times size, a partial close
     scales it by what remains, a flat or flipped position starts over.
     """
     cash = (-F.col("qty") * F.col("price") * F.col("multiplier")).cast("decimal(38,8)")
-    f = cut_lineage(running_net(fills, n_fill=("row_number", None), cash=("sum", cash)), "net")
+    f = cut_lineage(running_net(fills, segment, n_fill=("row_number", None), cash=("sum", cash)), "net")
     p = F.col("price").cast("double")
     grows = (F.col("before") == 0) | (_sign(F.col("before")) == _sign(F.col("qty")))
     resets = (F.col("before") == 0) | (F.col("net") == 0) | (_sign(F.col("net")) != _sign(F.col("before")))
@@ -178,15 +184,16 @@ def mark_prices(points: DataFrame, closes: DataFrame, keys: list[str]) -> DataFr
     return got.select(*points.columns, F.col("mark.d").alias("marked_on"), F.col("mark.close").alias("mark"))
 
 
-def loss_limit_flags(fills: DataFrame, daily_loss: float, trailing_loss: float, max_contracts: int, start: float = 50000.0, levels: int = 3) -> DataFrame:
+def loss_limit_flags(fills: DataFrame, daily_loss: float, trailing_loss: float, max_contracts: int, start: float = 50000.0, levels: int = 3,
+                     segment: Segment = month_of) -> DataFrame:
     """Judge every fill of a log against position cap, realised-loss limit and trailing drawdown.
 
     Reducing fills always pass. The first breach halts everything after it that increases exposure.
     Works on the equity known before the fill: start plus realised profit of the whole account.
     """
-    f = average_cost(fills, levels).select(*KEYS, "d", "fill_key", "qty", "net", "before", "gain")
+    f = average_cost(fills, levels, segment).select(*KEYS, "d", "fill_key", "qty", "net", "before", "gain")
     f = cut_lineage(f, "cost")
-    order, seg = ["d", "fill_key"], month_of(F.col("d"))
+    order, seg = ["d", "fill_key"], segment(F.col("d"))
     f = segmented(f, ["account"], order, seg, {"__total": ("sum", F.col("gain").cast("decimal(28,6)"))})
     f = cut_lineage(f, "total")
     known = (F.col("__total") - F.col("gain").cast("decimal(28,6)")).cast("double")

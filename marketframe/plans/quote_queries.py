@@ -365,7 +365,13 @@ J11_SQL = sql(
     EVENTS_SQL,
 )
 
+def a5(spark, sf):
+    out = consensus.settle_consensus(v_settles(spark, sf), SETTLE).filter("outcome = 'verified'")
+    return present(out.select("contract", "as_of_date", F.size("provenance").alias("n_hashes"), "run_hash"))
+
+
 QUERIES = {
+    "A5_run_hash": a5,
     "A1_settle_consensus_exact": a1_exact,
     "A1_settle_consensus_wide": a1_wide,
     "A2_bar_consensus_exact": a2_exact,
@@ -388,6 +394,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "A5_run_hash": "SELECT contract, as_of_date, n_sources AS n_hashes, run_hash FROM (" + _settle_sql(SETTLE) + ") WHERE outcome = 'verified'",
     "A1_settle_consensus_exact": _settle_sql(SETTLE),
     "A1_settle_consensus_wide": _settle_sql(WIDE3),
     "A2_bar_consensus_exact": sql(_bars_sql(OHLC) + _BARS_SELECT),

@@ -103,3 +103,12 @@ def test_quantiles_of_repeated_values(spark):
     df = spark.createDataFrame([(1, v) for v in vals], "key int, v double")
     q = quantiles(value_ranks(df, ["key"], "v"), ["key"], "v", {"a": F.lit(0.05), "b": F.lit(0.5), "c": F.lit(0.93)}).collect()[0]
     assert [q["a"], q["b"], q["c"]] == pytest.approx(list(np.quantile(vals, [0.05, 0.5, 0.93])))
+
+
+def test_finer_segments_change_nothing(spark):
+    rnd = random.Random(8)
+    rows = [(1, "ES", D(2020, 1, 1) + dt.timedelta(days=k // 9), k, rnd.choice([-3, -2, -1, 1, 2, 3]), 50 + rnd.random()) for k in range(300)]
+    f = _fills(spark, rows)
+    day = lambda d: F.unix_date(d)
+    month = sorted(map(tuple, pos.trade_ledger(f).select("trade_no", "pnl").collect()))
+    assert month == sorted(map(tuple, pos.trade_ledger(f, day).select("trade_no", "pnl").collect())) and month
