@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import clean_number, is_bad_number, iso_utc
+from ..functions.text import clean_number, is_bad_number
 from ..operators import validate
 from ..schemas import SCHEMAS
 from ..session import work_dir

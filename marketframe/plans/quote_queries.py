@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.clock import local_to_utc
 from ..operators import consensus, fixing, pit
-from .views import load, present, sql, v_bars, v_cot, v_macro, v_quotes, v_settles, v_ticks, view
+from .views import load, present, sql, v_cot, v_macro, v_quotes, v_settles, v_ticks, view
 
 EXACT3 = dims.Policy("umbrella_exact", "fail_closed", 3, "NORMAL")
 WIDE3 = dims.widen(EXACT3)

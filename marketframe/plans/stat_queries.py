@@ -12,7 +12,7 @@ from . import sqlmath
 from .quote_queries import EVENTS_SQL, _events
 from .trade_queries import _W7, v_f
 from .trade_queries import VIEWS as TRADE_VIEWS
-from .views import load, present, sql, v_bars, v_equity, v_panel, v_ret, v_ticks, view
+from .views import load, present, sql, v_equity, v_panel, v_ret, view
 
 PPY_M = 12.0
 
