@@ -8,11 +8,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_points
 from check import TABLES, TYPES, _norm
+from marketframe.plans import catalog
 
 SF = os.environ.get("TWIN_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, TWINS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, TWINS = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
