@@ -2,19 +2,57 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
+from .bpe import encode_texts
 from .decontaminate import benchmark_hits, is_contaminated
+from .fingerprint import OnePermutation, in_order, with_next
 from .token_cache import count_tokens
+from .url_templates import host_of, longest_rule, path_of, template_verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text beside its edited text (its last quarter replaced from the next document) and the next text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def run(batches):
+        method = OnePermutation()
+        for rows in with_next(batches):
+            near = [(i, a[0], a[1], b[1]) for i, (a, b) in enumerate(zip(rows[:-1], rows[1:], strict=True)) if not a[2]]
+            if not near:
+                continue
+            at = [i for i, *_ in near]
+            edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for _, _, t, u in near]
+            codes, some = method.codes(pa.array([r[1] for r in rows], pa.string()))
+            other, other_some = method.codes(pa.array(edited, pa.string()))
+            after = [i + 1 for i in at]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([d for _, d, _, _ in near], pa.int64()),
+                    pa.array([len(t) for _, _, t, _ in near], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+                    pa.array(method.packed(codes[at], some[at]), pa.string()),
+                    pa.array(method.packed(other, other_some), pa.string()),
+                    pa.array(method.likeness(codes[at], some[at], other, other_some), pa.float64()),
+                    pa.array(method.likeness(codes[at], some[at], codes[after], some[after]), pa.float64()),
+                ],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
+
+    ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return in_order(docs).mapInArrow(run, ddl)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -23,6 +61,20 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+#: (verdict, host, path): fixed rules of the query
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a rule fits label the templates of their hosts; the templates judge the rest."""
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
+    ruled = pages.withColumn("fit", longest_rule(URL_RULES, F.col("host"), F.col("path")))
+    judged = template_verdicts(ruled.select("host", "path", (F.col("fit.verdict") == "block").alias("blocked")))
+    verdict = F.coalesce("fit.verdict", F.when(F.col("rejected"), "block").otherwise("allow"))
+    return ruled.join(judged, ["host", "path"]).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so every distinct text is encoded once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,5 +82,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op8_token_counts)}
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_benchmark_decontamination, op4_url_filter, op8_token_counts, op9_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
