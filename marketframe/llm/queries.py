@@ -13,7 +13,9 @@ from ..session import work_dir
 from .bpe import encode_texts
 from .decontaminate import benchmark_hits, is_contaminated
 from .fingerprint import OnePermutation, in_order, with_next
+from .license_scan import scan_licenses
 from .token_cache import count_tokens
+from .toxicity import learn, score_texts
 from .url_templates import host_of, longest_rule, path_of, template_verdicts
 
 
@@ -75,6 +77,18 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.join(judged, ["host", "path"]).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 
+def fold(column: str = "doc_id"):
+    """crc32 of the id as text, modulo 5."""
+    return F.crc32(F.col(column).cast("string")) % 5
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels outside fold 0, at most a fixed number of either class, and scores every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels").filter(fold() != 0).select("doc_id", "toxic"))
+    return score_texts(docs, model, ["doc_id"]).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so every distinct text is encoded once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,5 +103,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_benchmark_decontamination, op4_url_filter, op8_token_counts, op9_bpe_round_trip)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprints, op3_benchmark_decontamination, op4_url_filter, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
+}
 ORACLES: dict[str, str] = {}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,4 +85,7 @@ def template_verdicts(pages: DataFrame, weight: float = 2.0, threshold: float =
     rate = hosts.join(F.broadcast(total)).select("host", ((F.col("hb") + weight * (F.col("ab") + weight / 4) / (F.col("al") + weight / 2)) / (F.col("hl") + weight)).alias("rate"))
     purity = (F.col("b") + weight * F.col("rate")) / (F.col("l") + weight)
     judged = leaf.join(rate, "host").select("host", "template", purity.alias("purity"), (purity > threshold).alias("rejected"))
-    return named.select("host", "path", "template").join(judged, ["host", "template"])
+    # a template of a large host names very many paths: they are dealt over SALTS copies of its verdict
+    dealt = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = named.select("host", "path", "template", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(dealt, ["host", "template", "salt"]).drop("salt")
