@@ -14,6 +14,7 @@ from .bpe import encode_texts
 from .decontaminate import benchmark_hits, is_contaminated
 from .fingerprint import OnePermutation, in_order, with_next
 from .license_scan import scan_licenses
+from .near_dedup import near_groups
 from .token_cache import count_tokens
 from .toxicity import learn, score_texts
 from .url_templates import host_of, longest_rule, path_of, template_verdicts
@@ -55,6 +56,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(docs).mapInArrow(run, ddl)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -109,6 +115,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op3_benchmark_decontamination, op4_url_filter, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
+    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
 }
 ORACLES: dict[str, str] = {}
