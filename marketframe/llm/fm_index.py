@@ -83,15 +83,19 @@ def suffix_order(seq: np.ndarray, order: int | None = None) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search over ``seq`` (symbols 1..sigma-1; 0 ends the sequence), with every ``every``-th place kept."""
+    """Backward search over ``seq`` (symbols 1..sigma-1; 0 ends the sequence), with every ``every``-th place kept.
 
-    def __init__(self, seq: np.ndarray, sigma: int, order: int | None = None, every: int = 8):
+    With a ``weight`` for each place, an occurrence counts as often as the weight of its first place says.
+    """
+
+    def __init__(self, seq: np.ndarray, sigma: int, order: int | None = None, every: int = 8, weight: np.ndarray | None = None):
         text = np.concatenate([seq, [0]]).astype(np.int64)
         self.n = len(text)
         sa = suffix_order(text, order)
         self.matrix = WaveletMatrix(text[sa - 1], sigma)
         self.below = np.zeros(sigma + 1, np.int64)  # symbols smaller than this one
         np.cumsum(np.bincount(text, minlength=sigma), out=self.below[1:])
+        self.mass = None if weight is None else np.concatenate([[0], np.cumsum(np.concatenate([weight, [0]])[sa])])
         if order:
             return
         kept = sa % every == 0
@@ -104,7 +108,7 @@ class FMIndex:
         return self.below[symbol] + a, self.below[symbol] + b
 
     def search(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the patterns ``flat[first:first + size]``; those with under ``least`` places come out empty."""
+        """Intervals of the patterns ``flat[first:first + size]``; those with under ``least`` occurrences come out empty."""
         m = len(first)
         lo, hi = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
         live = np.flatnonzero(size > 0)
@@ -113,7 +117,7 @@ class FMIndex:
             left[live] -= 1
             a, b = self.step(flat[first[live] + left[live]], lo[live], hi[live])
             lo[live], hi[live] = a, b
-            dead = b - a < least
+            dead = (b - a if self.mass is None else self.mass[b] - self.mass[a]) < least
             hi[live[dead]] = lo[live[dead]]
             live = live[~dead & (left[live] > 0)]
         return lo, hi

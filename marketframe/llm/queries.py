@@ -15,6 +15,7 @@ from .decontaminate import benchmark_hits, is_contaminated
 from .fingerprint import OnePermutation, in_order, with_next
 from .license_scan import scan_licenses
 from .near_dedup import near_groups
+from .substring_dedup import remove_repeats
 from .token_cache import count_tokens
 from .toxicity import learn, score_texts
 from .url_templates import host_of, longest_rule, path_of, template_verdicts
@@ -88,6 +89,11 @@ def fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 5
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, ["doc_id"]).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labels outside fold 0, at most a fixed number of either class, and scores every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -115,6 +121,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
+    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
 }
 ORACLES: dict[str, str] = {}
