@@ -13,6 +13,7 @@ from ..session import work_dir
 from .bpe import encode_texts
 from .decontaminate import benchmark_hits, is_contaminated
 from .fingerprint import OnePermutation, in_order, with_next
+from .katz import katz_scores
 from .license_scan import scan_licenses
 from .near_dedup import near_groups
 from .substring_dedup import remove_repeats
@@ -25,6 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(column: str = "doc_id"):
+    """crc32 of the id as text, modulo 5."""
+    return F.crc32(F.col(column).cast("string")) % 5
+
+
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the texts outside fold 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold() != 1).alias("trained"))
+    return katz_scores(docs).withColumn("held_out", F.coalesce(fold() == 1, F.lit(False)))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, ["doc_id"]).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text beside its edited text (its last quarter replaced from the next document) and the next text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,16 +101,6 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.join(judged, ["host", "path"]).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 
-def fold(column: str = "doc_id"):
-    """crc32 of the id as text, modulo 5."""
-    return F.crc32(F.col(column).cast("string")) % 5
-
-
-def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, ["doc_id"]).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labels outside fold 0, at most a fixed number of either class, and scores every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -121,6 +128,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
+    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op5_katz_scores, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
 }
 ORACLES: dict[str, str] = {}
