@@ -21,8 +21,8 @@ from .words import _POWERS, ALNUM_LOWER, Words, chunks, mix64, words_of
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
-#: Labelled rows to learn from, at most: this many of either class, those whose id hashes lowest.
-SAMPLE_PER_CLASS = 2_500
+#: Labelled rows to learn from, at most: this many of each class, those whose id hashes lowest.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2_500, 5_000
 
 
 class Model(NamedTuple):
@@ -68,28 +68,51 @@ def word_logits(w: Words, place: np.ndarray, model: Model) -> np.ndarray:
     return model.bias + np.bincount(owner, model.weight[bucket], len(place)) / np.maximum(n, 1)
 
 
-def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, epochs: int = 3, batch: int = 16_384, rate: float = 0.02, seed: int = 7) -> Model:
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (text, distinct word), and the n-gram buckets of all words end to end with their number by word.
+
+    Texts are taken in parts, so that little more than the result is held.
+    """
+    seen = np.zeros(0, np.uint64)
+    docs, hashes, made, buckets, counts = [], [], [], [], []
+    sizes = np.cumsum([len(t) for t in texts]) // 500_000
+    for part in np.unique(sizes):
+        own = np.flatnonzero(sizes == part)
+        w = words_of(pa.array([texts[i] for i in own], pa.string()), ALNUM_LOWER)
+        value, place, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        pair = np.unique(w.owner() * max(len(value), 1) + which)  # a word counts once in a text
+        docs.append(own[pair // max(len(value), 1)].astype(np.int32))
+        hashes.append(value[pair % max(len(value), 1)])
+        fresh = ~np.isin(value, seen)
+        bucket, owner = word_grams(w.data, w.start[place[fresh]], w.end[place[fresh]])
+        order = np.argsort(owner, kind="stable")
+        buckets.append(bucket[order].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=int(fresh.sum())))
+        made.append(value[fresh])
+        seen = np.union1d(seen, value)
+    made_all = np.concatenate(made)
+    order = np.argsort(made_all)
+    word = order[np.searchsorted(made_all, np.concatenate(hashes), sorter=order)]
+    return np.concatenate(docs), word, np.concatenate(buckets), np.concatenate(counts)
+
+
+def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, epochs: int = 3, batch: int = 8_192, rate: float = 0.02, seed: int = 7) -> Model:
     """Fit vectors and softmax on labelled texts. Without both classes: a constant by the labels' share."""
     toxic = np.asarray(toxic, bool)
+    if all(not len(words_of(pa.array([t], pa.string()), ALNUM_LOWER).hash) for t in texts):
+        toxic = toxic[:0]
     if not len(toxic) or toxic.all() or not toxic.any():
         share = (toxic.sum() + 0.5) / (len(toxic) + 1.0) if len(toxic) else 0.01
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    w = words_of(pa.array(texts, pa.string()), ALNUM_LOWER)
-    place, which = _distinct(w)
-    n = len(place)
-    pair = np.unique(w.owner() * n + which)  # a word counts once in a text
-    all_doc, all_word = pair // n, pair % n
+    all_doc, all_word, bucket, count = _bags(texts)
+    n = len(count)
     held = np.arange(len(texts)) % 5 == 0 if len(texts) >= 50 else np.zeros(len(texts), bool)  # for the scale of scores
     if toxic[~held].all() or not toxic[~held].any() or toxic[held].all() or not toxic[held].any():
         held[:] = False
     doc, word = all_doc[~held[all_doc]], all_word[~held[all_doc]]
-    bucket, owner = word_grams(w.data, w.start[place], w.end[place])
-    order = np.argsort(owner, kind="stable")
-    bucket = bucket[order]
-    count = np.bincount(owner, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 0.1, (dim, 2)), np.array([1.0, -1.0])]
+    params = [rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32), rng.normal(0, 0.1, (dim, 2)).astype(np.float32), np.array([1.0, -1.0], np.float32)]
     moment = [np.zeros_like(p) for p in params]
     spread = [np.zeros_like(p) for p in params]
     bad = toxic[doc]
@@ -118,14 +141,14 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ep
                 t = weight[pick]
                 error = (p * t.sum(1, keepdims=True) - t) / t.sum()
                 back = (error @ params[1].T) / many[:, None]
-                spreaded = np.repeat(back, many, axis=0)
-                grads = [np.stack([np.bincount(bucket[rows], spreaded[:, k], BUCKETS) for k in range(dim)], 1), mean.T @ error, error.sum(0)]
+                grads = [np.stack([np.bincount(bucket[rows], np.repeat(back[:, k], many), BUCKETS) for k in range(dim)], 1).astype(np.float32), mean.T @ error, error.sum(0)]
                 step += 1
                 for i, g in enumerate(grads):
                     moment[i] += 0.1 * (g - moment[i])
                     spread[i] += 0.01 * (g * g - spread[i])
                     params[i] -= rate * (moment[i] / (1 - 0.9**step)) / (np.sqrt(spread[i] / (1 - 0.99**step)) + 1e-8)
-        odds = np.add.reduceat((params[0] @ (params[1][:, 1] - params[1][:, 0]))[bucket], first[:-1]) / count
+        scale = (params[0] @ (params[1][:, 1] - params[1][:, 0])).astype(np.float32)
+        odds = np.concatenate([np.add.reduceat(scale[bucket[first[a] : first[min(a + batch, n)]]], first[a : min(a + batch, n)] - first[a]) for a in range(0, n, batch)]) / count
         # a word's part of its text's label
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, dirty_doc, odds[dirty_word])
@@ -156,14 +179,14 @@ def _calibrated(weight: np.ndarray, best: np.ndarray, toxic: np.ndarray) -> Mode
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of ``labels`` (doc_id, toxic): ``SAMPLE_PER_CLASS`` rows of either class.
+    """Train on a bounded sample of ``labels`` (doc_id, toxic): ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows.
 
     The sample is taken by hash of the id, the same on any partitioning; its texts are whole. Null labels
     and labels without a document are left out.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.filter("toxic").orderBy(*order).limit(SAMPLE_PER_CLASS).union(known.filter("NOT toxic").orderBy(*order).limit(SAMPLE_PER_CLASS))
+    chosen = known.filter("toxic").orderBy(*order).limit(SAMPLE_TOXIC).union(known.filter("NOT toxic").orderBy(*order).limit(SAMPLE_CLEAN))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").sort(F.xxhash64("doc_id"), "doc_id", "text").toPandas()
     return train(list(rows["text"]), rows["toxic"].to_numpy(bool))
 
