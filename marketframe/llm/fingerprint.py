@@ -85,7 +85,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-9.3e18)).alias("place"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(keyed.approxQuantile("place", [i / n for i in range(1, n)], 0.25 / n)))
-    dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="range", handleInvalid="keep").transform(keyed)
+    dealt = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="place", outputCol="range", handleInvalid="keep").transform(keyed)
     heads = [(r["range"], r["head"]) for r in dealt.groupBy("range").agg(F.min("place").alias("head")).sort("range").collect()]
     guests = spark.createDataFrame([(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)], "place double, host double")
     own = F.struct(F.col("range"), F.lit(False).alias("guest"))

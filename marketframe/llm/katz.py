@@ -28,7 +28,7 @@ from .words import SPACED_LOWER, chunks, mix64, signed, words_of
 
 HISTORY_SHARE = 2e-5
 #: Share of training texts that shows which words are frequent enough to be histories.
-SAMPLE = 64
+SAMPLE = 8
 #: Counts above this are not discounted.
 K = 5
 BLOCK_TOKENS, BLOCK_TEXTS = 1_200_000, 8192
@@ -203,7 +203,7 @@ def _gather(made: DataFrame, width: int) -> dict[int, np.ndarray]:
     out = {}
     for kind in range(6):
         own = rows[rows["kind"] == kind]
-        out[kind] = np.zeros(width)
+        out[kind] = np.zeros(max(width, K + 3))
         out[kind][own["key"].to_numpy(np.int64)] = own["value"].to_numpy()
     return out
 
@@ -223,6 +223,7 @@ def fit(table: DataFrame, hot, width: int) -> Katz:
         return _sums([(0, r, of_word), (1, r, of_pair), (2, b.hot[frequent], b.count[frequent]), (3, np.zeros(1, np.int64), np.array([b.count.sum()])), (4, seen, after[seen])])
 
     got = _gather(_over_buckets(table, hot, count, "kind int, key long, value double"), width)
+    got[4] = got[4][:width]
     hot_count = got[2][: width - 2].astype(np.int64)
     of_word, of_pair = got[0][: K + 3].copy(), got[1][: K + 3]
     of_word += np.bincount(np.minimum(hot_count, K + 2), minlength=K + 3)
@@ -248,6 +249,7 @@ def fit(table: DataFrame, hot, width: int) -> Katz:
         return _sums([(0, keys, np.bincount(h, upper)[keys]), (1, keys, np.bincount(h, lower)[keys])])
 
     got2 = _gather(_over_buckets(table, hot, weigh, "kind int, key long, value double"), width)
+    got2 = {k: v[:width] for k, v in got2.items()}
     known = got[4] > 0
     rest = 1 - got2[0]
     full = known & (rest <= 1e-12)  # no discounts in this history
