@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 _SEG = "__seg"
+_PIECE = "__piece"
 
 
 def segmented(
@@ -28,14 +29,15 @@ def segmented(
 
     ``segment`` must not decrease along ``order``. Each scan is ``name: (kind, input)``:
     ``sum``, ``max``, ``min`` (inclusive of the row), ``row_number``, ``lag`` (previous row's input),
-    ``last`` (latest non-null input, inclusive).
+    ``last`` (latest non-null input, inclusive). Null keys are a key, and null order comes first, as in
+    a plain window: key and segment are joined as one struct, in which nulls are equal.
     """
     keys = list(keys)
     ins = {name: f"__in_{name}" for name in scans}
-    base = df.withColumn(_SEG, segment)
+    base = df.withColumn(_SEG, segment).withColumn(_PIECE, F.struct(*keys, _SEG))
     base = base.withColumns({ins[n]: (c if c is not None else F.lit(1)) for n, (_, c) in scans.items()})
     rank = F.struct(*order)
-    w = Window.partitionBy(*keys, _SEG).orderBy(*order)
+    w = Window.partitionBy(_PIECE).orderBy(*order)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
 
     local, total = {}, []
@@ -58,9 +60,10 @@ def segmented(
         else:
             raise ValueError(f"unknown scan kind {kind!r}")
 
-    per_segment = base.groupBy(*keys, _SEG).agg(*total)
-    before = Window.partitionBy(*keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    step = Window.partitionBy(*keys).orderBy(_SEG)
+    per_segment = base.groupBy(_PIECE).agg(*total)
+    whole, place = [F.col(f"{_PIECE}.`{k}`") for k in keys], F.col(f"{_PIECE}.{_SEG}")
+    before = Window.partitionBy(*whole).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    step = Window.partitionBy(*whole).orderBy(place)
     carry = []
     for name, (kind, _) in scans.items():
         t = F.col(f"__t_{name}")
@@ -72,9 +75,9 @@ def segmented(
             carry.append(F.lag(t).over(step).alias(f"__c_{name}"))
         else:
             carry.append(F.last(t, ignorenulls=True).over(before).alias(f"__c_{name}"))
-    carried = per_segment.select(*keys, _SEG, *carry)
+    carried = per_segment.select(_PIECE, *carry)
 
-    out = base.withColumns(local).join(carried, [*keys, _SEG])
+    out = base.withColumns(local).join(carried, _PIECE)
     types = {f.name: f.dataType for f in out.schema.fields}
     final = {}
     for name, (kind, _) in scans.items():
@@ -120,7 +123,7 @@ def best_so_far(
     payload behind it. Points and facts are laid on one timeline, so cost is linear in both and no
     point is paired with all earlier facts. Times are numbers; ``width`` is the segment length in
     the same unit. For a forward search, negate both times and lead ``best`` with the negated time.
-    Points keep all their columns; ``name`` is null where nothing qualifies.
+    Points keep all their columns; ``name`` is null where nothing qualifies, as for a null key or time.
     """
     keys = list(keys)
     side = F.struct(*[F.col(c) for c in points.columns])
@@ -128,26 +131,27 @@ def best_so_far(
         *keys, point_at.cast("double").alias("__at"), F.lit(1).alias("__side"),
         side.alias("__row"),
     )
-    right = facts.select(*keys, fact_at.cast("double").alias("__at"), best.alias("__best"))
+    right = facts.select(*keys, fact_at.cast("double").alias("__at"), best.alias("__best")).dropna(subset=[*keys, "__at"])
     right = right.groupBy(*keys, "__at").agg(F.max("__best").alias("__best")).withColumn("__side", F.lit(0))
     line = left.unionByName(right, allowMissingColumns=True)
-    line = line.withColumn(_SEG, F.floor(F.col("__at") / F.lit(float(width))))
+    line = line.withColumn(_PIECE, F.struct(*keys, F.floor(F.col("__at") / F.lit(float(width))).alias(_SEG)))
     w = (
-        Window.partitionBy(*keys, _SEG)
+        Window.partitionBy(_PIECE)
         .orderBy("__at", "__side")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     here = line.withColumn("__mine", F.max("__best").over(w)).filter("__side = 1")
     per_segment = (
-        right.withColumn(_SEG, F.floor(F.col("__at") / F.lit(float(width))))
-        .groupBy(*keys, _SEG)
+        right.withColumn(_PIECE, F.struct(*keys, F.floor(F.col("__at") / F.lit(float(width))).alias(_SEG)))
+        .groupBy(_PIECE)
         .agg(F.max("__best").alias("__t"))
     )
-    marks = here.select(*keys, _SEG).distinct().unionByName(per_segment, allowMissingColumns=True)
-    marks = marks.groupBy(*keys, _SEG).agg(F.max("__t").alias("__t"))
-    before = Window.partitionBy(*keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.select(*keys, _SEG, F.max("__t").over(before).alias("__prior"))
-    out = here.join(carried, [*keys, _SEG])
+    marks = here.select(_PIECE).distinct().unionByName(per_segment, allowMissingColumns=True)
+    marks = marks.groupBy(_PIECE).agg(F.max("__t").alias("__t"))
+    whole = [F.col(f"{_PIECE}.`{k}`") for k in keys]
+    before = Window.partitionBy(*whole).orderBy(f"{_PIECE}.{_SEG}").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(_PIECE, F.max("__t").over(before).alias("__prior"))
+    out = here.join(carried, _PIECE)
     return out.select("__row.*", running_max_struct(F.col("__mine"), F.col("__prior")).alias(name))
 
 
@@ -176,10 +180,16 @@ def trailing(
 
 
 def value_bucket(v: Column, per_e: int = 16) -> Column:
-    """A scale-free bucket that never decreases with ``v``: about 6% wide, whatever the unit."""
+    """A scale-free bucket that never decreases with ``v``: about 6% wide, whatever the unit.
+
+    Infinities and NaN have buckets of their own at the ends.
+    """
     big = F.lit(100000)
+    x = v.cast("double")
     return (
-        F.when(v == 0, F.lit(0))
+        F.when(F.isnan(x), F.lit(300000))
+        .when(F.abs(x) == float("inf"), F.when(x > 0, F.lit(200000)).otherwise(F.lit(-200000)))
+        .when(v == 0, F.lit(0))
         .when(v > 0, big + F.floor(F.log(v) * per_e))
         .otherwise(-big - F.floor(F.log(-v) * per_e))
         .cast("long")
