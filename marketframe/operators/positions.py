@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import best_so_far, segmented, trailing
+from .ordered import best_so_far, segmented
 from .pit import days
 from .rolls import month_of
 
 KEYS = ["account", "root"]
+#: Rows of one key that the last level of a recurrence can hold.
+TOP_ROWS = 1 << 16
 
 # How a fill's time is cut into segments. It must not decrease with time; pass a finer one (days, hours)
 # where one account trades so much that a month of it is too large for a task.
@@ -73,28 +75,26 @@ def affine_running(df: DataFrame, keys: list[str], position: str, a: str, b: str
 
     Adds ``name`` (after the row) and ``name_prev`` (before it).
 
-    Rows are cut into chunks by position. Inside a chunk the recurrence unrolls into running sums: with
-    P the running product of the non-zero a, x is P times the sum of b / P since the last row with
-    a = 0. Each chunk is itself one such step, so the chunk starts come from the same function one
-    level up, on a table ``chunk`` times smaller; the top level takes whatever is left. All windows
-    of a level share one partitioning and order, hence one shuffle and one sort.
+    Rows are cut into chunks by position. A step is a map x -> scale * x + local; inside a chunk each
+    step is composed with the one 1, 2, 4, ... rows before it, which needs no division and so stays
+    exact however long a chain runs without going flat. A chunk is itself one such step, so the chunk
+    starts come from the same function one level up, on a table ``chunk`` times smaller; the top level
+    takes whatever is left, up to ``TOP_ROWS``. All windows of a level share one shuffle and one sort.
     """
     keys = list(keys)
     top, ck_name = levels <= 1, f"__chunk{levels}"
     ck = F.lit(0) if top else F.floor((F.col(position) - 1) / chunk)
     d = df.withColumn(ck_name, ck.cast("long"))
     step = Window.partitionBy(*keys, ck_name).orderBy(position)
-    w = step.rowsBetween(Window.unboundedPreceding, 0)
-    reset = F.col(a) == 0
-    log_a = F.when(reset, F.lit(0.0)).otherwise(F.log(F.when(F.col(a) > 0, F.col(a)).otherwise(F.lit(1.0))))
-    d = d.withColumns({"__s": F.sum(log_a).over(w), "__z": F.max(reset).over(w)})
-    d = d.withColumn("__u", F.col(b) * F.exp(-F.col("__s")))
-    d = d.withColumn("__t", F.sum("__u").over(w))
-    d = d.withColumn("__base", F.last(F.when(reset, F.col("__t") - F.col("__u")), ignorenulls=True).over(w))
-    d = d.withColumns({
-        "__local": F.exp("__s") * (F.col("__t") - F.coalesce("__base", F.lit(0.0))),
-        "__scale": F.when(F.col("__z"), F.lit(0.0)).otherwise(F.exp("__s")),
-    })
+    fits = F.when(F.col(position) > TOP_ROWS, F.raise_error(F.lit("too many chunks at the top: take more levels")).cast("double")).otherwise(F.col(a)) if top else F.col(a)
+    d = d.withColumns({"__scale": fits.cast("double"), "__local": F.col(b).cast("double")})
+    reach = 1
+    while reach < (TOP_ROWS if top else chunk):
+        d = d.withColumns({
+            "__scale": F.col("__scale") * F.coalesce(F.lag("__scale", reach).over(step), F.lit(1.0)),
+            "__local": F.col("__local") + F.col("__scale") * F.coalesce(F.lag("__local", reach).over(step), F.lit(0.0)),
+        })
+        reach *= 2
     d = d.withColumns({
         "__local_prev": F.coalesce(F.lag("__local").over(step), F.lit(0.0)),
         "__scale_prev": F.coalesce(F.lag("__scale").over(step), F.lit(1.0)),
@@ -319,7 +319,3 @@ def fill_orders(orders: DataFrame, bars: DataFrame, widths: tuple[int, ...] = (H
         *orders.columns, F.timestamp_micros(F.col("hit.bar_s")).alias("filled_at"), F.col("hit.fill_price").alias("fill_price"),
     )
 
-
-def trailing_returns(bars: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Sum and count of the last ``rows`` returns per key, for a table with a row position ``n``."""
-    return trailing(bars, keys, "n", rows, {"trail_sum": F.sum("r"), "trail_n": F.count("r")})
