@@ -1,7 +1,7 @@
 """Cross-source agreement checks.
 
-Quotes of one key (contract and date, or contract, bar time and resolution) are grouped once. A group
-holds at most one row per source, so its arrays are bounded by the number of sources. The outcome is
+Quotes of one key (contract and date, or contract, bar time and resolution) are grouped once. Revisions
+are reduced to the latest of each source first, so a group holds at most one row per source and its arrays are bounded by the number of sources. The outcome is
 ``verified``, ``disagreement`` or ``incomplete``.
 """
 
@@ -77,8 +77,15 @@ def _ordered(column: str) -> Column:
 def _combine(
     quotes: DataFrame, keys: Sequence[str], value: str, policy: Policy, mode: str, same: Column, extras: list[Column]
 ) -> DataFrame:
-    """Group quotes and decide; ``mode='documented'`` follows the policy kind instead of unanimity."""
+    """Group quotes and decide; ``mode='documented'`` follows the policy kind instead of unanimity.
+
+    A source counts once: of its revisions the latest (by ``as_of``, then hash) is its quote.
+    """
     q = trusted(quotes, policy).filter(F.col(value).isNotNull())
+    by_source = [*keys, "source_id"]
+    rest = [c for c in q.columns if c not in by_source]
+    q = q if q.isStreaming else q.repartition(*keys)  # one shuffle for both groupings
+    q = q.groupBy(*by_source).agg(F.max_by(F.struct(*rest), F.struct("as_of", "sha")).alias("__q")).select(*by_source, "__q.*")
     q = q.withColumn("__prov", provenance_hash(F.col("source_id"), F.col("as_of"), F.col("sha")))
     grouped = q.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
