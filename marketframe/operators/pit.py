@@ -25,12 +25,6 @@ def latest_settle(settles: DataFrame, points: DataFrame, keys: list[str]) -> Dat
     return best_so_far(points, settles, keys, days(F.col("as_of_date")), days(F.col("as_of_date")), best, 366.0, "found")
 
 
-def latest_per_key(rows: DataFrame, keys: list[str], rank: list[Column]) -> DataFrame:
-    """One row per key: the largest by the ranking columns."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("r")).select(*keys, "r.*")
-
-
 def cot_known_at(report_date: Column) -> Column:
     """Friday 15:30 New York of the snapshot week; a weekend date fails."""
     wd = F.weekday(report_date)

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.contracts import contract_root
 from ..operators.consensus import state_rank
 
 BAR_KEY = ["contract", "ts", "resolution", "sha"]
@@ -53,14 +53,37 @@ def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
     return best.select(*key, "__row.*").select(*df.columns)
 
 
+#: A batch that touches more partitions than this is compared with all stored keys.
+LISTED_PARTITIONS = 2_000
+
+
 def new_rows(submitted: DataFrame, existing: DataFrame | None, key: Sequence[str], parts: Sequence[str]) -> DataFrame:
-    """Submitted rows whose key is not stored; partition columns in the join limit what is read."""
+    """Submitted rows whose key is not stored; a null key part equals a null.
+
+    The batch's partition values become literals, so the scan of stored keys opens only their folders.
+    """
     if existing is None:
         return submitted
+    touched = submitted.select(*parts).distinct().limit(LISTED_PARTITIONS + 1).collect()
+    if len(touched) <= LISTED_PARTITIONS:
+        for p in parts:
+            values = sorted({r[p] for r in touched} - {None})
+            has_null = any(r[p] is None for r in touched)
+            within = F.col(p).isin(values) if values else F.lit(False)
+            existing = existing.filter(within | F.col(p).isNull() if has_null else within)
     on = list(dict.fromkeys([*parts, *key]))
-    touched = submitted.select(*parts).distinct()
-    known = existing.select(*on).join(touched, list(parts), "left_semi")
-    return submitted.join(known, on, "left_anti")
+    known = existing.select(*[F.col(c).alias(f"__k_{c}") for c in on])
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}").cast(submitted.schema[c].dataType)) for c in on]
+    return submitted.join(known, reduce(lambda a, b: a & b, same), "left_anti")
+
+
+def archive_root(contract: Column) -> Column:
+    """The contract without its last three characters, whatever they are: the rule of writer and readers."""
+    return F.when(F.length(contract) > 3, F.substring(contract, F.lit(1), F.length(contract) - 3))
+
+
+def root_filter(contract: str) -> Column:
+    return F.col("root") == contract[:-3] if len(contract) > 3 else F.col("root").isNull()
 
 
 def append_new(df: DataFrame, path: str, key: Sequence[str], parts: Sequence[str], order: Sequence[str], sort: Sequence[str]) -> WriteResult:
@@ -79,11 +102,11 @@ def append_new(df: DataFrame, path: str, key: Sequence[str], parts: Sequence[str
 
 
 def with_bar_parts(bars: DataFrame) -> DataFrame:
-    return bars.withColumns({"root": contract_root(F.col("contract")), "year": F.year("ts"), "month": F.month("ts")})
+    return bars.withColumns({"root": archive_root(F.col("contract")), "year": F.year("ts"), "month": F.month("ts")})
 
 
 def with_settle_parts(settles: DataFrame) -> DataFrame:
-    return settles.withColumns({"root": contract_root(F.col("contract")), "year": F.year("as_of_date")})
+    return settles.withColumns({"root": archive_root(F.col("contract")), "year": F.year("as_of_date")})
 
 
 def write_bars(bars: DataFrame, path: str) -> WriteResult:
@@ -106,7 +129,7 @@ def read_bars(spark: SparkSession, path: str, contract: str, resolution: str, st
         return spark.createDataFrame([], SCHEMAS["bar"])
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     ym = F.col("year") * 100 + F.col("month")
-    df = df.filter((F.col("root") == contract[:-3]) & (F.col("resolution") == resolution))
+    df = df.filter(root_filter(contract) & (F.col("resolution") == resolution))
     df = df.filter((ym >= int(start[:4]) * 100 + int(start[5:7])) & (ym <= int(end[:4]) * 100 + int(end[5:7])))
     until = F.col("ts") <= hi if inclusive_end else F.col("ts") < hi
     return df.filter((F.col("contract") == contract) & (F.col("ts") >= lo) & until).orderBy("ts", "sha")
@@ -121,7 +144,7 @@ def read_settles(spark: SparkSession, path: str, contract: str, first: str, last
         from ..schemas import SCHEMAS
 
         return spark.createDataFrame([], SCHEMAS["settle"])
-    df = df.filter((F.col("root") == contract[:-3]) & F.col("year").between(int(first[:4]), int(last[:4])))
+    df = df.filter(root_filter(contract) & F.col("year").between(int(first[:4]), int(last[:4])))
     df = df.filter((F.col("contract") == contract) & F.col("as_of_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     return df.orderBy("as_of_date", state_rank(F.col("settle_state")), "sha")
 
@@ -138,8 +161,11 @@ def register(spark: SparkSession, path: str) -> list[str]:
 
 
 def query(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
-    """Any Spark SQL over the registered views, with named parameters (``:name``)."""
-    return spark.sql(text, args=args or {})
+    """Any SQL query over the registered views, with named parameters (``:name``).
+
+    The text is read as a subquery, so statements that write or change anything do not parse.
+    """
+    return spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)", args=args or {})
 
 
 def query_table(spark: SparkSession, path: str, table: str, select: str = "*", where: str | None = None, args: dict | None = None) -> DataFrame:
