@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .ordered import quantiles, value_ranks
 
 EPS = 1e-9
@@ -35,7 +35,7 @@ def overfitting_splits(panel: DataFrame, segments: int = 16, min_obs: int = 2) -
     one = per_seg.groupBy("family", "strategy_id", "m").agg(
         F.array_sort(F.collect_list(F.struct("seg", "n", "s", "q"))).alias("t"),
         F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
-    d = one.withColumn("mask", F.explode(split_masks(segments)))
+    d = spread(one.withColumn("mask", F.explode(split_masks(segments))), "family", "strategy_id", "mask")
     inside = F.filter("t", lambda e: F.expr("true") & (F.call_function("getbit", F.col("mask"), e["seg"]) == 1))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
     d = d.withColumn("a", F.aggregate(inside, zero, lambda acc, e: F.struct(
@@ -124,7 +124,7 @@ def purged_roles(sizes: DataFrame, blocks: int = 10, test: int = 2, purge: int =
     d = sizes.filter(ok).withColumn("mask", F.explode(masks))
     chosen = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.call_function("getbit", F.col("mask"), k) == 1)
     d = d.withColumn("spans", F.transform(chosen, lambda k: F.struct(at(k).alias("a"), at(k + 1).alias("z"))))
-    d = d.repartition("family", "mask").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    d = spread(d, "family", "mask").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     i = F.col("i")
     in_test = F.exists("spans", lambda s: (i >= s["a"]) & (i < s["z"]))
     in_purge = F.exists("spans", lambda s: (i >= s["a"] - purge) & (i < s["a"]))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import normal_cdf, normal_ppf
 from ..functions.rng import pick, uniform
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .ordered import quantiles, segmented, value_bucket, value_ranks
 from .performance import autocovariances, centred, profit_factor
 
@@ -38,7 +38,7 @@ def family_sizes(panel: DataFrame, strict: bool = True) -> DataFrame:
 
 def _counters(sizes: DataFrame, draws: int, length: Column) -> DataFrame:
     """One row per family, draw and step; draws are spread over tasks before steps are generated."""
-    b = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition("family", "b")
+    b = spread(sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))), "family", "b")
     return b.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), (length - 1).cast("long"))))
 
 
@@ -69,7 +69,7 @@ def fixed_indices(sizes: DataFrame, draws: int, block: int, seed: int) -> DataFr
     n = F.col("n")
     blocks = F.ceil(n / block)
     # a short last block means more draws may be needed; n draws always suffice
-    d = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition("family", "b")
+    d = spread(sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))), "family", "b")
     d = d.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     which = pick(uniform("fb", seed, F.col("b"), F.col("k")), blocks)
     first = which * block

@@ -55,3 +55,12 @@ def cut_lineage(df, label: str = "cut"):
     path = work_dir(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *columns):
+    """Deal rows by columns over all shuffle partitions.
+
+    For few and small rows from which many are made next: a number of partitions that is given is one
+    that adaptive execution does not merge.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
