@@ -265,7 +265,7 @@ def p19(spark, sf):
 
 def _macro_docs(spark, sf):
     """Per series and month: the observations known then, newest first, the newest often missing."""
-    m = v_macro(spark, sf).filter("day(known_at) >= 28").groupBy("series", "ref_date").agg(F.max("value").alias("value"), F.min("known_at").alias("known_at"))
+    m = v_macro(spark, sf).groupBy("series", "ref_date").agg(F.max("value").alias("value"), F.min("known_at").alias("known_at"))
     names = F.array(F.lit("NFP"), F.lit("CPI"), F.lit("JOLTS"), F.lit("PCE"), F.lit("FOMC_MINUTES"))
     return m.withColumn("series", F.element_at(names, F.col("series").cast("int")))
 
@@ -280,7 +280,7 @@ def s12(spark, sf):
     return present(feeds.vintage_values(d).select("series", "event_id", "ref_date", "known_at", "value"))
 
 
-_MACRO_BASE = """WITH m0 AS (SELECT series, ref_date, max(value) AS value, min(known_at) AS known_at FROM v_macro WHERE day(known_at) >= 28 GROUP BY 1, 2),
+_MACRO_BASE = """WITH m0 AS (SELECT series, ref_date, max(value) AS value, min(known_at) AS known_at FROM v_macro GROUP BY 1, 2),
     m AS (SELECT ['NFP','CPI','JOLTS','PCE','FOMC_MINUTES'][series::INT] AS s, ['08:30:00','08:30:00','10:00:00','08:30:00','14:00:00'][series::INT] AS rt, ref_date, value, known_at FROM m0)"""
 S12_SQL = sql(
     _MACRO_BASE + """, k AS (SELECT *, CAST(((known_at + 1)::VARCHAR || ' ' || rt) AS TIMESTAMP) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS kn FROM m)

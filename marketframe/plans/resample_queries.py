@@ -61,11 +61,11 @@ def rsql(body):
 
 def _indices(make, view_name):
     def run(spark, sf):
-        sizes = rs.family_sizes(v_fam(spark, sf)).filter("family = 0")
+        sizes = rs.family_sizes(v_fam(spark, sf))
         d = make(sizes)
-        return present(d.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total"), F.sum(F.col("i") * F.col("step")).alias("check")))
+        return present(d.groupBy("family", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total"), F.sum(F.col("i") * F.col("step")).alias("check")))
 
-    return run, rsql(f"SELECT b, count(*) AS n, sum(i)::BIGINT AS total, sum(i * s)::BIGINT AS \"check\" FROM {view_name} GROUP BY b")
+    return run, rsql(f"SELECT family, b, count(*) AS n, sum(i)::BIGINT AS total, sum(i * s)::BIGINT AS \"check\" FROM {view_name}, (SELECT DISTINCT family FROM v_fam) GROUP BY family, b")
 
 
 r1, R1_SQL = _indices(lambda s: rs.stationary_indices(s, DRAWS, BLOCK, SEED), "v_sb")

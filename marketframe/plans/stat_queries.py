@@ -46,7 +46,7 @@ W4_SQL = sql(
 
 
 def w5(spark, sf):
-    return present(perf.drawdowns(_alive(spark, sf)).select("strategy_id", "d", "drawdown"))
+    return present(perf.drawdowns(v_equity(spark, sf)).select("strategy_id", "d", "drawdown"))
 
 
 def w9(spark, sf):
@@ -290,7 +290,7 @@ P6_SQL = """WITH e AS (SELECT event_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M
 
 def _span(spark, sf):
     o = load(spark, sf, "orders")
-    return o.agg(F.trunc(F.min("o_orderdate"), "year").alias("lo"), F.add_months(F.trunc(F.max("o_orderdate"), "year"), 40).alias("hi"))
+    return o.agg(F.add_months(F.trunc(F.min("o_orderdate"), "year"), -12).alias("lo"), F.add_months(F.trunc(F.max("o_orderdate"), "year"), 40).alias("hi"))
 
 
 @view(stored=True)
@@ -300,7 +300,7 @@ def v_cal(spark, sf):
 
 # The twin lists holidays by another route: it tests each calendar day instead of computing dates.
 CAL_SQL = {
-    "v_span": "SELECT CAST(date_trunc('year', min(o_orderdate)) AS DATE) AS lo, CAST(date_trunc('year', max(o_orderdate)) + INTERVAL 40 MONTH AS DATE) AS hi FROM orders",
+    "v_span": "SELECT CAST(date_trunc('year', min(o_orderdate)) - INTERVAL 1 YEAR AS DATE) AS lo, CAST(date_trunc('year', max(o_orderdate)) + INTERVAL 40 MONTH AS DATE) AS hi FROM orders",
     "v_moon": """SELECT y, a, b, c, (b // 4) AS d4, b % 4 AS e4, (b + 8) // 25 AS f, c // 4 AS i4, c % 4 AS k4 FROM (
         SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT unnest(range(year(lo), year(hi) + 2)) AS y FROM v_span))""",
     "v_easter": """SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS easter FROM (
@@ -348,7 +348,7 @@ C2_SQL = csql(
 
 def c3(spark, sf):
     """Roll calendar for the years orders were placed in."""
-    years = load(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).distinct().filter("y > 1995")
+    years = load(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).distinct()
     return present(cal_ops.roll_calendar(years, v_cal(spark, sf)))
 
 
@@ -365,7 +365,7 @@ def _c3_sql():
     return csql(
         f"""WITH op AS (SELECT d, row_number() OVER (ORDER BY d) AS k FROM v_cal WHERE is_open),
         r(root, code, m, fam, anc, t, dl) AS (VALUES {rows}),
-        x AS (SELECT r.*, y, make_date(y, m, 1) AS f FROM r, (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) > 1995)),
+        x AS (SELECT r.*, y, make_date(y, m, 1) AS f FROM r, (SELECT DISTINCT year(o_orderdate) AS y FROM orders )),
         dd AS (SELECT *, CAST(f + CAST((12 - isodow(f)) % 7 AS INTEGER) AS DATE) AS fri, CAST(f + CAST((10 - isodow(f)) % 7 AS INTEGER) AS DATE) AS wed FROM x),
         l AS (SELECT *, CASE fam WHEN 'third_friday' THEN {lastopen('CAST(fri + 14 AS DATE)')} WHEN 'second_friday' THEN (SELECT max(d) FROM op WHERE op.d < fri + 7)
             WHEN 'currency' THEN {back('CAST(wed + 14 AS DATE)', 2)} WHEN 'last_friday' THEN {lastopen('CAST(last_day(f) - CAST((isodow(last_day(f)) + 2) % 7 AS INTEGER) AS DATE)')}
@@ -413,7 +413,7 @@ ORACLES = {
     "A19_profit_factor": sql("""WITH g AS (SELECT strategy_id, sum(r) FILTER (r > 0) AS g, -sum(r) FILTER (r < 0) AS l FROM v_ret GROUP BY 1)
         SELECT strategy_id, round(g, 6) AS gains, round(l, 6) AS losses, round(g / l, 6) AS profit_factor FROM g"""),
     "A21_decay_verdict": A21_SQL, "A22_lag_one": A22_SQL, "A23_family_bridge": A23_SQL, "W4_ruin_latch": W4_SQL,
-    "W5_drawdown": sql("""SELECT strategy_id, d::VARCHAR AS d, round((p - equity) / p, 6) AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY d) AS p FROM v_equity WHERE strategy_id < 20)"""),
+    "W5_drawdown": sql("""SELECT strategy_id, d::VARCHAR AS d, round((p - equity) / p, 6) AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy_id ORDER BY d) AS p FROM v_equity)"""),
     "W9_trailing_sharpe": W9_SQL, "P4_session_clock": P4_SQL, "P5_periods_per_year": P5_SQL, "P6_provenance_hash": P6_SQL,
     "P9_severity": sql("""SELECT CASE WHEN series = 'FOMC_STATEMENT' THEN 'CRITICAL' WHEN series IN ('CPI', 'NFP') THEN 'HIGH' WHEN series = 'JOBLESS_CLAIMS' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
         CASE WHEN series IN ('FOMC_STATEMENT', 'CPI', 'NFP') THEN 0.5e0 ELSE 1e0 END AS size_multiplier, count(*) AS n FROM v_events GROUP BY 1, 2""", EVENTS_SQL),

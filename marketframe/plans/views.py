@@ -137,15 +137,17 @@ def v_base(spark, sf):
 
 @view(stored=True)
 def v_roll(spark, sf):
-    """A quarterly chain per root: third-Friday expiry, roll target a week before."""
+    """A quarterly chain per root over the years of the bars and the next: third-Friday expiry, roll target a week before."""
+    span = v_base(spark, sf).agg(F.min(F.year("d")).alias("lo"), F.max(F.year("d")).alias("hi"))
     dim = spark.sql(
         """
         SELECT root, code, y, date_add(first, (4 - weekday(first) + 7) % 7 + 14) AS ltd FROM (
           SELECT root, y, code, make_date(y, m, 1) AS first FROM (
             SELECT root, y, inline(array(named_struct('code', 'H', 'm', 3), named_struct('code', 'M', 'm', 6), named_struct('code', 'U', 'm', 9), named_struct('code', 'Z', 'm', 12)))
-            FROM (SELECT explode(sequence(1992, 2005)) AS y, root
-                  FROM VALUES ('ES'), ('CL'), ('GC'), ('ZN') AS r(root))))
-        """
+            FROM (SELECT explode(sequence(lo, hi + 1)) AS y, root
+                  FROM {span}, (SELECT root FROM VALUES ('ES'), ('CL'), ('GC'), ('ZN') AS r(root)))))
+        """,
+        span=span,
     )
     from pyspark.sql import Window
 
@@ -257,7 +259,7 @@ def v_fills(spark, sf):
 
 @view(stored=True)
 def v_orders(spark, sf):
-    t = v_ticks(spark, sf).filter(F.col("event_id") % 20 == 0)
+    t = v_ticks(spark, sf)
     kind = F.when(F.col("event_id") % 3 == 0, "MKT").when(F.col("event_id") % 3 == 1, "LMT").otherwise("STP")
     buy = (F.col("event_id") / 20).cast("long") % 2 == 0
     five = F.lit("5").cast("decimal(4,2)")
@@ -311,7 +313,7 @@ SQL: dict[str, str] = {
         CAST(ltd - 7 AS DATE) AS roll_target, CAST(ltd - 3 AS DATE) AS roll_deadline FROM (
         SELECT root, root || code || lpad((y % 100)::VARCHAR, 2, '0') AS contract,
           CAST(make_date(y, m, 1) + CAST((5 - isodow(make_date(y, m, 1)) + 7) % 7 + 14 AS INTEGER) AS DATE) AS ltd
-        FROM (VALUES ('ES'), ('CL'), ('GC'), ('ZN')) r(root), (SELECT unnest(range(1992, 2006)) AS y),
+        FROM (VALUES ('ES'), ('CL'), ('GC'), ('ZN')) r(root), (SELECT unnest(range((SELECT min(year(d)) FROM v_base), (SELECT max(year(d)) FROM v_base) + 2)) AS y),
           (VALUES ('H', 3), ('M', 6), ('U', 9), ('Z', 12)) c(code, m))""",
     "v_contract_bars": """SELECT root, contract, d, px AS open, CAST(greatest(px, close) + 0.5 AS DECIMAL(20,8)) AS high,
         CAST(least(px, close) - 0.5 AS DECIMAL(20,8)) AS low, close, n AS volume FROM (
@@ -345,7 +347,7 @@ SQL: dict[str, str] = {
         CASE WHEN order_type = 'LMT' THEN CAST(CASE WHEN buy THEN px - 5 ELSE px + 5 END AS DECIMAL(20,8)) END AS limit_price,
         CASE WHEN order_type = 'STP' THEN CAST(CASE WHEN buy THEN px + 5 ELSE px - 5 END AS DECIMAL(20,8)) END AS stop_price
         FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'MKT' WHEN 1 THEN 'LMT' ELSE 'STP' END AS order_type,
-          (event_id // 20) % 2 = 0 AS buy FROM v_ticks WHERE event_id % 20 = 0)""",
+          (event_id // 20) % 2 = 0 AS buy FROM v_ticks)""",
     "v_cot": """SELECT 'M' || (o_custkey % 6)::VARCHAR AS code, CAST(date_trunc('week', o_orderdate) AS DATE) + 1 AS report_date,
         count(*) AS open_interest, count(*) FILTER (o_orderpriority[1] = '1') AS spec_long,
         count(*) FILTER (o_orderpriority[1] = '2') AS spec_short, count(*) FILTER (o_orderpriority[1] = '3') AS comm_long,
