@@ -14,6 +14,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.consensus import state_rank
 
@@ -21,6 +22,7 @@ BAR_KEY = ["contract", "ts", "resolution", "sha"]
 BAR_PARTS = ["root", "resolution", "year", "month"]
 SETTLE_KEY = ["contract", "as_of_date", "settle_state", "sha"]
 SETTLE_PARTS = ["root", "year"]
+TEXT_PARTS = ("root", "resolution")
 
 
 @dataclass(frozen=True)
@@ -30,9 +32,14 @@ class WriteResult:
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The archive at ``path``, or None where nothing was written yet."""
+    """The archive at ``path``, or None where nothing was written yet.
+
+    Folder names of text columns are read as text: a resolution ``1d`` is not the number 1.
+    """
     try:
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+        schema = StructType([StructField(f.name, StringType()) if f.name in TEXT_PARTS else f for f in found.schema])
+        return found if schema == found.schema else spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
