@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
+from . import oracles
 from .bpe import encode_texts
 from .decontaminate import benchmark_hits, is_contaminated
 from .fingerprint import OnePermutation, in_order, with_next
@@ -130,4 +131,6 @@ QUERIES = {
     f.__name__: f
     for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op5_katz_scores, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op3_benchmark_decontamination": oracles.DECONTAMINATION, "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
+}

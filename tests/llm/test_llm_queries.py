@@ -150,3 +150,17 @@ def test_pipeline(spark, small, corpus):
 def test_pipeline_runs_whole(spark, small, empty):
     assert corpus_pipeline.run(spark, small).count() > 40
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_twin(spark, small, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got = Q[name](spark, small)
+    res = db.execute(queries.ORACLES[name])
+    columns = [d[0] for d in res.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert rows(got, *columns) == Counter(res.fetchall())
