@@ -7,9 +7,10 @@ _SPACED = r"'[^\x20\x09-\x0D]+'"
 _LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 NEAR_DUPLICATES = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, {_SPACED}) AS w FROM documents),
-s AS (SELECT DISTINCT rid, g FROM (SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d)),
-n AS (SELECT rid, doc_id, (SELECT count(*) FROM s WHERE s.rid = d.rid) AS n FROM d),
+f AS (SELECT rid, len(w) AS l, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+s AS (SELECT DISTINCT rid, g FROM (SELECT rid, l, p, string_agg(t, ' ') OVER v AS g, count(*) OVER v AS n FROM f
+  WINDOW v AS (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = 5 OR (l < 5 AND p = 1)),
+n AS (SELECT rid, doc_id, coalesce(n, 0) AS n FROM d LEFT JOIN (SELECT rid, count(*) AS n FROM s GROUP BY 1) USING (rid)),
 p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
 e AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p JOIN n a ON a.rid = p.x JOIN n b ON b.rid = p.y WHERE 100 * c >= 75 * (a.n + b.n - c) AND a.doc_id <> b.doc_id),
 r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
@@ -19,7 +20,9 @@ SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_
 DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, {_LETTERS}) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOW}, {_LETTERS}) AS w FROM benchmark WHERE item_id IS NOT NULL),
 v AS (SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT item_id, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0))),
-u AS (SELECT rid, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM v))),
+f AS (SELECT rid, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+l AS (SELECT rid, p AS i, list(t) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS z FROM f),
+u AS (SELECT rid, i, k, array_to_string(z[1:k], ' ') AS g FROM l, (SELECT DISTINCT k FROM v) WHERE len(z) >= k),
 m AS (SELECT rid, i, k, g FROM u SEMI JOIN v USING (k, g)),
 h AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM m) GROUP BY 1),
 t AS (SELECT rid, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m JOIN v USING (k, g) GROUP BY 1)
