@@ -9,7 +9,9 @@ threshold are dropped before their sets are fetched.
 Texts with equal sets are one class, so copies never multiply. A band's bucket is not paired up: its
 members meet its smallest member, then what stays in different components is compared again, first across
 all stored candidates and at last within the buckets that still hold several components. So no link
-between different texts that could join components is left untried.
+between different texts that could join components is left untried. Shingles that only one candidate has
+can be in no intersection; what is left of a set bounds its similarity to any other, and pairs that the
+bound rules out are never made.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ SKETCH_BITS = 512
 SLACK = 0.2
 #: Fixed size of the filter that spares texts outside all candidate pairs; false hits only cost time.
 FILTER_BITS = 1 << 23
+#: The same for shingles that stand in two candidates; false hits only weaken the bound.
+COMMON_BITS = 1 << 26
 PART_BYTES = 600_000
 
 _FACTOR = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -90,9 +95,13 @@ def estimated_likeness(a: Column, b: Column) -> Column:
 def _set_filter(nodes: DataFrame) -> bytes:
     """A bitmap of FILTER_BITS bits with the slots of all nodes."""
     slot = _slot(F.col("node")) + 1
-    rows = nodes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    out = bytearray(FILTER_BITS // 8)
-    for r in rows:
+    return _bitmap(nodes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")), FILTER_BITS)
+
+
+def _bitmap(rows: DataFrame, size: int) -> bytes:
+    """One bitmap of a fixed size from its parts (k from 1, bits)."""
+    out = bytearray(size // 8)
+    for r in rows.toLocalIterator():
         at = (r["k"] - 1) * len(r["bits"])
         out[at : at + len(r["bits"])] = r["bits"]
     return bytes(out)
@@ -118,6 +127,28 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return cut_lineage(scan_texts(rows, scan, "shingles array<long>", ["node"]), "sets")
 
 
+def _common_sizes(sets: DataFrame) -> DataFrame:
+    """(node, common): how many shingles of a set stand in another one too, or a few more by chance."""
+    slot = F.pmod(F.xxhash64("x"), F.lit(COMMON_BITS)) + 1
+    twice = sets.select(F.explode("shingles").alias("x")).groupBy("x").count().filter("count > 1")
+    rows = twice.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    slots = sets.select("node", F.transform("shingles", lambda x: F.pmod(F.xxhash64(x), F.lit(COMMON_BITS))).alias("slots"))
+    shared = sets.sparkSession.sparkContext.broadcast(_bitmap(rows, COMMON_BITS))
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            slots = batch.column("slots")
+            at = slots.flatten().to_numpy()
+            hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            size = pc.list_value_length(slots).to_numpy()
+            end = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sums[end] - sums[end - size])], names=["node", "common"])
+
+    return slots.mapInArrow(run, "node long, common long").groupBy("node").agg(F.max("common").alias("common"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) with 100 * |intersection| >= threshold * |union|."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -146,14 +177,16 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 75) -> DataF
     banded = stand.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     shared = cut_lineage(banded.join(buckets, "key").select("key", "node", "low").distinct(), "buckets")
-    sketch = cut_lineage(some.select(F.col("doc_id").alias("node"), "n_shingles", "sketch").join(shared.select("node").distinct(), "node"), "sketches")
-    left, right = (sketch.select(F.col("node").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("sketch").alias(f"s_{n}")) for n in "ab")
-    sizes = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-    likely = sizes & (estimated_likeness(F.col("s_a"), F.col("s_b")) >= threshold / 100 - SLACK)
+    sets = _sets(docs, shared.select("node"), shingle)
+    common = _common_sizes(sets)
+    sketch = cut_lineage(some.select(F.col("doc_id").alias("node"), "n_shingles", "sketch").join(common, "node"), "sketches")
+    left, right = (sketch.select(F.col("node").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("common").alias(f"m_{n}"), F.col("sketch").alias(f"s_{n}")) for n in "ab")
+    most = F.least("m_a", "m_b")  # no intersection is larger
+    possible = 100 * most >= threshold * (F.col("n_a") + F.col("n_b") - most)
+    likely = possible & (estimated_likeness(F.col("s_a"), F.col("s_b")) >= threshold / 100 - SLACK)
     starred = shared.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     pairs = cut_lineage(starred.join(left, "a").join(right, "b").filter(likely).select("a", "b").distinct(), "pairs")
 
-    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), shingle)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = copies.union(_confirmed(first, sets, threshold))
     found = components(links)
@@ -173,12 +206,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 75) -> DataF
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2")
     members = cut_lineage(named.join(mixed.select("key"), "key").join(sketch, "node"), "mixed")
     if not members.isEmpty():
-        m, o = (members.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}"), F.col("n_shingles").alias(f"n_{n}"), F.col("sketch").alias(f"s_{n}")) for n in "ab")
+        m, o = (members.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}"), F.col("n_shingles").alias(f"n_{n}"), F.col("common").alias(f"m_{n}"), F.col("sketch").alias(f"s_{n}")) for n in "ab")
         across = m.join(o, (m.key == o.key) & (F.col("c_a") < F.col("c_b")) & likely).select("a", "b").distinct()
         untried = across.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         last = cut_lineage(untried, "untried")
         if not last.isEmpty():
-            more = _sets(docs, last.select(F.col("a").alias("node")).union(last.select("b")), shingle)
-            found = components(links.union(_confirmed(last, more, threshold)))
+            found = components(links.union(_confirmed(last, sets, threshold)))
 
     return signed_rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
