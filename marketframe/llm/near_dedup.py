@@ -30,9 +30,9 @@ from .scan import scan_texts
 from .words import SPACED_LOWER, chunks, distinct_sets, grams, list_of, mix64, signed, words_of
 
 BANDS, ROWS = 64, 5
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 #: Standard errors of an estimate near the threshold that a candidate may fall short by: about six.
-SLACK = 0.2
+SLACK = 0.15
 #: Fixed size of the filter that spares texts outside all candidate pairs; false hits only cost time.
 FILTER_BITS = 1 << 23
 #: The same for shingles that stand in two candidates; false hits only weaken the bound.
@@ -204,10 +204,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 75) -> DataF
 
     named = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2")
-    members = cut_lineage(named.join(mixed.select("key"), "key").join(sketch, "node"), "mixed")
+    keys = stand.select(F.col("doc_id").alias("node"), "keys")
+    members = cut_lineage(named.join(mixed.select("key"), "key").join(sketch, "node").join(keys, "node"), "mixed")
     if not members.isEmpty():
-        m, o = (members.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}"), F.col("n_shingles").alias(f"n_{n}"), F.col("common").alias(f"m_{n}"), F.col("sketch").alias(f"s_{n}")) for n in "ab")
-        across = m.join(o, (m.key == o.key) & (F.col("c_a") < F.col("c_b")) & likely).select("a", "b").distinct()
+        m, o = (members.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}"), F.col("n_shingles").alias(f"n_{n}"), F.col("common").alias(f"m_{n}"), F.col("sketch").alias(f"s_{n}"), F.col("keys").alias(f"k_{n}")) for n in "ab")
+        once = F.get(F.array_intersect("k_a", "k_b"), F.lit(0)) == m.key  # a pair meets in the first bucket that it shares
+        across = m.join(o, (m.key == o.key) & (F.col("c_a") < F.col("c_b")) & likely & once).select("a", "b").distinct()
         untried = across.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         last = cut_lineage(untried, "untried")
         if not last.isEmpty():
