@@ -32,7 +32,9 @@ SAMPLE = 8
 #: Counts above this are not discounted.
 K = 5
 BLOCK_TOKENS, BLOCK_TEXTS = 1_200_000, 8192
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_200_000
+#: Blocks whose scores a task adds up before it hands them on.
+HELD_BLOCKS = 400
 
 END, BEGIN = np.uint64(0x0123456789ABCDEF), 1
 _PLACES = "words binary, runs binary, doc binary, hist binary, tf binary, trained binary"
@@ -122,17 +124,18 @@ class _Bucket:
 
         self.blocks = [b["block"] for b in blocks]
         self.sizes = [len(d) for d in flat("doc", "<u2")]
-        self.doc = np.concatenate(flat("doc", "<u2")).astype(np.int64)
-        self.hist = np.concatenate(flat("hist", "<u2")).astype(np.int64)
-        self.tf = np.concatenate(flat("tf", "<u4")).astype(np.int64)
+        self.doc = np.concatenate(flat("doc", "<u2"))
+        hist = np.concatenate(flat("hist", "<u2"))
+        self.tf = np.concatenate(flat("tf", "<u4"))
         bits = [np.unpackbits(np.frombuffer(b["trained"], np.uint8), bitorder="little")[d] for b, d in zip(blocks, flat("doc", "<u2"), strict=True)]
         learn = self.tf * np.concatenate(bits)
         self.words, index = np.unique(np.concatenate(flat("words", np.uint64)), return_inverse=True)
-        self.word = np.repeat(index, np.concatenate(flat("runs", "<u4")))
+        self.word = np.repeat(index.astype(np.int32), np.concatenate(flat("runs", "<u4")))
         self.count = np.bincount(self.word, learn, len(self.words)).astype(np.int64)
         at = np.minimum(np.searchsorted(frequent, self.words), len(frequent) - 1)
         self.hot = np.where(frequent[at] == self.words, at, -1)
-        key, self.pair = np.unique(self.word * 65536 + self.hist, return_inverse=True)
+        key, pair = np.unique((self.word.astype(np.int64) << 16) | hist, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.pair_word, self.pair_hist = key >> 16, key & 65535
         self.pair_count = np.bincount(self.pair, learn, len(key)).astype(np.int64)
 
@@ -181,13 +184,18 @@ def discounts(of_count: np.ndarray) -> np.ndarray:
     return np.concatenate([[1.0], d, [1.0]])
 
 
+def _buckets(batches, hot):
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield _Bucket(batch.column("places")[row].as_py(), hot.value)
+
+
 def _over_buckets(table: DataFrame, hot, each, ddl: str) -> DataFrame:
     """Rows that ``each`` makes of every bucket."""
 
     def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                yield each(_Bucket(batch.column("places")[row].as_py(), hot.value))
+        for bucket in _buckets(batches, hot):
+            yield each(bucket)
 
     return table.select("places").mapInArrow(run, ddl)
 
@@ -285,23 +293,41 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     model = fit(table, hot, width)
     shared = sc.broadcast(tuple(model))
 
-    def score(b: _Bucket):
+    def score(batches):
         m = Katz(*shared.value)
-        count = m.counts(b)
-        lower = m.word_probability(count)
-        p = np.log10(m.pair_probability(b.pair_count, b.pair_hist, lower[b.pair_word]))[b.pair] * b.tf
-        base = np.log10(count + 0.5)[b.word] * b.tf
-        known = (count > 0)[b.word] * b.tf
-        out, at = [], 0
-        for block, n in zip(b.blocks, b.sizes, strict=True):
-            doc = b.doc[at : at + n]
-            some = np.unique(doc)
-            values = [np.bincount(doc, x[at : at + n])[some].tobytes() for x in (p, base, known)]
-            out.append((block, some.astype("<u2").tobytes(), *values))
-            at += n
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i == 0 else pa.binary()) for i in range(5)], names=["block", "doc", "score", "base", "known"])
-
-    parts = _over_buckets(table, hot, score, "block long, doc binary, score binary, base binary, known binary")
+        held: dict[int, np.ndarray] = {}
+
+        def flush():
+            out = []
+            for block, sums in held.items():
+                some = np.flatnonzero(sums.any(0))
+                out.append((block, some.astype("<u2").tobytes(), *(x[some].tobytes() for x in sums)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i == 0 else pa.binary()) for i in range(5)], names=["block", "doc", "score", "base", "known"])
+
+        for b in _buckets(batches, hot):
+            count = m.counts(b)
+            lower = m.word_probability(count)
+            p = np.log10(m.pair_probability(b.pair_count, b.pair_hist, lower[b.pair_word]))
+            base, at = np.log10(count + 0.5), 0
+            for block, n in zip(b.blocks, b.sizes, strict=True):
+                part = slice(at, at + n)
+                doc, tf, word = b.doc[part], b.tf[part], b.word[part]
+                own = np.stack([np.bincount(doc, x * tf) for x in (p[b.pair[part]], base[word], count[word] > 0)])
+                sums = held.get(block)
+                if sums is None or sums.shape[1] < own.shape[1]:
+                    wide = np.zeros_like(own)
+                    if sums is not None:
+                        wide[:, : sums.shape[1]] = sums
+                    held[block] = sums = wide
+                sums[:, : own.shape[1]] += own
+                at += n
+            if len(held) > HELD_BLOCKS:
+                yield from flush()
+                held.clear()
+        if held:
+            yield from flush()
+
+    parts = table.select("places").mapInArrow(score, "block long, doc binary, score binary, base binary, known binary")
     merged = parts.groupBy("block").agg(F.collect_list(F.struct("doc", "score", "base", "known")).alias("parts"))
     texts = stored.filter("bucket < 0").select(F.col("own").alias("block"), "ids", "held", "n_tokens")
 
