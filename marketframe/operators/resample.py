@@ -386,11 +386,13 @@ def survival(panel: DataFrame, leverages: Sequence[float], horizon: int = 252, p
 def survival_cap(curve: DataFrame, sizes: DataFrame, floor: float = 0.995) -> DataFrame:
     """Largest number of contracts whose survival clears the floor.
 
-    ``curve``: keys, ``contracts``, ``survival``; ``sizes``: keys, ``base`` (the cap before survival).
+    ``curve``: keys, ``contracts``, ``survival``; ``sizes``: keys, ``base`` (the cap before survival). The
+    curve must hold every whole size from 1 to ``base``; a gap fails, since the cap could lie in it.
     """
-    ok = curve.filter(F.col("survival") >= floor).join(sizes, KEYS).filter("contracts <= base")
-    best = ok.groupBy(*KEYS).agg(F.max("contracts").alias("__best"))
-    return sizes.join(best, KEYS, "left").withColumn("cap", F.coalesce("__best", F.lit(0))).drop("__best")
+    within = curve.join(sizes, KEYS).filter("contracts BETWEEN 1 AND base")
+    best = within.groupBy(*KEYS).agg(F.max(F.when(F.col("survival") >= floor, F.col("contracts"))).alias("__best"), F.count_distinct("contracts").alias("__n"))
+    whole = F.when(F.coalesce("__n", F.lit(0)) < F.col("base"), F.raise_error(F.lit("the survival curve lacks sizes up to the base"))).otherwise(F.lit(True))
+    return sizes.join(best, KEYS, "left").filter(whole).withColumn("cap", F.coalesce("__best", F.lit(0))).drop("__best", "__n")
 
 
 def adjust_p_values(p_values: DataFrame, family: Sequence[str], item: str, level: float = 0.05) -> DataFrame:

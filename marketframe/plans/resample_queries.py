@@ -255,16 +255,16 @@ R13_SQL = rsql(
     SELECT family, mask, ['train', 'embargoed', 'purged', 'test'][c + 1] AS role, count(*) AS n, round(avg(v.r), 6) AS mean FROM v_fam v JOIN r ON r.i = v.i GROUP BY ALL"""
 )
 
-LEVERS = [2.0, 5.0, 8.0, 11.0]
+LEVERS = [float(k) for k in range(1, 12)]  # every whole size up to the largest base
 
 
 def r14(spark, sf):
-    return present(rs.survival(v_fam(spark, sf), LEVERS, 60, 300, 0.3, BLOCK, SEED))
+    return present(rs.survival(v_fam(spark, sf), LEVERS, 60, DRAWS, 0.3, BLOCK, SEED))
 
 
 VIEWS["v_paths"] = f"""SELECT b, s, (last_value(CASE WHEN s0 IS NOT NULL THEN p0 END IGNORE NULLS) OVER w + s - last_value(s0 IGNORE NULLS) OVER w) % n AS i FROM (
     SELECT b, s, n, CASE WHEN s = 0 OR {u('sb', 'b', 's')} < {1 / BLOCK}e0 THEN s END AS s0, CAST(floor({u('sb', 'b', 's', slot=1)} * n) AS BIGINT) AS p0
-    FROM (SELECT unnest(range(300)) AS b), (SELECT unnest(range(60)) AS s), v_n) WINDOW w AS (PARTITION BY b ORDER BY s)"""
+    FROM (SELECT unnest(range({DRAWS})) AS b), (SELECT unnest(range(60)) AS s), v_n) WINDOW w AS (PARTITION BY b ORDER BY s)"""
 VIEWS["v_surv"] = f"""SELECT family, strategy_id, leverage, avg((lo > ln(0.7e0))::INT) AS survival FROM (
     SELECT family, strategy_id, b, leverage, min(e) AS lo FROM (
       SELECT family, strategy_id, b, leverage, sum(ln(greatest(1 + r * leverage, 1e-300))) OVER (PARTITION BY strategy_id, b, leverage ORDER BY s) AS e
@@ -272,7 +272,7 @@ VIEWS["v_surv"] = f"""SELECT family, strategy_id, leverage, avg((lo > ln(0.7e0))
 
 
 def r15(spark, sf):
-    c = rs.survival(v_fam(spark, sf), LEVERS, 60, 300, 0.3, BLOCK, SEED).withColumn("contracts", F.col("leverage").cast("long"))
+    c = rs.survival(v_fam(spark, sf), LEVERS, 60, DRAWS, 0.3, BLOCK, SEED).withColumn("contracts", F.col("leverage").cast("long"))
     sizes = v_fam(spark, sf).groupBy("family", "strategy_id").agg((F.lit(6) + F.max("strategy_id") % 6).alias("base"))
     return present(rs.survival_cap(c, sizes, 0.9))
 
