@@ -31,10 +31,10 @@ HISTORY_SHARE = 2e-5
 SAMPLE = 8
 #: Counts above this are not discounted.
 K = 5
-BLOCK_TOKENS, BLOCK_TEXTS = 1_200_000, 8192
+BLOCK_TOKENS, BLOCK_TEXTS = 400_000, 8192
 BUCKET_TOKENS = 1_200_000
 #: Blocks whose scores a task adds up before it hands them on.
-HELD_BLOCKS = 400
+HELD_BLOCKS = 1000
 
 END, BEGIN = np.uint64(0x0123456789ABCDEF), 1
 _PLACES = "words binary, runs binary, doc binary, hist binary, tf binary, trained binary"
@@ -71,7 +71,7 @@ def _routed(docs: DataFrame, hot, buckets: int) -> DataFrame:
             n_tokens = np.concatenate([h[5] for h in held])
             trained = np.packbits(~np.array(out, bool), bitorder="little").tobytes()
             words, index = np.unique(tok, return_inverse=True)
-            key, tf = np.unique((index << 29) | (doc << 16) | hist, return_counts=True)
+            key, tf = np.unique((index.astype(np.int64) << 29) | (doc << 16) | hist, return_counts=True)
             index, doc, hist = key >> 29, (key >> 16) & 8191, key & 65535
             at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
             is_hot = (frequent[at] == words)[index]
@@ -107,7 +107,7 @@ def _routed(docs: DataFrame, hot, buckets: int) -> DataFrame:
                 if held and (texts + n > BLOCK_TEXTS or size + len(tok) > BLOCK_TOKENS):
                     yield from (pa.RecordBatch.from_pylist([r], schema=arrow) for r in flush())
                     number, held, texts, size = number + 1, [], 0, 0
-                held.append((tok, doc + texts, hist, piece.column("doc_id").to_pylist(), piece.column("held_out").to_pylist(), w.counts + 1))
+                held.append((tok, (doc + texts).astype(np.int32), hist.astype(np.int32), piece.column("doc_id").to_pylist(), piece.column("held_out").to_pylist(), w.counts + 1))
                 texts, size = texts + n, size + len(tok)
         if held:
             yield from (pa.RecordBatch.from_pylist([r], schema=arrow) for r in flush())
