@@ -31,8 +31,8 @@ from .words import SPACED_LOWER, chunks, distinct_sets, grams, list_of, mix64, s
 
 BANDS, ROWS = 64, 5
 SKETCH_BITS = 1024
-#: Standard errors of an estimate near the threshold that a candidate may fall short by: about six.
-SLACK = 0.15
+#: What an estimate may fall short of the threshold by: about five of its standard errors (0.026).
+SLACK = 0.13
 #: Fixed size of the filter that spares texts outside all candidate pairs; false hits only cost time.
 FILTER_BITS = 1 << 23
 #: The same for shingles that stand in two candidates; false hits only weaken the bound.
