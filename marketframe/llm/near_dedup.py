@@ -209,9 +209,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 75) -> DataF
     if not members.isEmpty():
         m, o = (members.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}"), F.col("n_shingles").alias(f"n_{n}"), F.col("common").alias(f"m_{n}"), F.col("sketch").alias(f"s_{n}"), F.col("keys").alias(f"k_{n}")) for n in "ab")
         once = F.get(F.array_intersect("k_a", "k_b"), F.lit(0)) == m.key  # a pair meets in the first bucket that it shares
-        across = m.join(o, (m.key == o.key) & (F.col("c_a") < F.col("c_b")) & likely & once).select("a", "b").distinct()
-        untried = across.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        last = cut_lineage(untried, "untried")
+        across = m.join(o, (m.key == o.key) & (F.col("c_a") < F.col("c_b")) & likely & once)
+        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        last = cut_lineage(across.join(pairs, ["a", "b"], "left_anti"), "untried")
         if not last.isEmpty():
             found = components(links.union(_confirmed(last, sets, threshold)))
 
