@@ -32,7 +32,7 @@ SAMPLE = 8
 #: Counts above this are not discounted.
 K = 5
 BLOCK_TOKENS, BLOCK_TEXTS = 400_000, 8192
-BUCKET_TOKENS = 1_200_000
+BUCKET_TOKENS = 400_000
 #: Blocks whose scores a task adds up before it hands them on.
 HELD_BLOCKS = 1000
 
