@@ -31,7 +31,7 @@ HISTORY_SHARE = 2e-5
 SAMPLE = 8
 #: Counts above this are not discounted.
 K = 5
-BLOCK_TOKENS, BLOCK_TEXTS = 400_000, 8192
+BLOCK_TOKENS, BLOCK_TEXTS = 250_000, 8192
 BUCKET_TOKENS = 400_000
 #: Blocks whose scores a task adds up before it hands them on.
 HELD_BLOCKS = 1000
@@ -90,7 +90,7 @@ def _routed(docs: DataFrame, hot, buckets: int) -> DataFrame:
             yield {"block": number, "bucket": -1, "ids": ids, "held": out, "n_tokens": n_tokens.tolist()}
 
         arrow = pa.schema([(f.name, t) for f, t in zip(ddl, [pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())], strict=True)])
-        for part in chunks(batches):
+        for part in chunks(batches, limit=800_000):
             for lo in range(0, part.num_rows, BLOCK_TEXTS // 2):
                 piece = part.slice(lo, BLOCK_TEXTS // 2)
                 w = words_of(piece.column("text"), SPACED_LOWER)
