@@ -2,18 +2,21 @@
 
 P(word | history) is the Good-Turing discounted share of the pair if training has it, else the history's
 backoff weight times P(word); P(word) is the discounted share of the word, or what the discounts leave for
-words not seen. Backoff weights are exact, so every history's probabilities add up to one. Histories are
-the begin of a text and words above a share of all tokens (at most 1 / HISTORY_SHARE words); after any other
-word the model backs off at once with weight one.
-
-Occurrences, not n-grams, are moved, and once: a block of texts sends each bucket of words the places
-(text, history, count) of its words. A bucket holds all places of its words, so counts, discounts and
-scores need only the bucket; a frequent word is dealt by word and history. Buckets are stored as a table and
-read for counts, for backoff weights, and to score; what goes to the driver has a row per history.
+words not seen. Every word of the training texts is a history, and so is the begin of a text; all words and
+pairs are counted in all training texts. Backoff weights are exact, so every history's probabilities add up
+to one.
+
+Texts are packed into blocks, which are stored. A block asks buckets of hashes for the counts of its distinct
+words and pairs, and hands over its own counts with the question: a bucket has one entry per block for a word
+or pair however frequent it is, adds up one count per distinct key, and answers in the order of the question.
+One of the blocks that hold a pair is told to own it; owners add the pair to what its history has given
+away, so every distinct pair counts once, and a second question brings the backoff weights back. What goes
+to the driver is counts of counts.
 """
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -23,148 +26,165 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .scan import fields
-from .words import SPACED_LOWER, chunks, mix64, signed, words_of
+from .words import SPACED_LOWER, chunks, mix64, words_of
 
-HISTORY_SHARE = 2e-5
-#: Share of training texts that shows which words are frequent enough to be histories.
-SAMPLE = 8
 #: Counts above this are not discounted.
 K = 5
-BLOCK_TOKENS, BLOCK_TEXTS = 250_000, 8192
-BUCKET_TOKENS = 400_000
-#: Blocks whose scores a task adds up before it hands them on.
-HELD_BLOCKS = 1000
+BLOCK_TOKENS, BUCKET_TOKENS = 500_000, 4_000_000
 
-END, BEGIN = np.uint64(0x0123456789ABCDEF), 1
-_PLACES = "words binary, runs binary, doc binary, hist binary, tf binary, trained binary"
-_ROUTED = f"block long, bucket int, {_PLACES}, ids array<long>, held array<boolean>, n_tokens array<long>"
+#: Ends every text; as a history, where it cannot stand otherwise, it is the begin of a text.
+END = np.uint64(0x0123456789ABCDEF)
+_STEP = np.uint64(0xD6E8FEB86659FD93 | 1)
+PAIRS, WORDS, HISTORIES = 0, 1, 2
+_BLOCKS = "block long, words binary, tokens binary, ids array<long>, held array<boolean>, n_tokens array<long>"
+_ASKED = "block long, kind int, bucket int, keys binary, n binary, given binary, lower binary"
+_ANSWERS = "block long, kind int, bucket int, found binary, of array<long>, total long"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+_ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()),
+}
 
-def frequent_words(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the words that serve as histories, END among them, and about how many tokens there are."""
 
-    def run(batches):
-        for part in chunks(batches):
-            value, n = np.unique(words_of(part.column("text"), SPACED_LOWER).hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(n)], names=["w", "n"])
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte of equal weight, so that bytes that are mostly zero lie together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers of the least width that holds them all."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
 
-    sample = docs.filter(F.coalesce("trained", F.lit(False)) & (F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)).select("text")
-    counted = cut_lineage(sample.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
-    tokens = counted.agg(F.sum("n")).first()[0] or 0
-    found = counted.filter(F.col("n") >= HISTORY_SHARE * tokens).select("w").toPandas()["w"].to_numpy(np.int64).view(np.uint64)
-    return np.unique(np.append(found, END)), tokens * SAMPLE
 
+def _from_small(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
-def _routed(docs: DataFrame, hot, buckets: int) -> DataFrame:
-    """Places of words by bucket, and for each block of texts (bucket -1) its ids and numbers of tokens."""
-    ddl = fields(_ROUTED)
+
+def _rows(ddl: str, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))]))
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Texts as places in the block's list of words, the frequent ones first."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        frequent = hot.value
-        held, texts, size = [], 0, 0
+        held, size = [], 0
 
         def flush():
-            tok, doc, hist = (np.concatenate([h[i] for h in held]) for i in range(3))
-            ids, out = [x for h in held for x in h[3]], [x for h in held for x in h[4]]
-            n_tokens = np.concatenate([h[5] for h in held])
-            trained = np.packbits(~np.array(out, bool), bitorder="little").tobytes()
-            words, index = np.unique(tok, return_inverse=True)
-            key, tf = np.unique((index.astype(np.int64) << 29) | (doc << 16) | hist, return_counts=True)
-            index, doc, hist = key >> 29, (key >> 16) & 8191, key & 65535
-            at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-            is_hot = (frequent[at] == words)[index]
-            mixed = mix64(words)[index] + np.where(is_hot, mix64(hist.astype(np.uint64) + np.uint64(1)), np.uint64(0))
-            bucket = (mix64(mixed) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bound = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                take = order[bound[b] : bound[b + 1]]
-                if len(take):
-                    own, runs = np.unique(index[take], return_counts=True)
-                    yield {
-                        "block": number, "bucket": b, "words": words[own].tobytes(), "runs": runs.astype("<u4").tobytes(), "doc": doc[take].astype("<u2").tobytes(),
-                        "hist": hist[take].astype("<u2").tobytes(), "tf": tf[take].astype("<u4").tobytes(), "trained": trained,
-                    }
-            yield {"block": number, "bucket": -1, "ids": ids, "held": out, "n_tokens": n_tokens.tolist()}
-
-        arrow = pa.schema([(f.name, t) for f, t in zip(ddl, [pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())], strict=True)])
-        for part in chunks(batches, limit=800_000):
-            for lo in range(0, part.num_rows, BLOCK_TEXTS // 2):
-                piece = part.slice(lo, BLOCK_TEXTS // 2)
-                w = words_of(piece.column("text"), SPACED_LOWER)
-                n = piece.num_rows
-                owner = w.owner()
-                tok = np.full(len(w.hash) + n, END, np.uint64)
-                doc = np.repeat(np.arange(n), w.counts + 1)
-                tok[np.arange(len(w.hash)) + owner] = w.hash
-                at = np.minimum(np.searchsorted(frequent, tok), len(frequent) - 1)
-                known = np.where(frequent[at] == tok, at + 2, 0)
-                hist = np.empty(len(tok), np.int64)
-                hist[1:] = known[:-1]
-                hist[w.first[:-1] + np.arange(n)] = BEGIN
-                if held and (texts + n > BLOCK_TEXTS or size + len(tok) > BLOCK_TOKENS):
-                    yield from (pa.RecordBatch.from_pylist([r], schema=arrow) for r in flush())
-                    number, held, texts, size = number + 1, [], 0, 0
-                held.append((tok, (doc + texts).astype(np.int32), hist.astype(np.int32), piece.column("doc_id").to_pylist(), piece.column("held_out").to_pylist(), w.counts + 1))
-                texts, size = texts + n, size + len(tok)
+            words, index, n = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            row = {"block": number, "words": words[order].tobytes(), "tokens": zlib.compress(_planes(rank[index]), 1)}
+            return _rows(_BLOCKS, [row | {name: [x for h in held for x in h[i]] for i, name in ((1, "ids"), (2, "held"), (3, "n_tokens"))}])
+
+        for part in chunks(batches):
+            w = words_of(part.column("text"), SPACED_LOWER)
+            n = part.num_rows
+            tok = np.full(len(w.hash) + n, END, np.uint64)
+            tok[np.arange(len(w.hash)) + w.owner()] = w.hash
+            if held and size + len(tok) > BLOCK_TOKENS:
+                yield flush()
+                number, held, size = number + 1, [], 0
+            held.append((tok, part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), (w.counts + 1).tolist()))
+            size += len(tok)
         if held:
-            yield from (pa.RecordBatch.from_pylist([r], schema=arrow) for r in flush())
+            yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), (~F.coalesce("trained", F.lit(False))).alias("held_out"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), (~F.coalesce("trained", F.lit(False))).alias("held_out"), "text").mapInArrow(run, _BLOCKS)
 
 
-class _Bucket:
-    """All places of one bucket's words."""
+class _Block:
+    """Distinct words and pairs of a stored block; ``hist`` and ``word`` are places in ``words``."""
 
-    def __init__(self, blocks: list[dict], frequent: np.ndarray):
-        def flat(name, kind):
-            return [np.frombuffer(b[name], kind) for b in blocks]
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        def of(name):
+            return batch.column(name)[row]
 
-        self.blocks = [b["block"] for b in blocks]
-        self.sizes = [len(d) for d in flat("doc", "<u2")]
-        self.doc = np.concatenate(flat("doc", "<u2"))
-        hist = np.concatenate(flat("hist", "<u2"))
-        self.tf = np.concatenate(flat("tf", "<u4"))
-        bits = [np.unpackbits(np.frombuffer(b["trained"], np.uint8), bitorder="little")[d] for b, d in zip(blocks, flat("doc", "<u2"), strict=True)]
-        learn = self.tf * np.concatenate(bits)
-        self.words, index = np.unique(np.concatenate(flat("words", np.uint64)), return_inverse=True)
-        self.word = np.repeat(index.astype(np.int32), np.concatenate(flat("runs", "<u4")))
-        self.count = np.bincount(self.word, learn, len(self.words)).astype(np.int64)
-        at = np.minimum(np.searchsorted(frequent, self.words), len(frequent) - 1)
-        self.hot = np.where(frequent[at] == self.words, at, -1)
-        key, pair = np.unique((self.word.astype(np.int64) << 16) | hist, return_inverse=True)
-        self.pair = pair.astype(np.int32)
-        self.pair_word, self.pair_hist = key >> 16, key & 65535
-        self.pair_count = np.bincount(self.pair, learn, len(key)).astype(np.int64)
+        self.number = of("block").as_py()
+        self.words = np.frombuffer(of("words").as_py(), np.uint64)
+        self.tokens = _from_planes(zlib.decompress(of("tokens").as_py()), np.uint32).astype(np.int64)
+        self.ids, self.held = of("ids").values, of("held").values
+        self.n_tokens = of("n_tokens").values.to_numpy(zero_copy_only=False)
+        self.doc = np.repeat(np.arange(len(self.n_tokens)), self.n_tokens)
+        hist = np.empty_like(self.tokens)
+        hist[1:] = self.tokens[:-1]
+        hist[0] = self.tokens[-1]  # an end, as before every other text
+        key, self.pair = np.unique(hist * len(self.words) + self.tokens, return_inverse=True)
+        self.hist, self.word = key // len(self.words), key % len(self.words)
+        self.pair_keys = mix64(self.words[self.hist] * _STEP + self.words[self.word])
+
+    def learnt(self) -> np.ndarray:
+        """Whether a token belongs to a training text."""
+        return ~self.held.to_numpy(zero_copy_only=False)[self.doc]
+
+
+def _ask(number: int, kind: int, keys: np.ndarray, buckets: int, n: np.ndarray, given=None, lower=None) -> pa.RecordBatch:
+    """Rows of a question, one for each bucket of hashes that has some of ``keys``."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    bucket = _bucket(keys, buckets)
+    some, first = np.unique(bucket, return_index=True)
+    out = []
+    for b, lo, hi in zip(some.tolist(), first.tolist(), [*first.tolist()[1:], len(keys)], strict=True):
+        row = {"block": number, "kind": kind, "bucket": b, "keys": _planes(np.diff(keys[lo:hi], prepend=np.uint64(0))), "n": _small(n[lo:hi])}
+        if given is not None:
+            row |= {"given": given[order[lo:hi]].tobytes(), "lower": lower[order[lo:hi]].tobytes()}
+        out.append(row)
+    return _rows(_ASKED, out)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _answers(asked: DataFrame, answer) -> DataFrame:
+    """Stored rows of ``answer(kind, sizes, key, n, rows)``, which gives an array per row and may add a sum.
+
+    ``key`` numbers the bucket's distinct keys in all rows laid end to end.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                kind, bucket = batch.column("kind")[row].as_py(), batch.column("bucket")[row].as_py()
+                rows = sorted(batch.column("rows")[row].as_py(), key=lambda r: r["block"])
+                keys = [np.cumsum(_from_planes(r["keys"], np.uint64)) for r in rows]
+                sizes = [len(k) for k in keys]
+                n = np.concatenate([_from_small(r["n"], size) for r, size in zip(rows, sizes, strict=True)])
+                _, first, key = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+                found, more = answer(kind, key, first, n, rows)
+                parts = np.split(found, np.cumsum(sizes)[:-1])
+                pack = _small if found.dtype == np.int64 else np.ndarray.tobytes
+                out = [{"block": r["block"], "kind": kind, "bucket": bucket, "found": pack(p)} for r, p in zip(rows, parts, strict=True)]
+                yield _rows(_ANSWERS, out + ([{"block": None, "kind": kind} | more] if more else []))
+
+    grouped = asked.groupBy("kind", "bucket").agg(F.collect_list(F.struct("block", "keys", "n", "given", "lower")).alias("rows"))
+    return cut_lineage(grouped.mapInArrow(run, _ANSWERS), "answers")
 
 
 class Katz(NamedTuple):
-    """What all buckets must know: discounts by count, counts of frequent words, and backoff by history."""
+    """What all blocks must know: numbers of trained tokens and word types, and discounts by count."""
 
     tokens: int
     types: int
-    hot_count: np.ndarray
     word_discount: np.ndarray  # by count up to K; 1 beyond
     pair_discount: np.ndarray
     unseen: float  # probability of a word not seen
     shrink: float  # of the words seen
-    hist_count: np.ndarray
-    hist_shrink: np.ndarray
-    backoff: np.ndarray
-
-    def counts(self, b: _Bucket) -> np.ndarray:
-        return np.where(b.hot >= 0, self.hot_count[b.hot], b.count)
 
     def word_probability(self, count: np.ndarray) -> np.ndarray:
         seen = self.word_discount[np.minimum(count, K + 1)] * count / max(self.tokens, 1) * self.shrink
         return np.where(count > 0, seen, self.unseen)
 
-    def pair_probability(self, count: np.ndarray, hist: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """By the pair if it was seen, else backed off to the word."""
-        seen = self.pair_discount[np.minimum(count, K + 1)] * count / np.maximum(self.hist_count[hist], 1) * self.hist_shrink[hist]
-        return np.where((count > 0) & (hist > 0), seen, self.backoff[hist] * lower)
+    def pair_share(self, count: np.ndarray, hist_count: np.ndarray) -> np.ndarray:
+        return self.pair_discount[np.minimum(count, K + 1)] * count / np.maximum(hist_count, 1)
 
 
 def discounts(of_count: np.ndarray) -> np.ndarray:
@@ -184,88 +204,60 @@ def discounts(of_count: np.ndarray) -> np.ndarray:
     return np.concatenate([[1.0], d, [1.0]])
 
 
-def _buckets(batches, hot):
-    for batch in batches:
-        for row in range(batch.num_rows):
-            yield _Bucket(batch.column("places")[row].as_py(), hot.value)
-
-
-def _over_buckets(table: DataFrame, hot, each, ddl: str) -> DataFrame:
-    """Rows that ``each`` makes of every bucket."""
-
-    def run(batches):
-        for bucket in _buckets(batches, hot):
-            yield each(bucket)
-
-    return table.select("places").mapInArrow(run, ddl)
-
-
-def _sums(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    kind = np.concatenate([np.full(len(k), i) for i, k, _ in rows])
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.concatenate([k for _, k, _ in rows]), pa.int64()), pa.array(np.concatenate([v for _, _, v in rows]), pa.float64())], names=["kind", "key", "value"])
-
-
-def _gather(made: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Sums by kind and key, a row per history at most."""
-    rows = made.groupBy("kind", "key").agg(F.sum("value").alias("value")).toPandas()
-    out = {}
-    for kind in range(6):
-        own = rows[rows["kind"] == kind]
-        out[kind] = np.zeros(max(width, K + 3))
-        out[kind][own["key"].to_numpy(np.int64)] = own["value"].to_numpy()
-    return out
-
-
-def fit(table: DataFrame, hot, width: int) -> Katz:
-    """Counts, discounts and exact backoff weights from the stored buckets."""
-
-    def count(b: _Bucket):
-        rare = b.count[b.hot < 0]
-        of_word = np.bincount(np.minimum(rare, K + 2), minlength=K + 3)
-        pairs = b.pair_hist > 0
-        of_pair = np.bincount(np.minimum(b.pair_count[pairs], K + 2), minlength=K + 3)
-        r = np.arange(K + 3)
-        frequent = np.flatnonzero(b.hot >= 0)
-        after = np.bincount(b.pair_hist, b.pair_count, minlength=2)
-        seen = np.flatnonzero(after)
-        return _sums([(0, r, of_word), (1, r, of_pair), (2, b.hot[frequent], b.count[frequent]), (3, np.zeros(1, np.int64), np.array([b.count.sum()])), (4, seen, after[seen])])
-
-    got = _gather(_over_buckets(table, hot, count, "kind int, key long, value double"), width)
-    got[4] = got[4][:width]
-    hot_count = got[2][: width - 2].astype(np.int64)
-    of_word, of_pair = got[0][: K + 3].copy(), got[1][: K + 3]
-    of_word += np.bincount(np.minimum(hot_count, K + 2), minlength=K + 3)
-    of_word[0] = 0
-    tokens, types = int(got[3][0]), int(of_word.sum())
-    word_discount, pair_discount = discounts(of_word), discounts(of_pair)
+def fit(answers: DataFrame) -> Katz:
+    """Discounts from the counts of counts of all distinct words and pairs."""
+    sums = answers.filter("block IS NULL").groupBy("kind").agg(F.sum("total").alias("total"), *[F.sum(F.get("of", F.lit(r))).alias(f"of{r}") for r in range(K + 3)])
+    got = {r["kind"]: r for r in sums.collect()}
+    of_word, of_pair = (np.array([got[k][f"of{r}"] if k in got else 0 for r in range(K + 3)], float) for k in (WORDS, PAIRS))
+    tokens, types = int(got[WORDS]["total"]) if got else 0, int(of_word[1:].sum())
+    word_discount = discounts(of_word)
     r = np.arange(K + 1)
     left = float((of_word[: K + 1] * r * (1 - word_discount[: K + 1])).sum() / max(tokens, 1)) if tokens else 1.0
     shrink = 1.0
     if left <= 0:
         left, shrink = 1 / (tokens + 1), tokens / (tokens + 1)
-    ones = np.ones(width)
-    model = Katz(tokens, types, hot_count, word_discount, pair_discount, left, shrink, got[4], ones, ones)
-    shared = table.sparkSession.sparkContext.broadcast(tuple(model))
-
-    def weigh(b: _Bucket):
-        m = Katz(*shared.value)
-        seen = np.flatnonzero((b.pair_count > 0) & (b.pair_hist > 0))
-        h = b.pair_hist[seen]
-        lower = m.word_probability(m.counts(b))[b.pair_word[seen]]
-        upper = m.pair_probability(b.pair_count[seen], h, lower)
-        keys = np.unique(h)
-        return _sums([(0, keys, np.bincount(h, upper)[keys]), (1, keys, np.bincount(h, lower)[keys])])
-
-    got2 = _gather(_over_buckets(table, hot, weigh, "kind int, key long, value double"), width)
-    got2 = {k: v[:width] for k, v in got2.items()}
-    known = got[4] > 0
-    rest = 1 - got2[0]
-    full = known & (rest <= 1e-12)  # no discounts in this history
-    hist_shrink = np.where(full, got[4] / (got[4] + 1), 1.0)
-    rest = np.where(full, 1 - got2[0] * hist_shrink, rest)
-    backoff = np.where(known, rest / np.maximum(1 - got2[1], 1e-300), 1.0)
-    backoff[0] = 1.0
-    return model._replace(hist_shrink=hist_shrink, backoff=backoff)
+    return Katz(tokens, types, word_discount, discounts(of_pair), left, shrink)
+
+
+def _counted(kind, key, first, n, rows):
+    """Twice the count of each key, and one more for the first block that holds it."""
+    count = np.bincount(key, n).astype(np.int64)
+    own = np.zeros(len(key), np.int64)
+    own[first] = 1
+    return 2 * count[key] + own, {"of": np.bincount(np.minimum(count, K + 2), minlength=K + 3).tolist(), "total": int(count.sum())}
+
+
+def _weighed(kind, key, first, n, rows):
+    """The backoff weight of each history; below zero where it has no discounts and its pairs must shrink."""
+    given, lower = (np.bincount(key, np.concatenate([np.frombuffer(r[c], np.float64) for r in rows])) for c in ("given", "lower"))
+    count = n[first]  # the same in every block
+    full = (count > 0) & (given >= 1 - 1e-12)
+    rest = 1 - np.where(full, given * count / (count + 1), given)
+    weight = np.where(count > 0, rest / np.maximum(1 - lower, 1e-300), 1.0)
+    return np.where(full, -weight, weight)[key], None
+
+
+def _with_answers(blocks: DataFrame, answers: DataFrame, buckets: int, each, ddl: str) -> DataFrame:
+    """What ``each`` makes of every block and the answers it got, by kind and in the order of its words or pairs."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, got = _Block(batch, row), {}
+                answered = batch.column("answers")[row].as_py()
+                for kind, keys in ((PAIRS, block.pair_keys), (WORDS, block.words), (HISTORIES, block.words)):
+                    own = sorted((a for a in answered if a["kind"] == kind), key=lambda a: a["bucket"])
+                    if own:
+                        order = np.argsort(keys)
+                        first = np.searchsorted(_bucket(keys[order], buckets), np.array([a["bucket"] for a in own], np.uint64)).tolist()
+                        read = _from_small if kind != HISTORIES else lambda raw, n: np.frombuffer(raw, np.float64)
+                        found = np.concatenate([read(a["found"], hi - lo) for a, lo, hi in zip(own, first, [*first[1:], len(keys)], strict=True)])
+                        got[kind] = np.empty_like(found)
+                        got[kind][order] = found
+                yield each(block, got)
+
+    of_block = answers.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "found")).alias("answers"))
+    return blocks.join(of_block, "block").mapInArrow(run, ddl)
 
 
 def katz_scores(docs: DataFrame) -> DataFrame:
@@ -278,77 +270,41 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    frequent, tokens = frequent_words(docs)
-    width = len(frequent) + 2
-    hot = sc.broadcast(frequent)
+    blocks = cut_lineage(_blocks(docs), "blocks")
+    tokens = blocks.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
-    routed = _routed(docs, hot, buckets)
-    places = F.struct("block", *[c.split()[0] for c in _PLACES.split(", ")])
-    rows = routed.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("block")).alias("own")).agg(
-        F.collect_list(places).alias("places"), F.first("ids").alias("ids"), F.first("held").alias("held"), F.first("n_tokens").alias("n_tokens")
-    )
-    stored = cut_lineage(rows, "places")
-    table = stored.filter("bucket >= 0")
-    model = fit(table, hot, width)
-    shared = sc.broadcast(tuple(model))
-
-    def score(batches):
-        m = Katz(*shared.value)
-        held: dict[int, np.ndarray] = {}
-
-        def flush():
-            out = []
-            for block, sums in held.items():
-                some = np.flatnonzero(sums.any(0))
-                out.append((block, some.astype("<u2").tobytes(), *(x[some].tobytes() for x in sums)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64() if i == 0 else pa.binary()) for i in range(5)], names=["block", "doc", "score", "base", "known"])
-
-        for b in _buckets(batches, hot):
-            count = m.counts(b)
-            lower = m.word_probability(count)
-            p = np.log10(m.pair_probability(b.pair_count, b.pair_hist, lower[b.pair_word]))
-            base, at = np.log10(count + 0.5), 0
-            for block, n in zip(b.blocks, b.sizes, strict=True):
-                part = slice(at, at + n)
-                doc, tf, word = b.doc[part], b.tf[part], b.word[part]
-                own = np.stack([np.bincount(doc, x * tf) for x in (p[b.pair[part]], base[word], count[word] > 0)])
-                sums = held.get(block)
-                if sums is None or sums.shape[1] < own.shape[1]:
-                    wide = np.zeros_like(own)
-                    if sums is not None:
-                        wide[:, : sums.shape[1]] = sums
-                    held[block] = sums = wide
-                sums[:, : own.shape[1]] += own
-                at += n
-            if len(held) > HELD_BLOCKS:
-                yield from flush()
-                held.clear()
-        if held:
-            yield from flush()
-
-    parts = table.select("places").mapInArrow(score, "block long, doc binary, score binary, base binary, known binary")
-    merged = parts.groupBy("block").agg(F.collect_list(F.struct("doc", "score", "base", "known")).alias("parts"))
-    texts = stored.filter("bucket < 0").select(F.col("own").alias("block"), "ids", "held", "n_tokens")
 
-    def finish(batches):
-        m = Katz(*shared.value)
-        scale = np.log10(m.tokens + 0.5 * (m.types + 1))
+    def ask(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                n_tokens = np.array(batch.column("n_tokens")[i].as_py(), np.int64)
-                sums = {k: np.zeros(len(n_tokens)) for k in ("score", "base", "known")}
-                for x in batch.column("parts")[i].as_py():
-                    at = np.frombuffer(x["doc"], "<u2")
-                    for k, v in sums.items():
-                        v[at] += np.frombuffer(x[k], np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("ids")[i].values, batch.column("held")[i].values, pa.array(n_tokens), pa.array(np.rint(sums["known"]).astype(np.int64)),
-                        pa.array(np.full(len(n_tokens), m.tokens)), pa.array(sums["base"] - n_tokens * scale), pa.array(sums["score"]),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.join(merged, "block").select("ids", "held", "n_tokens", "parts").mapInArrow(finish, ddl)
+            for row in range(batch.num_rows):
+                b = _Block(batch, row)
+                learnt = b.learnt()
+                yield _ask(b.number, PAIRS, b.pair_keys, buckets, np.bincount(b.pair, learnt, len(b.word)).astype(np.int64))
+                yield _ask(b.number, WORDS, b.words, buckets, np.bincount(b.tokens, learnt, len(b.words)).astype(np.int64))
+
+    counts = _answers(blocks.mapInArrow(ask, _ASKED), _counted)
+    model = fit(counts)
+
+    def give(b: _Block, got):
+        """What the pairs this block owns take from their histories, and what their words would take."""
+        count, n = got[PAIRS] >> 1, got[WORDS] >> 1
+        own = np.flatnonzero((got[PAIRS] & 1 == 1) & (count > 0))
+        hist = b.hist[own]
+        given = np.bincount(hist, model.pair_share(count[own], n[hist]), len(b.words))
+        lower = np.bincount(hist, model.word_probability(n)[b.word[own]], len(b.words))
+        return _ask(b.number, HISTORIES, b.words, buckets, n, given, lower)
+
+    weights = _answers(_with_answers(blocks, counts, buckets, give, _ASKED), _weighed)
+
+    def score(b: _Block, got):
+        count, n, weight = got[PAIRS] >> 1, got[WORDS] >> 1, got[HISTORIES]
+        kept = np.where(weight < 0, n / (n + 1), 1.0)[b.hist]
+        p = np.where(count > 0, model.pair_share(count, n[b.hist]) * kept, np.abs(weight)[b.hist] * model.word_probability(n)[b.word])
+        base = np.log10(n + 0.5) - np.log10(model.tokens + 0.5 * (model.types + 1))
+        sums = [np.bincount(b.doc, x, len(b.n_tokens)) for x in (np.log10(p)[b.pair], base[b.tokens], (n > 0)[b.tokens])]
+        return pa.RecordBatch.from_arrays(
+            [b.ids, b.held, pa.array(b.n_tokens), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(b.n_tokens), model.tokens)), pa.array(sums[1]), pa.array(sums[0])],
+            names=[c.split()[0] for c in _SCORES.split(", ")],
+        )
+
+    return _with_answers(blocks, counts.unionByName(weights), buckets, score, _SCORES)
