@@ -67,3 +67,17 @@ def test_op5_all_words_are_histories(spark, blocks):
     got = {r.doc_id: r.score for r in katz.katz_scores(rows).collect()}
     assert got.keys() == want.keys()
     assert max(abs(got[d] - want[d]) for d in want) < 1e-6
+
+
+def test_op5_hot_pair_is_asked_for_once_per_block(spark, monkeypatch):
+    """Thousands of copies of a text put no entry per document into a bucket."""
+    asked, answers = [], katz._answers
+
+    def watched(rows, answer):
+        asked.append(rows.selectExpr("sum(length(keys) / 8)").first()[0])
+        return answers(rows, answer)
+
+    monkeypatch.setattr(katz, "_answers", watched)
+    docs = spark.range(4000, numPartitions=2).selectExpr("id AS doc_id", "'always same' AS text", "true AS trained")
+    assert katz.katz_scores(docs).filter("n_known = 3 AND train_tokens = 12000").count() == 4000
+    assert asked == [2 * (3 + 3), 2 * 3]
