@@ -1,8 +1,8 @@
 """Verdicts on URLs from path templates of each host.
 
-Paths of a host form a tree. Level by level a segment stays as it is if enough of its parent's pages have
-it, and else becomes a wildcard; branches whose labelled rates do not differ significantly from their
-siblings' are merged into the wildcard too. A template is rejected if its share of blocked labels,
+Paths of a host form a tree. Level by level, to the deepest, a segment stays as it is if its labelled rate
+differs significantly from its siblings', and else becomes a wildcard; branches without labels have a wildcard
+of their own where few labels would speak for many pages. A template is rejected if its share of blocked labels,
 smoothed towards the host's and the host's towards all hosts', reaches a threshold.
 """
 
@@ -42,31 +42,38 @@ def longest_rule(rules: list[tuple[str, str, str]], host: Column, path: Column)
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
-def path_templates(paths: DataFrame, depth: int = 6, support: int = 5, share: float = 0.02, z: float = 1.96) -> DataFrame:
+def path_templates(paths: DataFrame, z: float = 1.96) -> DataFrame:
     """``paths`` (host, path, n, labelled, blocked: one row each) with their ``template``.
 
-    Segments beyond ``depth`` become one ``**``. A segment stays if at least ``support`` pages and a
-    ``share`` of the parent's pages have it and its labelled rate differs from that of the other labelled
-    pages of the parent by ``z`` standard errors; unlabelled branches merge into the wildcard. Every level
-    is written once, since three parts of the next one read it.
+    A segment stays if it has labels and its labelled rate differs from that of the other labelled pages of
+    the parent by ``z`` standard errors, or no others are labelled. The other labelled branches merge into
+    ``*``. Branches without labels join them where those labels are at least as many as the pages they would
+    speak for, or none; else they become ``?``, which no path contains. Every level is written once, since
+    three parts of the next one read it; paths that end are not read again.
     """
+    columns = [*paths.columns, "template"]
     tree = paths.withColumn("parts", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
     tree = cut_lineage(tree, "paths")
     deepest = tree.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(min(depth, deepest)):
-        here = tree.withColumn("part", F.get("parts", F.lit(level)))
-        branch = here.filter("part IS NOT NULL").groupBy("host", "template", "part").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        parent = branch.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
-        both = branch.join(parent, ["host", "template"])
+    ended = tree.filter(F.size("parts") == 0).select(columns)
+    for level in range(deepest):
+        here = tree.filter(F.size("parts") > level).withColumn("part", F.get("parts", F.lit(level)))
+        branch = here.groupBy("host", "template", "part").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        parent = branch.groupBy("host", "template").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         others = F.col("pl") - F.col("l")
         pooled = F.col("pb") / F.col("pl")
         gap = F.col("b") / F.col("l") - (F.col("pb") - F.col("b")) / others
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / others))
         differs = F.when((F.col("l") > 0) & (others > 0), F.abs(gap) > z * error).otherwise(F.col("l") > 0)
-        stays = both.filter((F.col("n") >= F.greatest(F.lit(support), F.col("pn") * share)) & differs).select("host", "template", "part", F.lit(True).alias("stays"))
-        step = F.when(F.col("part").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("stays"), F.col("part")).otherwise("*")))
-        tree = cut_lineage(here.join(stays, ["host", "template", "part"], "left").select(*paths.columns, "parts", F.concat("template", step).alias("template")), "paths")
-    return tree.select(*paths.columns, F.concat("template", F.when(F.size("parts") > depth, "/**").otherwise("")).alias("template"))
+        both = branch.join(parent, ["host", "template"]).withColumn("stays", differs)
+        merged = both.groupBy("host", "template").agg(F.sum(F.when(~F.col("stays"), F.col("l"))).alias("ml"), F.sum(F.when(F.col("l") == 0, F.col("n"))).alias("silent"))
+        speaks = (F.col("l") > 0) | (F.col("ml") == 0) | (F.col("ml") >= F.col("silent"))
+        name = F.when(F.col("stays"), F.col("part")).when(speaks, F.lit("*")).otherwise("?")
+        named = both.join(merged, ["host", "template"]).select("host", "template", "part", F.concat(F.lit("/"), name).alias("step"))
+        step = here.join(named, ["host", "template", "part"]).select(*paths.columns, "parts", F.concat("template", "step").alias("template"))
+        tree = cut_lineage(step, "paths")
+        ended = ended.unionByName(tree.filter(F.size("parts") == level + 1).select(columns))
+    return ended
 
 
 def template_verdicts(pages: DataFrame, weight: float = 2.0, threshold: float = 0.5) -> DataFrame:

@@ -10,6 +10,7 @@ import brute
 import pytest
 
 from marketframe.llm import katz
+from marketframe.llm.url_templates import template_verdicts
 
 
 def plain_katz(docs):
@@ -81,3 +82,17 @@ def test_op5_hot_pair_is_asked_for_once_per_block(spark, monkeypatch):
     docs = spark.range(4000, numPartitions=2).selectExpr("id AS doc_id", "'always same' AS text", "true AS trained")
     assert katz.katz_scores(docs).filter("n_known = 3 AND train_tokens = 12000").count() == 4000
     assert asked == [2 * (3 + 3), 2 * 3]
+
+
+def test_op4_small_branches_speak_for_themselves_only(spark):
+    """One page in a hundred is blocked, at any depth; unlabelled siblings are judged by the host."""
+    pages = [("b.com", f"/fr/{i}", False) for i in range(500)] + [("b.com", f"/de/{i}", True) for i in range(10)] + [("b.com", f"/s{i % 70}/{i}", None) for i in range(490)]
+    deep = "/1/2/3/4/5/6/7"
+    pages += [("d.com", f"{deep}/fr/{i}", False) for i in range(300)] + [("d.com", f"{deep}/de/{i}", True) for i in range(4)]
+    # two blocked branches that are alike: they merge, but are few beside what has no labels
+    pages += [("e.com", f"/ok/{i}", False) for i in range(500)] + [("e.com", f"/{k}/{i}", True) for k in ("x", "y") for i in range(40)] + [("e.com", f"/t{i % 50}/{i}", None) for i in range(900)]
+    pages += [("e.com", f"/p{i}/{i}", False) for i in range(3)]
+    rows = spark.createDataFrame(pages, "host string, path string, blocked boolean")
+    got = {(r.host, r.path): r.rejected for r in template_verdicts(rows).collect()}
+    assert len(got) == len(pages)
+    assert [(h, p) for h, p, blocked in pages if got[(h, p)] != bool(blocked)] == []
