@@ -16,6 +16,7 @@ from .decontaminate import benchmark_hits, is_contaminated
 from .fingerprint import OnePermutation, in_order, with_next
 from .katz import katz_scores
 from .license_scan import scan_licenses
+from .main_text import main_text_of
 from .near_dedup import near_groups
 from .substring_dedup import remove_repeats
 from .token_cache import count_tokens
@@ -127,9 +128,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", main_text_of(F.col("html")).alias("text"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op5_katz_scores, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan)
+    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op5_katz_scores, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan, op11_main_text)
 }
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op3_benchmark_decontamination": oracles.DECONTAMINATION, "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
