@@ -18,6 +18,7 @@ from .katz import katz_scores
 from .license_scan import scan_licenses
 from .main_text import main_text_of
 from .near_dedup import near_groups
+from .spelling import variants, word_counts
 from .substring_dedup import remove_repeats
 from .token_cache import count_tokens
 from .toxicity import learn, score_texts
@@ -133,9 +134,19 @@ def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one in 199 (document, run) pairs the run loses a code point, so that there are misspellings; a null id is empty."""
+    word = F.col("word")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), word).cast("binary"))
+    at = (h % F.length(word)).cast("int")
+    changed = F.when(h % 199 == 0, F.concat(word.substr(F.lit(1), at), word.substr(at + 2, F.length(word)))).otherwise(word)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants(word_counts(docs, change=changed)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op5_katz_scores, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan, op11_main_text)
+    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op5_katz_scores, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan, op11_main_text, op12_spelling_variants)
 }
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op3_benchmark_decontamination": oracles.DECONTAMINATION, "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
