@@ -38,3 +38,17 @@ x AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM m),
 k AS (SELECT rid, string_agg(t, ' ' ORDER BY p) AS kept FROM f ANTI JOIN x USING (rid, p) GROUP BY 1),
 c AS (SELECT rid, count(*) AS n FROM x GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid) LEFT JOIN c USING (rid)"""
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+LEXICAL_SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, {_TERMS}) AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all({_LOW}, {_TERMS}) AS w FROM benchmark),
+q AS (SELECT DISTINCT iid, item_id, unnest(w) AS t FROM i),
+c AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+f AS (SELECT rid, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
+p AS (SELECT rid, doc_id, n, t, count(*)::BIGINT AS tf FROM f SEMI JOIN q USING (t) GROUP BY ALL),
+x AS (SELECT t, floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY t, c.n),
+s AS (SELECT iid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * c.n) // c.l))))::BIGINT AS score
+  FROM q JOIN x USING (t) JOIN p USING (t), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50"""

@@ -15,6 +15,7 @@ from .bpe import encode_texts
 from .decontaminate import benchmark_hits, is_contaminated
 from .fingerprint import OnePermutation, in_order, with_next
 from .katz import katz_scores
+from .lexical import ranked
 from .license_scan import scan_licenses
 from .main_text import main_text_of
 from .near_dedup import near_groups
@@ -144,10 +145,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(word_counts(docs, change=changed)).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op5_katz_scores, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan, op11_main_text, op12_spelling_variants)
+    for f in (op1_fingerprints, op2_near_duplicates, op3_benchmark_decontamination, op4_url_filter, op5_katz_scores, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_bpe_round_trip, op10_license_scan, op11_main_text, op12_spelling_variants, op13_lexical_search)
 }
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op3_benchmark_decontamination": oracles.DECONTAMINATION, "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op13_lexical_search": oracles.LEXICAL_SEARCH,
 }
