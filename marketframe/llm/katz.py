@@ -150,23 +150,41 @@ def _answers(asked: DataFrame, answer) -> DataFrame:
     ``key`` numbers the bucket's distinct keys in all rows laid end to end.
     """
 
+    def answered(kind, bucket, rows):
+        sizes = [size for *_, size in rows]
+        keys = np.concatenate([r.pop("keys") for r, _ in rows])
+        n = np.concatenate([r.pop("n") for r, _ in rows])
+        _, first, key = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
+        found, more = answer(kind, key, first, n, [r for r, _ in rows])
+        pack = _small if found.dtype == np.int64 else np.ndarray.tobytes
+        at = 0
+        for r, size in rows:
+            yield _rows(_ANSWERS, [{"block": r["block"], "kind": kind, "bucket": bucket, "found": pack(found[at : at + size])}])
+            at += size
+        if more:
+            yield _rows(_ANSWERS, [{"block": None, "kind": kind} | more])
+
     def run(batches):
+        place, rows = None, []
         for batch in batches:
             for row in range(batch.num_rows):
-                kind, bucket = batch.column("kind")[row].as_py(), batch.column("bucket")[row].as_py()
-                rows = sorted(batch.column("rows")[row].as_py(), key=lambda r: r["block"])
-                keys = [np.cumsum(_from_planes(r["keys"], np.uint64)) for r in rows]
-                sizes = [len(k) for k in keys]
-                n = np.concatenate([_from_small(r["n"], size) for r, size in zip(rows, sizes, strict=True)])
-                _, first, key = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-                found, more = answer(kind, key, first, n, rows)
-                parts = np.split(found, np.cumsum(sizes)[:-1])
-                pack = _small if found.dtype == np.int64 else np.ndarray.tobytes
-                out = [{"block": r["block"], "kind": kind, "bucket": bucket, "found": pack(p)} for r, p in zip(rows, parts, strict=True)]
-                yield _rows(_ANSWERS, out + ([{"block": None, "kind": kind} | more] if more else []))
-
-    grouped = asked.groupBy("kind", "bucket").agg(F.collect_list(F.struct("block", "keys", "n", "given", "lower")).alias("rows"))
-    return cut_lineage(grouped.mapInArrow(run, _ANSWERS), "answers")
+                r = {c: batch.column(c)[row].as_py() for c in ("block", "kind", "bucket", "given", "lower")}
+                here = (r.pop("kind"), r.pop("bucket"))
+                if rows and here != place:
+                    yield from answered(*place, rows)
+                    rows = []
+                place = here
+                r["keys"] = np.cumsum(_from_planes(batch.column("keys")[row].as_buffer(), np.uint64))
+                size = len(r["keys"])
+                r["n"] = _from_small(batch.column("n")[row].as_buffer(), size)
+                rows.append((r, size))
+        if rows:
+            yield from answered(*place, rows)
+
+    # sorted rows stream by: a task holds one bucket, and what is sorted may spill
+    dealt = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block")
+    return cut_lineage(dealt.select("block", "kind", "bucket", "keys", "n", "given", "lower").mapInArrow(run, _ANSWERS), "answers")
 
 
 class Katz(NamedTuple):
