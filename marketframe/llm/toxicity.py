@@ -13,16 +13,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .scan import scan_texts
-from .words import _POWERS, ALNUM_LOWER, Words, chunks, mix64, words_of
+from .words import _POWERS, ALNUM_LOWER, Words, buffers, chunks, list_of, mix64, signed, words_of
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
-#: Labelled rows to learn from, at most: this many of each class, those whose id hashes lowest.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2_500, 5_000
+#: Labelled documents to learn from, at most: this many of each class, those whose id hashes lowest, and
+#: no more than this many characters of whole texts.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_500, 5_000, 60_000_000
 
 
 class Model(NamedTuple):
@@ -68,45 +70,63 @@ def word_logits(w: Words, place: np.ndarray, model: Model) -> np.ndarray:
     return model.bias + np.bincount(owner, model.weight[bucket], len(place)) / np.maximum(n, 1)
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (text, distinct word), and the n-gram buckets of all words end to end with their number by word.
+class Bags(NamedTuple):
+    """Pairs (text, distinct word), and the n-gram buckets of all words end to end with their number by word."""
 
-    Texts are taken in parts, so that little more than the result is held.
-    """
-    seen = np.zeros(0, np.uint64)
-    docs, hashes, made, buckets, counts = [], [], [], [], []
-    sizes = np.cumsum([len(t) for t in texts]) // 500_000
-    for part in np.unique(sizes):
-        own = np.flatnonzero(sizes == part)
-        w = words_of(pa.array([texts[i] for i in own], pa.string()), ALNUM_LOWER)
-        value, place, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        pair = np.unique(w.owner() * max(len(value), 1) + which)  # a word counts once in a text
-        docs.append(own[pair // max(len(value), 1)].astype(np.int32))
-        hashes.append(value[pair % max(len(value), 1)])
-        fresh = ~np.isin(value, seen)
-        bucket, owner = word_grams(w.data, w.start[place[fresh]], w.end[place[fresh]])
-        order = np.argsort(owner, kind="stable")
-        buckets.append(bucket[order].astype(np.int32))
-        counts.append(np.bincount(owner, minlength=int(fresh.sum())))
-        made.append(value[fresh])
-        seen = np.union1d(seen, value)
-    made_all = np.concatenate(made)
-    order = np.argsort(made_all)
-    word = order[np.searchsorted(made_all, np.concatenate(hashes), sorter=order)]
-    return np.concatenate(docs), word, np.concatenate(buckets), np.concatenate(counts)
-
-
-def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, epochs: int = 3, batch: int = 8_192, rate: float = 0.02, seed: int = 7) -> Model:
+    texts: int
+    doc: np.ndarray
+    word: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+
+
+def _distinct_words(texts: DataFrame) -> DataFrame:
+    """(number, toxic, hashes, words): the distinct words of each text."""
+
+    def run(batches):
+        for part in chunks(batches, limit=200_000):
+            w = words_of(part.column("text"), ALNUM_LOWER)
+            value, place, which = np.unique(w.hash, return_index=True, return_inverse=True)
+            many = max(len(value), 1)
+            pair = np.unique(w.owner() * many + which)  # a word counts once in a text
+            off = np.searchsorted(pair // many, np.arange(part.num_rows + 1))
+            raw = w.data.tobytes()
+            spelt = pa.array([raw[a:b] for a, b in zip(w.start[place].tolist(), w.end[place].tolist(), strict=True)], pa.binary())
+            words = pa.ListArray.from_arrays(pa.array(off, pa.int32()), spelt.take(pa.array(pair % many)))
+            yield pa.RecordBatch.from_arrays([part.column("number"), part.column("toxic"), list_of(signed(value[pair % many]), off, pa.int64()), words], names=["number", "toxic", "hashes", "words"])
+
+    return texts.select("number", "toxic", "text").mapInArrow(run, "number long, toxic boolean, hashes array<long>, words array<binary>")
+
+
+def _bags(docs: pa.Table, words: pa.Table, step: int = 20_000) -> Bags:
+    """Bags from distinct words by text and the words' bytes; n-grams are made for a part of the words at a time."""
+    hashes = docs.column("hashes").combine_chunks()
+    doc = np.repeat(np.arange(docs.num_rows, dtype=np.int32), np.diff(hashes.offsets.to_numpy()))
+    value = words.column("hash").to_numpy()
+    order = np.argsort(value)
+    word = order[np.searchsorted(value, hashes.flatten().to_numpy(), sorter=order)]
+    buckets, counts = [], []
+    for at in range(0, words.num_rows, step):
+        raw, off = buffers(words.column("word").slice(at, step).combine_chunks())
+        bucket, owner = word_grams(raw, off[:-1], off[1:])
+        by = np.argsort(owner, kind="stable")
+        buckets.append(bucket[by].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(off) - 1))
+    none = [np.zeros(0, np.int32)]
+    return Bags(docs.num_rows, doc, word, np.concatenate(buckets or none), np.concatenate(counts or none))
+
+
+def train(bags: Bags, toxic: np.ndarray, dim: int = 8, rounds: int = 4, epochs: int = 3, batch: int = 8_192, rate: float = 0.02, seed: int = 7) -> Model:
     """Fit vectors and softmax on labelled texts. Without both classes: a constant by the labels' share."""
     toxic = np.asarray(toxic, bool)
-    if all(not len(words_of(pa.array([t], pa.string()), ALNUM_LOWER).hash) for t in texts):
+    texts, all_doc, all_word, bucket, count = bags
+    if not len(count):
         toxic = toxic[:0]
     if not len(toxic) or toxic.all() or not toxic.any():
         share = (toxic.sum() + 0.5) / (len(toxic) + 1.0) if len(toxic) else 0.01
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    all_doc, all_word, bucket, count = _bags(texts)
     n = len(count)
-    held = np.arange(len(texts)) % 5 == 0 if len(texts) >= 50 else np.zeros(len(texts), bool)  # for the scale of scores
+    held = np.arange(texts) % 5 == 0 if texts >= 50 else np.zeros(texts, bool)  # for the scale of scores
     if toxic[~held].all() or not toxic[~held].any() or toxic[held].all() or not toxic[held].any():
         held[:] = False
     doc, word = all_doc[~held[all_doc]], all_word[~held[all_doc]]
@@ -118,7 +138,7 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ep
     bad = toxic[doc]
     clean = np.bincount(word[~bad], minlength=n).astype(float)
     dirty_doc, dirty_word = doc[bad], word[bad]
-    share = 1.0 / np.bincount(dirty_doc, minlength=len(texts))[dirty_doc]
+    share = 1.0 / np.bincount(dirty_doc, minlength=texts)[dirty_doc]
     step = 0
     for r in range(rounds):
         carried = np.bincount(dirty_word, share, n)
@@ -150,14 +170,14 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ep
         scale = (params[0] @ (params[1][:, 1] - params[1][:, 0])).astype(np.float32)
         odds = np.concatenate([np.add.reduceat(scale[bucket[first[a] : first[min(a + batch, n)]]], first[a : min(a + batch, n)] - first[a]) for a in range(0, n, batch)]) / count
         # a word's part of its text's label
-        top = np.full(len(texts), -np.inf)
+        top = np.full(texts, -np.inf)
         np.maximum.at(top, dirty_doc, odds[dirty_word])
         power = np.exp(odds[dirty_word] - top[dirty_doc])
-        share = power / np.bincount(dirty_doc, power, len(texts))[dirty_doc]
+        share = power / np.bincount(dirty_doc, power, texts)[dirty_doc]
     weight = params[0] @ (params[1][:, 1] - params[1][:, 0])
-    best = np.full(len(texts), -np.inf)
+    best = np.full(texts, -np.inf)
     np.maximum.at(best, all_doc, odds[all_word])
-    scale = held if held.any() else np.ones(len(texts), bool)
+    scale = held if held.any() else np.ones(texts, bool)
     return _calibrated(weight, best[scale], toxic[scale])
 
 
@@ -179,16 +199,25 @@ def _calibrated(weight: np.ndarray, best: np.ndarray, toxic: np.ndarray) -> Mode
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of ``labels`` (doc_id, toxic): ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows.
+    """Train on a bounded sample of ``labels`` (doc_id, toxic): ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents.
 
-    The sample is taken by hash of the id, the same on any partitioning; its texts are whole. Null labels
-    and labels without a document are left out.
+    The sample is taken by hash of the id, the same on any partitioning; its texts are whole, and a text that
+    would pass ``SAMPLE_CHARS`` in all is left out. A document of several rows is learnt from its least text, one of
+    several labels is toxic if one says so. Null labels and labels without a document are left out. Words are
+    found by the tasks; the driver gets numbers of words by text and each distinct word once.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("toxic").orderBy(*order).limit(SAMPLE_TOXIC).union(known.filter("NOT toxic").orderBy(*order).limit(SAMPLE_CLEAN))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").sort(F.xxhash64("doc_id"), "doc_id", "text").toPandas()
-    return train(list(rows["text"]), rows["toxic"].to_numpy(bool))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = cut_lineage(rows, "sample")
+    place = Window.orderBy(*order)  # of ids and lengths, in number bounded by the sample
+    sizes = rows.select("doc_id", F.length("text").alias("size")).withColumns({"number": F.row_number().over(place).cast("long"), "upto": F.sum("size").over(place)})
+    rows = rows.join(F.broadcast(sizes.filter(F.col("upto") <= SAMPLE_CHARS).select("doc_id", "number")), "doc_id")
+    found = cut_lineage(_distinct_words(rows), "words")
+    texts = found.select("number", "toxic", "hashes").orderBy("number").toArrow()
+    pairs = found.select(F.explode(F.arrays_zip("hashes", "words")).alias("w")).groupBy(F.col("w.hashes").alias("hash")).agg(F.min("w.words").alias("word"))
+    return train(_bags(texts, pairs.orderBy("hash").toArrow()), texts.column("toxic").to_numpy())
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
