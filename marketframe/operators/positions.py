@@ -185,29 +185,33 @@ def mark_prices(points: DataFrame, closes: DataFrame, keys: list[str]) -> DataFr
 
 
 def loss_limit_flags(fills: DataFrame, daily_loss: float, trailing_loss: float, max_contracts: int, start: float = 50000.0, levels: int = 3,
-                     segment: Segment = month_of) -> DataFrame:
+                     segment: Segment = month_of, session: Column | None = None) -> DataFrame:
     """Judge every fill of a log against position cap, realised-loss limit and trailing drawdown.
 
     Reducing fills always pass. The first breach halts everything after it that increases exposure.
     Works on the equity known before the fill: start plus realised profit of the whole account.
+    With ``session`` (sessions follow each other in time) positions go on, but profit, peak and halt start
+    over in each; scans then run over account and session, segments still cut each of those.
     """
-    f = average_cost(fills, levels, segment).select(*KEYS, "d", "fill_key", "qty", "net", "before", "gain")
+    f = average_cost(fills, levels, segment)
+    f = f.select(*KEYS, "d", "fill_key", "qty", "net", "before", "gain", *([] if session is None else [session.alias("session")]))
+    keys = ["account"] if session is None else ["account", "session"]
     f = cut_lineage(f, "cost")
     order, seg = ["d", "fill_key"], segment(F.col("d"))
-    f = segmented(f, ["account"], order, seg, {"__total": ("sum", F.col("gain").cast("decimal(28,6)"))})
+    f = segmented(f, keys, order, seg, {"__total": ("sum", F.col("gain").cast("decimal(28,6)"))})
     f = cut_lineage(f, "total")
     known = (F.col("__total") - F.col("gain").cast("decimal(28,6)")).cast("double")
     f = f.withColumns({"realised_before": known, "increases": F.abs("net") >= F.abs("before")})
     over = F.abs("net") > max_contracts
     checked = F.col("increases") & ~over
-    f = segmented(f, ["account"], order, seg, {"__peak": ("max", F.when(checked, F.col("realised_before")))})
+    f = segmented(f, keys, order, seg, {"__peak": ("max", F.when(checked, F.col("realised_before")))})
     peak = F.greatest(F.coalesce("__peak", F.lit(0.0)), F.lit(0.0))
     f = f.withColumn("drawdown", peak - F.col("realised_before"))
     breach = checked & ((F.col("realised_before") <= -daily_loss) | (F.col("drawdown") >= trailing_loss))
     # the latch needs only the place of each account's first breach
     f = cut_lineage(f.withColumn("breach", breach), "breach")
-    first = f.filter("breach").groupBy("account").agg(F.min(F.struct("d", "fill_key")).alias("__first"))
-    f = f.join(first, "account", "left")
+    first = f.filter("breach").groupBy(*keys).agg(F.min(F.struct("d", "fill_key")).alias("__first"))
+    f = f.join(first, keys, "left")
     verdict = (
         F.when(~F.col("increases"), "reduce")
         .when(F.col("__first") < F.struct("d", "fill_key"), "halted")

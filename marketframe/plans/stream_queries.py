@@ -11,7 +11,7 @@ from ..streaming import jobs, state
 from . import feed_queries as fq
 from .quote_queries import WIDE3, _BARS_SELECT, _bars_sql
 from .stat_queries import A21_SQL
-from .trade_queries import W8_SQL, W10_SQL, v_f
+from .trade_queries import SESSION, SESSION_LIMITS, W8_SQL, W10_SESSIONS_SQL, W10_SQL, v_f
 from .views import present, sql, v_quotes, v_ret, v_ticks
 
 _FLAT = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -77,25 +77,48 @@ ST3_SQL = sql(
 )
 
 
-def _flat_fills(spark, sf):
-    f = v_f(spark, sf)
-    return f.select("account", "root", "d", "qty", "price", F.col("multiplier").cast("double").alias("multiplier"), *[F.col(f"fill_key.{c}").alias(c) for c in _FLAT])
+#: Fills come up to so many days after the day they are of; deliveries follow the day they come.
+LAG_DAYS, DELAY, WIDTH = 45, "60 days", 120 * state.DAY
+
+
+def _flat_fills(fills, *columns):
+    """Fills with plain ordering columns, event time, and the day they arrive; days of one account arrive mixed."""
+    lag = F.pmod(F.xxhash64("fill_key"), F.lit(LAG_DAYS)).cast("int")
+    flat = fills.select("account", "root", "d", "qty", *columns, *[F.col(f"fill_key.{c}").alias(c) for c in _FLAT], F.date_add("d", lag).alias("arrives"))
+    return flat.withColumn("ts", F.col("d").cast("timestamp"))
+
+
+def _deliver_mixed(spark, rows, start):
+    """Deliver by day of arrival, and at last a row a year later of an account of its own, which moves the watermark."""
+    last = rows.agg(F.max("ts").alias("__ts"), F.first(F.struct(*rows.columns), ignorenulls=True).alias("__row"))
+    flush = last.select("__row.*", "__ts").withColumns({"account": F.lit(-1).cast("bigint"), "ts": F.col("__ts") + F.expr("INTERVAL 1 YEAR")}).select(*rows.columns)
+    _deliver(spark, rows, "arrives", YEARS, start, flush)
 
 
 def st4(spark, sf):
-    jobs.use_rocksdb(spark)
     sink, ckpt = work_dir(spark, "sink"), work_dir(spark, "ckpt")
-    _deliver(spark, _flat_fills(spark, sf), "d", YEARS, lambda stream: jobs._start(state.position_stream(stream, ["d", *_FLAT]), sink, ckpt))
-    out = spark.read.parquet(sink)
+    jobs.use_rocksdb(spark)
+    fills = _flat_fills(v_f(spark, sf), "price", F.col("multiplier").cast("double").alias("multiplier"))
+    _deliver_mixed(spark, fills, lambda stream: jobs.keyed_stream(state.position_stream(stream, ["d", *_FLAT], delay=DELAY, width=WIDTH), sink, ckpt))
+    out = spark.read.parquet(sink).filter("NOT late")
     return present(out.select("account", "root", "d", "qty", "net", F.round(F.col("avg_price") + 1e-7, 4).alias("avg_price"), F.round(F.col("realised") + 0.001, 1).alias("realised")))
 
 
-def st5(spark, sf):
-    jobs.use_rocksdb(spark)
-    log = pos.average_cost(v_f(spark, sf)).select("account", "d", "qty", "net", F.col("gain"), *[F.col(f"fill_key.{c}").alias(c) for c in _FLAT])
+def _latch(spark, sf, limits, session=None):
     sink, ckpt = work_dir(spark, "sink"), work_dir(spark, "ckpt")
-    _deliver(spark, log, "d", YEARS, lambda stream: jobs._start(state.latch_stream(stream, ["d", *_FLAT], 5e6, 2e7, 60), sink, ckpt))
-    return present(spark.read.parquet(sink).groupBy("account", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last")))
+    jobs.use_rocksdb(spark)
+    log = _flat_fills(pos.average_cost(v_f(spark, sf)), "net", "gain")
+    _deliver_mixed(spark, log, lambda stream: jobs.keyed_stream(state.latch_stream(stream, ["d", *_FLAT], *limits, delay=DELAY, width=WIDTH, session=session), sink, ckpt))
+    return spark.read.parquet(sink).filter("NOT late")
+
+
+def st5(spark, sf):
+    return present(_latch(spark, sf, (5e6, 2e7, 60)).groupBy("account", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last")))
+
+
+def st5_sessions(spark, sf):
+    out = _latch(spark, sf, SESSION_LIMITS, F.expr(SESSION))
+    return present(out.groupBy("account", "session", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last")))
 
 
 def st6(spark, sf):
@@ -108,12 +131,12 @@ def st6(spark, sf):
 
 
 QUERIES = {
-    "ST1_stream_ingest": st1, "ST2_stream_consensus": st2, "ST3_stream_tick_bars": st3, "ST4_stream_positions": st4, "ST5_stream_loss_latch": st5, "ST6_stream_decay": st6,
+    "ST1_stream_ingest": st1, "ST2_stream_consensus": st2, "ST3_stream_tick_bars": st3, "ST4_stream_positions": st4, "ST5_stream_loss_latch": st5, "ST5_stream_session_latch": st5_sessions, "ST6_stream_decay": st6,
 }
 
 ORACLES = {
     "ST1_stream_ingest": sql("""WITH q AS (SELECT contract, day(ts) AS day, CASE WHEN day(ts) = 2 THEN 2 ELSE 1 END AS k FROM v_quotes)
         SELECT contract, day, sum(k)::BIGINT AS n, sum(k)::BIGINT AS hashes FROM q GROUP BY 1, 2"""),
     "ST2_stream_consensus": sql(_bars_sql(WIDE3) + _BARS_SELECT),
-    "ST3_stream_tick_bars": ST3_SQL, "ST4_stream_positions": W8_SQL, "ST5_stream_loss_latch": W10_SQL, "ST6_stream_decay": A21_SQL,
+    "ST3_stream_tick_bars": ST3_SQL, "ST4_stream_positions": W8_SQL, "ST5_stream_loss_latch": W10_SQL, "ST5_stream_session_latch": W10_SESSIONS_SQL, "ST6_stream_decay": A21_SQL,
 }

@@ -150,6 +150,16 @@ def w10(spark, sf):
     return present(f.groupBy("account", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last")))
 
 
+#: Limits of a session, which is a quarter here: an account trades on few days of the test data.
+SESSION = "string(date(date_trunc('quarter', d)))"
+SESSION_LIMITS = (1e6, 3e6, 60)
+
+
+def w10_sessions(spark, sf):
+    f = pos.loss_limit_flags(v_f(spark, sf), *SESSION_LIMITS, session=F.expr(SESSION))
+    return present(f.groupBy("account", "session", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last")))
+
+
 def w11(spark, sf):
     e = pos.equity_curve(v_f(spark, sf), v_base(spark, sf).withColumnRenamed("px", "close"))
     return present(e.select("account", "d", F.round("equity", 2).alias("equity")))
@@ -199,6 +209,10 @@ W10_SQL = tsql(_W8.rsplit("SELECT account, root, d::VARCHAR", 1)[0].replace(
       WHEN br THEN 'trailing_limit' ELSE 'allowed' END AS verdict FROM h)
     SELECT account, verdict, count(*) AS n, min(d)::VARCHAR AS first, max(d)::VARCHAR AS last FROM v GROUP BY account, verdict""")
 
+W10_SESSIONS_SQL = W10_SQL.replace("SELECT *, net - qty AS before", "SELECT *, strftime(date_trunc('quarter', d), '%Y-%m-%d') AS session, net - qty AS before").replace(
+    "PARTITION BY account ORDER BY seq", "PARTITION BY account, session ORDER BY seq"
+).replace("-5e6", "-1e6").replace("2e7", "3e6").replace("SELECT account, verdict, count", "SELECT account, session, verdict, count").replace("FROM v GROUP BY account, verdict", "FROM v GROUP BY account, session, verdict")
+
 
 @view(stored=True)
 def v_signals(spark, sf):
@@ -359,7 +373,7 @@ def p8(spark, sf):
 QUERIES = {
     "J4_T5_splice": j4, "J5_roll_events": j5, "J6_carry_inputs": j6, "J7_active_contract": j7, "J12_roll_decisions": j12,
     "W1_roll_flags": w1, "W2_roll_clean_returns": w2, "W3_ratio_adjusted": w3, "W12_roll_bookings": w12, "U3_date_axis": u3,
-    "W7_trade_ledger": w7, "W8_average_cost": w8, "W10_loss_limits": w10, "W11_equity_curve": w11, "W13_stop_loss": w13,
+    "W7_trade_ledger": w7, "W8_average_cost": w8, "W10_loss_limits": w10, "W10_session_limits": w10_sessions, "W11_equity_curve": w11, "W13_stop_loss": w13,
     "W14_target_deltas": w14, "J8_order_fills": j8, "J13_mark_price": j13, "P2_contract_parse": p2, "P3_next_contract": p3,
     "P7_slippage": p7, "P8_root_constants": p8, "P16_order_downgrade": p16, "X1_capped_sizing": x1, "X2_fixed_sizing": x2,
     "X3_weighted_sizing": x3, "A20_inverse_vol_weights": a20,
@@ -392,7 +406,7 @@ ORACLES = {
     "W7_trade_ledger": tsql(_W7 + """SELECT account, root, bet::BIGINT AS trade_no, round(sum(-q * price * multiplier)::DOUBLE, 2) AS pnl, min(d)::VARCHAR AS opened, max(d)::VARCHAR AS closed,
         sum(abs(q))::BIGINT AS volume FROM p WHERE q <> 0 GROUP BY account, root, bet HAVING max(ends) = 1"""),
     "W8_average_cost": W8_SQL,
-    "W10_loss_limits": W10_SQL,
+    "W10_loss_limits": W10_SQL, "W10_session_limits": W10_SESSIONS_SQL,
     "W11_equity_curve": W11_SQL,
     "W13_stop_loss": W13_SQL,
     "W14_target_deltas": tsql("""WITH t AS (SELECT strategy_id, d, (direction * (1 + day(d) % 3))::BIGINT AS target FROM v_signals),

@@ -25,6 +25,15 @@ def _start(df: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def keyed_stream(out: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Rows of a keyed state: folders ``late=false`` and ``late=true`` under the sink."""
+    use_rocksdb(out.sparkSession)
+    return (
+        out.writeStream.format("parquet").partitionBy("late").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def ingest_bars(quotes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Feed the archive. No watermark: a revision is kept however late it comes, a repeat never is."""
 
