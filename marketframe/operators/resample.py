@@ -21,6 +21,7 @@ from .ordered import quantiles, segmented, value_bucket, value_ranks
 from .performance import autocovariances, centred, profit_factor
 
 MIN_DRAWS = 1000
+PIECE = 8  # returns of a resampled path that travel together
 RANKS = 4096  # ranks handled together in one ordered segment
 
 
@@ -81,6 +82,40 @@ def fixed_indices(sizes: DataFrame, draws: int, block: int, seed: int) -> DataFr
     return out.filter("step < n").drop("n")
 
 
+def stationary_blocks(sizes: DataFrame, draws: int, block: int | Column, seed: int, length: Column | None = None) -> DataFrame:
+    """The draws of ``stationary_indices`` as circular runs (family, b, step, first, len): one row per block."""
+    n = F.col("n")
+    block = F.lit(block) if isinstance(block, int) else block
+    end = (n if length is None else length).cast("long")
+    d = _counters(sizes, draws, end)
+    d = d.filter((F.col("step") == 0) | (uniform("sb", seed, F.col("b"), F.col("step")) < 1.0 / block))
+    d = d.withColumn("first", pick(uniform("sb", seed, F.col("b"), F.col("step"), slot=1), n))
+    w = Window.partitionBy("family", "b").orderBy("step")
+    return d.select("family", "n", "b", "step", "first", (F.coalesce(F.lead("step").over(w), end) - F.col("step")).alias("len"))
+
+
+def moving_blocks(sizes: DataFrame, draws: int, block: int, seed: int) -> DataFrame:
+    """The draws of ``moving_indices`` as circular runs."""
+    d = _counters(sizes, draws, F.ceil(F.col("n") / block)).withColumnRenamed("step", "k")
+    start = pick(uniform("mb", seed, F.col("b"), F.col("k")), F.col("n"))
+    return d.select("family", "n", "b", (F.col("k") * block).alias("step"), start.alias("first"), F.least(F.lit(block), F.col("n") - F.col("k") * block).cast("long").alias("len"))
+
+
+def fixed_blocks(sizes: DataFrame, draws: int, block: int, seed: int) -> DataFrame:
+    """The draws of ``fixed_indices`` as runs, trimmed to n in all.
+
+    A short last block is the only one that adds less than ``block``; a few more draws than n / block, found
+    by what is missing, would do, but n draws always suffice and only those before n is reached are kept.
+    """
+    n = F.col("n")
+    d = _counters(sizes, draws, n).withColumnRenamed("step", "k")
+    first = pick(uniform("fb", seed, F.col("b"), F.col("k")), F.ceil(n / block)) * block
+    d = d.withColumns({"first": first, "__len": F.least(F.lit(block), n - first)})
+    w = Window.partitionBy("family", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("step", F.sum("__len").over(w) - F.col("__len")).filter("step < n")
+    return d.select("family", "n", "b", "step", "first", F.least(F.col("__len"), n - F.col("step")).cast("long").alias("len"))
+
+
 def independent_indices(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
     d = _counters(sizes, draws, F.col("n"))
     return d.select("family", "b", "step", pick(uniform("iid", seed, F.col("b"), F.col("step")), F.col("n")).alias("i"))
@@ -98,10 +133,35 @@ def draw_sums(panel: DataFrame, indices: DataFrame, sums: dict[str, Column]) ->
     return j.groupBy("family", "b", "strategy_id").agg(*[F.sum(F.col(n) * F.col("c")).alias(n) for n in sums])
 
 
+#: Prefix sums are exact decimals, so that a difference of two is what adding up the rows in between gives.
+EXACT = "decimal(28,18)"
+
+
+def prefix_sums(panel: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(family, strategy_id, at, sums...): sums of row expressions over all positions before ``at`` (from 1)."""
+    vals = panel.select("family", "strategy_id", "i", *[c.cast(EXACT).alias(f"__x_{n}") for n, c in sums.items()])
+    run = segmented(vals, ["family", "strategy_id"], ["i"], F.floor(F.col("i") / RANKS), {n: ("sum", F.col(f"__x_{n}")) for n in sums})
+    return run.select("family", "strategy_id", (F.col("i") + 1).alias("at"), *sums)
+
+
+def block_sums(panel: DataFrame, blocks: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``draw_sums`` for draws given as circular runs: a run is two prefix sums, or three where it wraps.
+
+    What is joined and shuffled is a draw's runs, not its positions: fewer by about the block length. A run
+    may be no longer than the series.
+    """
+    end = F.col("first") + F.col("len")
+    edge = lambda at, plus: F.struct(at.cast("long").alias("at"), F.lit(plus).alias("plus"))
+    edges = F.array(edge(F.col("first"), False), edge(F.least(end, F.col("n")), True), edge(F.greatest(end - F.col("n"), F.lit(0)), True))
+    e = blocks.select("family", "b", F.explode(edges).alias("e")).select("family", "b", "e.*").filter("at > 0")
+    j = e.join(cut_lineage(prefix_sums(panel, sums), "prefix"), ["family", "at"])
+    return j.groupBy("family", "b", "strategy_id").agg(*[F.sum(F.when(F.col("plus"), F.col(n)).otherwise(-F.col(n))).cast("double").alias(n) for n in sums])
+
+
 def draw_means(panel: DataFrame, draws: int, block: int, seed: int) -> DataFrame:
     """Bootstrap means of every strategy: the table shared by the three family-wise tests."""
     sizes = family_sizes(panel)
-    s = draw_sums(panel, stationary_indices(sizes, draws, block, seed), {"s": F.col("r")})
+    s = block_sums(panel, stationary_blocks(sizes, draws, block, seed), {"s": F.col("r")})
     return s.join(sizes.select("family", "n"), "family").select("family", "b", "strategy_id", (F.col("s") / F.col("n")).alias("dstar"))
 
 
@@ -208,9 +268,10 @@ def _point(panel: DataFrame, statistic: str) -> DataFrame:
     return g.withColumn("point", stat)
 
 
-def _resampled(panel: DataFrame, indices: DataFrame, sizes: DataFrame, statistic: str) -> DataFrame:
+def _resampled(panel: DataFrame, draws: DataFrame, sizes: DataFrame, statistic: str) -> DataFrame:
+    """The statistic of every draw; ``draws`` are runs (with ``first`` and ``len``) or positions."""
     sums, stat = _statistic(statistic)
-    d = draw_sums(panel, indices, sums).join(sizes.select("family", "n"), "family")
+    d = (block_sums if "first" in draws.columns else draw_sums)(panel, draws, sums).join(sizes.select("family", "n"), "family")
     return d.select(*KEYS, "b", stat.alias("theta"))
 
 
@@ -228,7 +289,7 @@ def block_bootstrap_ci(panel: DataFrame, statistic: str = "mean", scheme: str =
     if draws < MIN_DRAWS:
         raise ValueError(f"draws must be at least {MIN_DRAWS}")
     sizes = family_sizes(panel)
-    make = {"stationary": stationary_indices, "moving": moving_indices, "fixed": fixed_indices}[scheme]
+    make = {"stationary": stationary_blocks, "moving": moving_blocks, "fixed": fixed_blocks}[scheme]
     theta = cut_lineage(_resampled(panel, make(sizes, draws, block, seed), sizes, statistic).filter(~F.isnan("theta")), "theta")
     alpha = 1.0 - confidence
     q = quantiles(value_ranks(theta, KEYS, "theta"), KEYS, "theta", {"lower": F.lit(alpha / 2), "upper": F.lit(1 - alpha / 2)})
@@ -364,19 +425,26 @@ def survival(panel: DataFrame, leverages: Sequence[float], horizon: int = 252, p
     """Share of resampled paths that never lose ``kill`` of the start, for each leverage.
 
     The same paths serve every leverage, which makes the curve monotone. A path is an array of
-    ``horizon`` returns, and ``horizon`` is a parameter, not the data's size.
+    ``horizon`` returns, and ``horizon`` is a parameter, not the data's size. Paths are joined by runs of
+    returns, not by single ones.
     """
     sizes = family_sizes(panel)
-    idx = stationary_indices(sizes, paths, block, seed, F.lit(horizon))
-    steps = idx.join(panel.select(*KEYS, "i", "r"), ["family", "i"])
-    path = steps.groupBy(*KEYS, "b").agg(F.array_sort(F.collect_list(F.struct("step", "r"))).alias("p"))
+    runs = stationary_blocks(sizes, paths, block, seed, F.lit(horizon))
+    # runs in pieces of up to PIECE returns; every position holds its own and the next ones, past the end from the start
+    at = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(PIECE).cast("long"))).alias("__k", "skip")
+    runs = runs.select("family", "n", "b", "step", "first", "len", at)
+    runs = runs.select("family", "b", (F.col("step") + F.col("skip")).alias("step"), ((F.col("first") + F.col("skip")) % F.col("n")).alias("i"), F.least(F.lit(PIECE), F.col("len") - F.col("skip")).cast("int").alias("len"))
+    ahead = panel.join(sizes.select("family", "n"), "family").select(*KEYS, "n", "r", F.col("i").alias("__at"), F.explode(F.sequence(F.lit(0), F.lit(PIECE - 1))).alias("__k"))
+    ahead = ahead.groupBy(*KEYS, F.pmod(F.col("__at") - F.col("__k"), F.col("n")).alias("i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "r"))), lambda x: x["r"]).alias("next"))
+    steps = runs.join(cut_lineage(ahead, "ahead"), ["family", "i"]).select(*KEYS, "b", "step", F.slice("next", F.lit(1), F.col("len")).alias("rs"))
+    path = steps.groupBy(*KEYS, "b").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step", "rs"))), lambda x: x["rs"])).alias("p"))
     floor = 1.0 - kill
     grid = F.array(*[F.lit(float(x)) for x in leverages])
 
     def low_point(lev: Column) -> Column:
         start = F.struct(F.lit(1.0).alias("e"), F.lit(1.0).alias("lo"))
         walk = F.aggregate("p", start, lambda a, s: F.struct(
-            (a["e"] * (1.0 + s["r"] * lev)).alias("e"), F.least(a["lo"], a["e"] * (1.0 + s["r"] * lev)).alias("lo")))
+            (a["e"] * (1.0 + s * lev)).alias("e"), F.least(a["lo"], a["e"] * (1.0 + s * lev)).alias("lo")))
         return F.struct(lev.alias("leverage"), (walk["lo"] > F.lit(max(floor, 0.0))).alias("alive"))
 
     each = path.select(*KEYS, F.explode(F.transform(grid, low_point)).alias("o"))

@@ -11,7 +11,7 @@ from . import sqlmath
 from .stat_queries import STAT_VIEWS
 from .views import present, sql, v_panel, view
 
-SEED, DRAWS, BLOCK, PPY = 7, 1000, 5, 12.0
+SEED, DRAWS, BLOCK, PPY = 7, 10_000, 5, 12.0
 
 
 @view(stored=True)
@@ -196,14 +196,14 @@ def r10(spark, sf):
 
 
 R10_SQL = rsql(
-    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY t DESC, strategy_id) AS k FROM v_st),
+    f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY t DESC, strategy_id) AS k FROM v_st),
     z AS (SELECT k.family, b, k.k, CASE WHEN omega > 0 THEN sqrt(n) * (dstar - dbar) / omega END AS z FROM v_means x JOIN k ON k.strategy_id = x.strategy_id),
     c AS (SELECT k.family, k.strategy_id, k.k, k.t, (SELECT count(*) FROM (SELECT b, max(z) AS m FROM z WHERE z.family = k.family AND z.k >= k.k GROUP BY b) WHERE m >= k.t) AS c FROM k),
-    r AS (SELECT *, max((c + 1e0) / 1001e0) OVER (PARTITION BY family ORDER BY k) AS run FROM c)
+    r AS (SELECT *, max((c + 1e0) / {DRAWS + 1}e0) OVER (PARTITION BY family ORDER BY k) AS run FROM c)
     SELECT family, strategy_id, k, round(t, 6) AS t, round(CASE WHEN run <= 0.05 THEN run ELSE min(run) FILTER (run > 0.05) OVER (PARTITION BY family) END, 6) AS adjusted_p, run <= 0.05 AS reject FROM r"""
 )
 
-SEGMENTS = 8
+SEGMENTS = 16
 
 
 def r11(spark, sf):
@@ -255,26 +255,33 @@ R13_SQL = rsql(
     SELECT family, mask, ['train', 'embargoed', 'purged', 'test'][c + 1] AS role, count(*) AS n, round(avg(v.r), 6) AS mean FROM v_fam v JOIN r ON r.i = v.i GROUP BY ALL"""
 )
 
+STEPS, FLOOR = 252, 0.995
 LEVERS = [float(k) for k in range(1, 12)]  # every whole size up to the largest base
 
 
+@view(stored=True)
+def v_curve(spark, sf):
+    return rs.survival(v_fam(spark, sf), LEVERS, STEPS, DRAWS, 0.3, BLOCK, SEED)
+
+
 def r14(spark, sf):
-    return present(rs.survival(v_fam(spark, sf), LEVERS, 60, DRAWS, 0.3, BLOCK, SEED))
+    return present(v_curve(spark, sf))
 
 
 VIEWS["v_paths"] = f"""SELECT b, s, (last_value(CASE WHEN s0 IS NOT NULL THEN p0 END IGNORE NULLS) OVER w + s - last_value(s0 IGNORE NULLS) OVER w) % n AS i FROM (
     SELECT b, s, n, CASE WHEN s = 0 OR {u('sb', 'b', 's')} < {1 / BLOCK}e0 THEN s END AS s0, CAST(floor({u('sb', 'b', 's', slot=1)} * n) AS BIGINT) AS p0
-    FROM (SELECT unnest(range({DRAWS})) AS b), (SELECT unnest(range(60)) AS s), v_n) WINDOW w AS (PARTITION BY b ORDER BY s)"""
-VIEWS["v_surv"] = f"""SELECT family, strategy_id, leverage, avg((lo > ln(0.7e0))::INT) AS survival FROM (
-    SELECT family, strategy_id, b, leverage, min(e) AS lo FROM (
-      SELECT family, strategy_id, b, leverage, sum(ln(greatest(1 + r * leverage, 1e-300))) OVER (PARTITION BY strategy_id, b, leverage ORDER BY s) AS e
-      FROM v_paths p JOIN v_fam f ON f.i = p.i, (SELECT unnest({LEVERS!r}) AS leverage)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""
+    FROM (SELECT unnest(range({DRAWS})) AS b), (SELECT unnest(range({STEPS})) AS s), v_n) WINDOW w AS (PARTITION BY b ORDER BY s)"""
+VIEWS["v_series"] = "SELECT family, strategy_id, list(r ORDER BY i) AS rs FROM v_fam GROUP BY 1, 2"
+_STEP = "a.e * (1e0 + rs[x.i + 1] * leverage)"
+VIEWS["v_surv"] = f"""SELECT family, strategy_id, leverage, avg((lo > 0.7e0)::INT) AS survival FROM (
+    SELECT family, strategy_id, leverage, list_reduce(idx, lambda a, x: {{'e': {_STEP}, 'lo': least(a.lo, {_STEP}), 'i': x.i}}, {{'e': 1e0, 'lo': 1e0, 'i': 0::BIGINT}}).lo AS lo
+    FROM (SELECT b, list({{'e': 1e0, 'lo': 1e0, 'i': i::BIGINT}} ORDER BY s) AS idx FROM v_paths GROUP BY 1), v_series, (SELECT unnest({LEVERS!r}) AS leverage)) GROUP BY 1, 2, 3"""
 
 
 def r15(spark, sf):
-    c = rs.survival(v_fam(spark, sf), LEVERS, 60, DRAWS, 0.3, BLOCK, SEED).withColumn("contracts", F.col("leverage").cast("long"))
+    c = v_curve(spark, sf).withColumn("contracts", F.col("leverage").cast("long"))
     sizes = v_fam(spark, sf).groupBy("family", "strategy_id").agg((F.lit(6) + F.max("strategy_id") % 6).alias("base"))
-    return present(rs.survival_cap(c, sizes, 0.9))
+    return present(rs.survival_cap(c, sizes, FLOOR))
 
 
 def _p_values(spark, sf):
@@ -341,7 +348,7 @@ ORACLES = {
     "R7_permutation_shuffle": R7B_SQL, "R7_permutation_block_shuffle": R7C_SQL, "R8_T2_reality_check": R8_SQL, "R9_superior_ability": R9_SQL, "R10_stepdown": R10_SQL,
     "R11_U4_overfitting_probability": R11_SQL, "R12_walk_forward": R12_SQL, "R13_purged_folds": R13_SQL,
     "R14_survival": rsql("SELECT family, strategy_id, leverage::DOUBLE AS leverage, round(survival, 6) AS survival FROM v_surv"),
-    "R15_survival_cap": rsql("""SELECT s.family, s.strategy_id, 6 + s.strategy_id % 6 AS base, coalesce(max(leverage::BIGINT) FILTER (survival >= 0.9 AND leverage <= 6 + s.strategy_id % 6), 0) AS cap
+    "R15_survival_cap": rsql(f"""SELECT s.family, s.strategy_id, 6 + s.strategy_id % 6 AS base, coalesce(max(leverage::BIGINT) FILTER (survival >= {FLOOR} AND leverage <= 6 + s.strategy_id % 6), 0) AS cap
         FROM v_surv s GROUP BY 1, 2"""),
     "R16_adjusted_p_values": R16_SQL, "R17_promotion": R17_SQL,
 }
