@@ -303,6 +303,57 @@ def decay_verdicts(sessions: DataFrame, key: str = "strategy_id", time: str = "d
     return g.select(key, "n_sessions", "cumulative", "full_sharpe", "rolling_sharpe", "max_drawdown", verdict.alias("verdict"))
 
 
+def sleeve_summaries(sessions: DataFrame, key: str = "strategy_id", time: str = "d", window: int = 63) -> DataFrame:
+    """One mergeable row per sleeve of what its verdict needs: count, moments, running total with its highest, lowest
+    and largest fall, and the last ``window`` sessions (a parameter bounds that array)."""
+    pnl = F.col("pnl").cast("double")
+    run = cut_lineage(segmented(sessions, [key], [time], month_of(F.col(time)), {"cum": ("sum", F.col("pnl"))}), "cum")
+    run = segmented(run, [key], [time], month_of(F.col(time)), {"__high": ("max", F.col("cum"))})
+    money = "decimal(38,10)"
+    g = run.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(pnl).alias("mean"), (F.var_pop(pnl) * F.count(F.lit(1))).alias("m2"), F.sum("pnl").cast(money).alias("total"),
+        F.max("cum").cast(money).alias("high"), F.min("cum").cast(money).alias("low"), F.max(F.col("__high") - F.col("cum")).cast(money).alias("fall"),
+        F.max(time).alias("until"),
+    )
+    last = Window.partitionBy(key).orderBy(F.col(time).desc())
+    recent = sessions.withColumn("__rn", F.row_number().over(last)).filter(F.col("__rn") <= window)
+    ring = recent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("at"), pnl.alias("pnl")))).alias("ring"))
+    return g.join(ring, key)
+
+
+def merge_summaries(before: DataFrame, after: DataFrame, key: str = "strategy_id", window: int = 63) -> DataFrame:
+    """Summaries of earlier and later sessions as one; a sleeve may be in either table alone."""
+    fields = [c for c in before.columns if c != key]
+    a = before.select(key, F.struct(*fields).alias("a"))
+    b = after.select(key, F.struct(*fields).alias("b"))
+    j = a.join(b, key, "full_outer")
+    n = F.col("a.n") + F.col("b.n")
+    step = F.col("b.mean") - F.col("a.mean")
+    joint = F.struct(
+        n.alias("n"), (F.col("a.mean") + step * F.col("b.n") / n).alias("mean"), (F.col("a.m2") + F.col("b.m2") + step * step * F.col("a.n") * F.col("b.n") / n).alias("m2"),
+        (F.col("a.total") + F.col("b.total")).cast("decimal(38,10)").alias("total"), F.greatest("a.high", F.col("a.total") + F.col("b.high")).cast("decimal(38,10)").alias("high"),
+        F.least("a.low", F.col("a.total") + F.col("b.low")).cast("decimal(38,10)").alias("low"),
+        F.greatest("a.fall", "b.fall", F.col("a.high") - F.col("a.total") - F.col("b.low")).cast("decimal(38,10)").alias("fall"),
+        F.greatest("a.until", "b.until").alias("until"), F.slice(F.concat("a.ring", "b.ring"), F.greatest(F.size("a.ring") + F.size("b.ring") - window, F.lit(0)) + 1, F.lit(window)).alias("ring"),
+    )
+    whole = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a")).otherwise(joint)
+    return j.select(key, whole.alias("s")).select(key, *[F.col(f"s.{c}").alias(c) for c in fields])
+
+
+def summary_verdicts(summaries: DataFrame, key: str = "strategy_id", periods_per_year: float = 252.0, warm_up: int = 21) -> DataFrame:
+    """``decay_verdicts`` from summaries."""
+    size = F.size("ring")
+    rm = F.aggregate("ring", F.lit(0.0), lambda x, r: x + r["pnl"]) / size
+    s = summaries.withColumn("__rm", rm)
+    rv = F.aggregate("ring", F.lit(0.0), lambda x, r: x + (r["pnl"] - F.col("__rm")) * (r["pnl"] - F.col("__rm")))
+    s = s.withColumns({"__rs": F.when(size > 1, F.sqrt(rv / F.when(size > 1, size - 1))), "__s": F.when(F.col("n") > 1, F.sqrt(F.col("m2") / F.when(F.col("n") > 1, F.col("n") - 1)))})
+    sharpe = lambda m, d: F.when(F.col(d) > 0, F.col(m) / F.when(F.col(d) > 0, F.col(d)) * periods_per_year**0.5)
+    s = s.withColumns({"full_sharpe": sharpe("mean", "__s"), "rolling_sharpe": sharpe("__rm", "__rs")})
+    zero = F.lit(0).cast("decimal(38,10)")
+    verdict = F.when(F.col("n") < warm_up, "warming_up").when((F.col("total") <= 0) | F.coalesce(F.col("rolling_sharpe") <= 0, F.lit(False)), "decayed").otherwise("healthy")
+    return s.select(key, F.col("n").alias("n_sessions"), F.col("total").alias("cumulative"), "full_sharpe", "rolling_sharpe", F.greatest("fall", zero - F.col("low"), zero).alias("max_drawdown"), verdict.alias("verdict"))
+
+
 def family_from_curves(curves: DataFrame, periods_per_year: float, key: str = "strategy_id", time: str = "d", strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Returns and trial Sharpes of a family of curves of equal length; a constant curve has Sharpe 0."""
     rets = equity_returns(curves, key, time)

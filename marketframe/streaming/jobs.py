@@ -66,16 +66,26 @@ def tick_bar_stream(ticks: DataFrame, width: str, sink: str, checkpoint: str, la
 def decay_stream(sessions: DataFrame, store: str, verdicts: str, checkpoint: str) -> StreamingQuery:
     """After each batch of sessions, new verdicts for the sleeves it touched.
 
-    Every batch writes folders named after its number, so a repeated batch replaces itself.
+    A batch reads its own sessions and the summaries that the batch before it left, one row per sleeve; old
+    sessions are not read again. Sessions no later than what a sleeve's summary already covers go to
+    ``store/late``. Every batch writes folders named after its number, so a repeated batch replaces itself.
     """
-    schema = sessions.schema
 
     def judge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        touched = spark.read.schema(schema).parquet(f"{store}/batch={number}").select("strategy_id").distinct()
-        history = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(store)
-        out = performance.decay_verdicts(history.join(touched, "strategy_id", "left_semi"))
-        out.write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{store}/new/batch={number}")
+        fresh = spark.read.schema(batch.schema).parquet(f"{store}/new/batch={number}")
+        state = f"{store}/summaries"
+        if number == 0:
+            summaries = performance.sleeve_summaries(fresh)
+        else:
+            before = spark.read.parquet(f"{state}/batch={number - 1}")
+            covered = fresh.join(before.select("strategy_id", "until"), "strategy_id", "left")
+            late = F.coalesce(F.col("d") <= F.col("until"), F.lit(False))
+            covered.filter(late).drop("until").write.mode("overwrite").parquet(f"{store}/late/batch={number}")
+            summaries = performance.merge_summaries(before, performance.sleeve_summaries(covered.filter(~late).drop("until")))
+        summaries.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        now = spark.read.parquet(f"{state}/batch={number}").join(fresh.select("strategy_id").distinct(), "strategy_id", "left_semi")
+        performance.summary_verdicts(now).write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
 
     return sessions.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,32 @@ def test_width_changes_no_result(spark, width):
     end = [fill(10**6, 1, 1, 24 * 40_000, account=9)]
     got = run(spark, FILL, [fills[::2], fills[1::2], end], lambda s: state.position_stream(s, ["seq"], delay="3650 days", width=width))
     assert sorted((r.net, round(r.avg_price, 9)) for r in got if not r.late) == sorted(plain_positions(fills))
+
+
+def test_decay_reads_no_old_sessions(spark):
+    """Three batches, one with late sessions: verdicts are those of all sessions at once, old rows are not read."""
+    import os
+    import shutil
+
+    from marketframe.operators import performance
+
+    rnd = random.Random(6)
+    ddl = "strategy_id long, d date, pnl decimal(18,6)"
+    rows = [(s, date(2024, 1, 1) + timedelta(days=k), round(rnd.gauss(0.2 if s else -0.3, 3), 6)) for s in range(3) for k in range(150)]
+    rows = [(s, d, Decimal(str(x))) for s, d, x in rows]
+    cut = [date(2024, 2, 1), date(2024, 4, 20)]
+    parts = [[r for r in rows if r[1] < cut[0] and r[0] < 2], [r for r in rows if cut[0] <= r[1] < cut[1]], [r for r in rows if r[1] >= cut[1]] + [(1, date(2024, 1, 5), Decimal("-999"))]]
+    path, store, verdicts, ckpt = (work_dir(spark, x) for x in ("landing", "store", "verdicts", "ckpt"))
+    for part in parts:
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(path)
+        query = jobs.decay_stream(spark.readStream.schema(ddl).parquet(path), store, verdicts, ckpt)
+        query.awaitTermination()
+        if os.path.isdir(f"{store}/new/batch=0"):  # the first batch's sessions cannot be read again
+            shutil.move(f"{store}/new/batch=0", f"{store}/gone")
+    kept = [r for p in parts for r in p if r[2] != -999]
+    want = performance.decay_verdicts(spark.createDataFrame(kept, ddl)).collect()
+    last = max(int(f.split("=")[1]) for f in os.listdir(verdicts) if f.startswith("batch="))
+    got = spark.read.parquet(f"{verdicts}/batch={last}").collect()
+    form = lambda rs: sorted((r.strategy_id, r.n_sessions, float(r.cumulative), round(r.full_sharpe, 8), round(r.rolling_sharpe, 8), float(r.max_drawdown), r.verdict) for r in rs)
+    assert form(got) == form(want)
+    assert [r.pnl for r in spark.read.parquet(f"{store}/late/batch={last}").collect()] == [-999]
