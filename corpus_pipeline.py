@@ -15,7 +15,7 @@ from marketframe.llm.queries import fold
 from marketframe.llm.scan import with_row
 from marketframe.llm.substring_dedup import remove_repeats
 from marketframe.llm.toxicity import learn, score_texts
-from marketframe.session import work_dir
+from marketframe.session import cut_lineage, work_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +25,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id, one row of it. Rows without doc_id all stay."""
-    others = near_groups(docs).filter("doc_id != component_id").select("doc_id").distinct()
-    tie = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    stay = docs.join(others, "doc_id", "left_anti").withColumn("null_tie", tie)
-    return stay.dropDuplicates(["doc_id", "null_tie"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of near texts: that of the smallest doc_id (null last), of equal ids the first row.
+
+    Rows are judged by their own texts: rows of one id with unlike texts all stay, rows without an id take
+    part. Texts without words are like nothing; of such rows of one id one stays, without an id all.
+    """
+    keyed = cut_lineage(with_row(docs).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    groups = near_groups(keyed.select(F.col("key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "key")
+    ids = keyed.select("key", "doc_id").join(groups, "key")
+    some, known = F.col("n_shingles") > 0, F.col("doc_id").isNotNull()
+    group = [F.when(some, F.col("component_id")).alias("g1"), F.when(~some & known, F.col("doc_id")).alias("g2"), F.when(~some & ~known, F.col("key")).alias("g3")]
+    first = ids.groupBy(*group).agg(F.min(F.struct(~known, "doc_id", "key"))["key"].alias("key"))
+    return keyed.join(first.select("key"), "key", "left_semi").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93 | 1)

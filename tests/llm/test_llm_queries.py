@@ -143,8 +143,21 @@ def test_pipeline(spark, small, corpus):
             assert after == Counter(r for r in before if r[0] not in bad)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert Counter(r.doc_id for r in last) == Counter(d for d, _ in after.elements())
-    texts = {d: t or "" for d, t in after}
-    assert all(r.decoded_sha256 == brute.sha(texts[r.doc_id]) and len(r.ids) == r.n_tokens for r in last if r.doc_id is not None)
+    assert Counter((r.doc_id, r.decoded_sha256) for r in last) == Counter((d, brute.sha(t or "")) for d, t in after.elements())
+    assert all(len(r.ids) == r.n_tokens for r in last)
+
+
+def test_near_stage_judges_rows(spark):
+    """A clean text under a repeated id stays; copies without an id merge; of equal ids one row stays."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base + " more", " ".join(f"x{i}" for i in range(30))
+    docs = [(1, base), (5, near), (5, other), (None, other + " y"), (None, base), (7, ""), (7, None), (None, ""), (None, " "), (9, other.upper()), (11, "alone here"), (11, "alone here")]
+    rows_in = spark.createDataFrame([(d, t, "clash", "k") for d, t in docs], "doc_id long, text string, key string, row string")
+    got = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, rows_in, "")
+    assert got.columns == rows_in.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert kept[(7, "")] + kept[(7, None)] == 1
+    assert Counter({k: n for k, n in kept.items() if k[0] != 7}) == Counter([(1, base), (5, other), (None, ""), (None, " "), (11, "alone here")])
 
 
 def test_pipeline_runs_whole(spark, small, empty):
