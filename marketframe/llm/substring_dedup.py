@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW) -> Da
     found = _collect_segments(narrow, common, kept, window)
     marked = _search_shards(found, window)
     places = found.filter("row_key IS NOT NULL").select("row_key", F.col("doc_id").alias("id"), "first", "anchor", "digest").join(marked, ["anchor", "digest"])
-    by_row = places.groupBy("row_key", "id").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))  # at most one for each word of a text
+    by_row = places.groupBy("row_key", "id").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))  # rows that repeat id and text name the same marks: at most one for each word
     both = keyed.alias("d").join(by_row.alias("m"), (F.col("d.row_key") == F.col("m.row_key")) & F.col("d.doc_id").eqNullSafe(F.col("m.id")), "left").select(*[F.col(f"d.`{c}`") for c in dict.fromkeys([*keep, "text"])], "marks")
 
     def scan(batches):

@@ -57,8 +57,9 @@ def count_tokens(docs: DataFrame, cache: str, path: str) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row, with its ``digest``; new counts are appended to ``cache``.
 
     A null text is empty; repeated rows, and rows that share or lack a doc_id, are each counted. An empty
-    table gives no rows. The one row that stands for a digest is found by digests alone, so a text that a
-    third of all rows share is encoded once and never gathered anywhere.
+    table gives no rows. The row that stands for a digest is found by digests alone, so a text that a third
+    of all rows share is encoded once and never gathered anywhere; rows that share both id and text are encoded
+    once per part of a task.
     """
     spark, version = docs.sparkSession, version_of(path)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
@@ -67,7 +68,15 @@ def count_tokens(docs: DataFrame, cache: str, path: str) -> DataFrame:
     here = keyed.alias("k").join(wanted.alias("w"), F.col("k.doc_id").eqNullSafe(F.col("w.chosen")) & (F.col("k.digest") == F.col("w.digest")), "left_semi")
 
     def encode(batches):
-        for part in chunks(batches):
+        last = None
+        for part in chunks(batches):  # rows that repeat id and text meet in one task, most of them in one part
+            seen, fresh = {last}, []
+            for at, digest in enumerate(part.column("digest").to_pylist()):
+                if digest not in seen:
+                    seen.add(digest)
+                    fresh.append(at)
+            last = part.column("digest")[part.num_rows - 1].as_py()
+            part = part.take(pa.array(fresh, pa.int64()))
             yield part, {"n_tokens": pa.array(_encoder(path)(part.column("text").to_pylist()), pa.int64())}
 
     misses = scan_texts(here, encode, "n_tokens long", ["digest"])

@@ -90,6 +90,23 @@ def license_phrases(docs):
     return out
 
 
+def license_lines(text, lines, spread, share):
+    """Largest ordered share of each label's lines: (labels, score) over all spans of bounded drift."""
+    w = LETTERS.findall(low(text))
+    best = {}
+    for label, line in lines:
+        t = line.split(" ")
+        k = len(t) - 1
+        hits = sorted((p, -q) for p in range(len(w) - 1) for q in range(k) if (w[p], w[p + 1]) == (t[q], t[q + 1]))
+        for d in {p + q for p, q in hits}:
+            near = [(p, -q) for p, q in hits if d <= p + q <= d + spread]
+            longest = []
+            for i, (p, q) in enumerate(near):
+                longest.append(1 + max((longest[j] for j in range(i) if near[j][0] < p and near[j][1] < q), default=0))
+            best[label] = max(best.get(label, 0), max(longest) / k)
+    return {n: s for n, s in best.items() if s >= share}
+
+
 def unigram_scores(docs):
     words = [SPACED.findall(low(t)) + ["\0end"] for _, t in docs]
     count = Counter(x for (d, _), w in zip(docs, words, strict=True) if d is not None and fold(d) != 1 for x in w)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import brute
@@ -9,7 +10,9 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from marketframe.llm import queries
+from marketframe.llm import license_scan, queries
+from marketframe.llm.substring_dedup import remove_repeats
+from marketframe.llm.token_cache import CACHE, count_tokens
 
 Q = queries.QUERIES
 
@@ -109,8 +112,14 @@ def test_op9(spark, small, corpus):
 def test_op10(spark, small, corpus):
     got = Q["op10_license_scan"](spark, small)
     assert rows(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == brute.license_phrases(corpus[0])
-    for r in got.collect():
-        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+    found = {(d, t): brute.license_lines(t, license_scan.LICENSE_LINES, 6, 0.7) for d, t in corpus[0]}
+    bases = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
+    want = Counter()
+    for d, t in corpus[0]:
+        words = " " + " ".join(brute.LETTERS.findall(brute.low(t))) + " "
+        held = found[d, t] | {n: 1.0 for n, p in bases.items() if f" {p} " in words}
+        want[d, ",".join(sorted(held)), round(max(held.values(), default=0.0), 9)] += 1
+    assert Counter((r.doc_id, r.labels, round(r.score, 9)) for r in got.collect()) == want
 
 
 @pytest.mark.parametrize("name", sorted(Q))
@@ -177,3 +186,50 @@ def test_sql_twin(spark, small, name):
     columns = [d[0] for d in res.description]
     assert sorted(columns) == sorted(got.columns)
     assert rows(got, *columns) == Counter(res.fetchall())
+
+
+def test_op10_spans_hold_in_order(spark):
+    rnd = random.Random(5)
+    line = "licensed under the apache license version 2 0".split()
+    texts = ["license version " * 5, "the license " * 6, "of the terms " * 6, " ".join(line), " ".join(line[:4] + ["cool"] + line[4:]), " ".join(line[4:] + line[:4])]
+    texts += [" ".join(line) + " " + " ".join(line), " ".join(x for x in line for _ in range(1 + (rnd.random() < 0.2)))]
+    vocabulary = sorted({w for _, x in license_scan.LICENSE_LINES for w in x.split()})
+    for _ in range(60):
+        w = rnd.choice(license_scan.LICENSE_LINES)[1].split() + rnd.choice(license_scan.LICENSE_LINES)[1].split()
+        for _ in range(rnd.randint(0, 5)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = [rnd.choice(vocabulary)] * rnd.randint(0, 2)
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = [(f"{n}:{i}", x) for i, (n, x) in enumerate(license_scan.LICENSE_LINES)]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.scan_licenses(docs, [], lines).collect()}
+    for i, t in enumerate(texts):
+        held = brute.license_lines(t, lines, 6, 0.7)
+        assert got[i] == (",".join(sorted(held)), round(max(held.values(), default=0.0), 9)), t
+    assert [got[i][0] for i in range(3)] == ["", "", ""] and got[3] == ("apache:0", 1.0)
+    assert license_scan.license_matches(docs.filter("doc_id = 6"), [], lines).filter("label = 'apache:0'").count() == 2
+
+
+def test_op8_cache(spark, tmp_path):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(None, "one text")] * 500 + [(7, "another text")] * 300, "doc_id long, text string")
+    cache = str(tmp_path / "cache")
+    first = Counter(map(tuple, count_tokens(docs, cache, path).collect()))
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 2 and sum(first.values()) == 800
+    assert Counter(map(tuple, count_tokens(docs, cache, path).collect())) == first and spark.read.parquet(cache).count() == 2
+    grown = docs.unionByName(spark.createDataFrame([(8, "a new text")], "doc_id long, text string"))
+    count_tokens(grown, cache, path)
+    assert spark.read.parquet(cache).count() == 3
+    count_tokens(grown, cache, public_tokenizers.path("word_bpe_49k.json"))
+    assert spark.read.parquet(cache).count() == 6
+    doubled = spark.read.parquet(cache).collect()  # an append that was done twice
+    spark.createDataFrame(doubled, CACHE).write.mode("append").parquet(cache)
+    assert Counter(map(tuple, count_tokens(docs, cache, path).collect())) == first
+
+
+def test_op6_rows_that_repeat_id_and_text(spark):
+    words = " ".join(f"w{i % 50}" for i in range(90))
+    docs = spark.createDataFrame([(3, words)] * 3000 + [(4, "short")], "doc_id long, text string")
+    got = Counter(map(tuple, remove_repeats(docs, ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept").collect()))
+    assert got == {(3, 90, 90, ""): 3000, (4, 1, 0, "short"): 1}
