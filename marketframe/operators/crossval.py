@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread
+from .mergeable import Statistic, merged, series_states
 from .ordered import quantiles, value_ranks
 
 EPS = 1e-9
@@ -18,16 +19,26 @@ def split_masks(segments: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(2**segments - 1)), lambda m: F.bit_count(m) == segments // 2)
 
 
-def overfitting_splits(panel: DataFrame, segments: int = 16, min_obs: int = 2) -> DataFrame:
-    """In-sample and out-of-sample Sharpe of every strategy in every half/half split.
+def overfitting_splits(panel: DataFrame, segments: int = 16, min_obs: int = 2, metric: Statistic | None = None) -> DataFrame:
+    """In-sample and out-of-sample Sharpe (or ``metric``, the greater the better) of every strategy in every half/half split.
 
     Each strategy is reduced to (n, sum, sum of squares) per segment, taken around its own mean, so a
-    split is a sum of ``segments / 2`` triples and its complement is the total minus that. Rows past
-    the last full segment are left out.
+    split is a sum of ``segments / 2`` triples and its complement is the total minus that. A metric has one
+    state per segment, and a split merges the states of either half in order. Rows past the last full
+    segment are left out.
     """
     size = panel.groupBy("family").agg(F.floor((F.max("i") + 1) / segments).alias("size"))
     short = F.when(F.col("size") < min_obs, F.raise_error(F.lit("too few observations per segment"))).otherwise(F.lit(True))
     p = panel.join(size.filter(short), "family").withColumn("seg", F.floor(F.col("i") / F.col("size")).cast("int")).filter(F.col("seg") < segments)
+    if metric is not None:
+        one = series_states(p, ["family", "strategy_id", "seg"], metric).groupBy("family", "strategy_id").agg(F.array_sort(F.collect_list(F.struct("seg", "state"))).alias("t"))
+        d = spread(one.withColumn("mask", F.explode(split_masks(segments))), "family", "strategy_id", "mask")
+
+        def half(side: int) -> Column:
+            chosen = F.filter("t", lambda e: F.call_function("getbit", F.col("mask"), e["seg"]) == side)
+            return metric.value(merged(F.transform(chosen, lambda e: e["state"]), metric.merge))
+
+        return d.select("family", "strategy_id", "mask", half(1).alias("ins"), half(0).alias("oos"))
     mean = p.groupBy("family", "strategy_id").agg(F.avg("r").alias("m"))
     x = F.col("r") - F.col("m")
     per_seg = p.join(mean, ["family", "strategy_id"]).groupBy("family", "strategy_id", "m", "seg").agg(
@@ -52,9 +63,9 @@ def overfitting_splits(panel: DataFrame, segments: int = 16, min_obs: int = 2) -
     return d.select("family", "strategy_id", "mask", ins.alias("ins"), out.alias("oos"))
 
 
-def overfitting_probability(panel: DataFrame, segments: int = 16, min_obs: int = 2) -> DataFrame:
+def overfitting_probability(panel: DataFrame, segments: int = 16, min_obs: int = 2, metric: Statistic | None = None) -> DataFrame:
     """Share of splits whose in-sample winner ranks below the out-of-sample median."""
-    d = cut_lineage(overfitting_splits(panel, segments, min_obs), "splits")
+    d = cut_lineage(overfitting_splits(panel, segments, min_obs, metric), "splits")
     win = d.groupBy("family", "mask").agg(
         F.max_by("oos", F.struct("ins", -F.col("strategy_id"))).alias("w"), F.count(F.lit(1)).alias("m"))
     ranks = d.join(win, ["family", "mask"]).groupBy("family", "mask").agg(

@@ -18,6 +18,7 @@ from ..functions.normal import normal_cdf, normal_ppf
 from ..functions.rng import pick, uniform
 from ..session import cut_lineage, spread
 from .ordered import quantiles, segmented, value_bucket, value_ranks
+from .mergeable import Statistic, draw_states, series_states
 from .performance import autocovariances, centred, profit_factor
 
 MIN_DRAWS = 1000
@@ -262,14 +263,19 @@ def _statistic(name: str) -> tuple[dict[str, Column], Column]:
 KEYS = ["family", "strategy_id"]
 
 
-def _point(panel: DataFrame, statistic: str) -> DataFrame:
+def _point(panel: DataFrame, statistic: str | Statistic) -> DataFrame:
+    if isinstance(statistic, Statistic):
+        n = panel.groupBy(*KEYS).agg(F.count("r").alias("n"))
+        return series_states(panel, KEYS, statistic).join(n, KEYS).select(*KEYS, "n", statistic.value(F.col("state")).alias("point"))
     sums, stat = _statistic(statistic)
     g = panel.groupBy(*KEYS).agg(*[F.sum(c).alias(k) for k, c in sums.items()], F.count("r").alias("n"))
     return g.withColumn("point", stat)
 
 
-def _resampled(panel: DataFrame, draws: DataFrame, sizes: DataFrame, statistic: str) -> DataFrame:
+def _resampled(panel: DataFrame, draws: DataFrame, sizes: DataFrame, statistic: str | Statistic) -> DataFrame:
     """The statistic of every draw; ``draws`` are runs (with ``first`` and ``len``) or positions."""
+    if isinstance(statistic, Statistic):
+        return draw_states(panel, draws, statistic).select(*KEYS, "b", statistic.value(F.col("state")).alias("theta"))
     sums, stat = _statistic(statistic)
     d = (block_sums if "first" in draws.columns else draw_sums)(panel, draws, sums).join(sizes.select("family", "n"), "family")
     return d.select(*KEYS, "b", stat.alias("theta"))
@@ -279,9 +285,9 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def block_bootstrap_ci(panel: DataFrame, statistic: str = "mean", scheme: str = "stationary", draws: int = 10000, block: int = 5,
+def block_bootstrap_ci(panel: DataFrame, statistic: str | Statistic = "mean", scheme: str = "stationary", draws: int = 10000, block: int = 5,
                        confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval under one of three block schemes.
+    """Percentile interval under one of three block schemes, of a named statistic or one of the caller's own.
 
     NaN draws are dropped and infinite ones kept; an infinite point or mostly NaN draws leave the
     bounds null, with a reason.
@@ -290,7 +296,10 @@ def block_bootstrap_ci(panel: DataFrame, statistic: str = "mean", scheme: str =
         raise ValueError(f"draws must be at least {MIN_DRAWS}")
     sizes = family_sizes(panel)
     make = {"stationary": stationary_blocks, "moving": moving_blocks, "fixed": fixed_blocks}[scheme]
-    theta = cut_lineage(_resampled(panel, make(sizes, draws, block, seed), sizes, statistic).filter(~F.isnan("theta")), "theta")
+    drawn = make(sizes, draws, block, seed)
+    if isinstance(statistic, Statistic):
+        drawn = cut_lineage(drawn, "drawn")  # read for its longest run, then for its runs
+    theta = cut_lineage(_resampled(panel, drawn, sizes, statistic).filter(~F.isnan("theta")), "theta")
     alpha = 1.0 - confidence
     q = quantiles(value_ranks(theta, KEYS, "theta"), KEYS, "theta", {"lower": F.lit(alpha / 2), "upper": F.lit(1 - alpha / 2)})
     kept = theta.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("kept"))

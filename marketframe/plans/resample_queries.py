@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import crossval as cv
 from ..operators import performance as perf
 from ..operators import resample as rs
+from ..operators.mergeable import MAX_DRAWDOWN
 from . import sqlmath
 from .stat_queries import STAT_VIEWS
 from .views import present, sql, v_panel, view
@@ -223,6 +224,36 @@ R11_SQL = rsql(
 )
 
 
+
+def r5_drawdown(spark, sf):
+    return present(rs.block_bootstrap_ci(v_fam(spark, sf), MAX_DRAWDOWN, "stationary", DRAWS, BLOCK, 0.95, SEED).drop("reason"))
+
+
+def _fall(keys: str, order: str, source: str) -> str:
+    """Largest drawdown per key: logs of growth against their running peak, both from 0."""
+    return f"""SELECT {keys}, max(1 - exp(lg - greatest(pk, 0))) AS dd FROM (SELECT *, max(lg) OVER (PARTITION BY {keys} ORDER BY {order}) AS pk FROM (
+        SELECT {keys}, {order}, sum(ln(greatest(1 + r, 1e-300))) OVER (PARTITION BY {keys} ORDER BY {order}) AS lg FROM {source})) GROUP BY ALL"""
+
+
+R5_DRAWDOWN_SQL = rsql(
+    f"""WITH t AS ({_fall("strategy_id, b", "s", "(SELECT strategy_id, b, s, r FROM v_sb d JOIN v_fam f ON f.i = d.i)")}),
+    q AS (SELECT strategy_id, quantile_cont(dd, 0.025) AS lo, quantile_cont(dd, 0.975) AS hi FROM t GROUP BY 1), p AS ({_fall("family, strategy_id", "i", "v_fam")})
+    SELECT family, p.strategy_id, (SELECT n FROM v_n) AS n, round(dd, 6) AS point, round(lo, 6) AS lower, round(hi, 6) AS upper FROM p JOIN q ON q.strategy_id = p.strategy_id"""
+)
+
+
+def r11_drawdown(spark, sf):
+    return present(cv.overfitting_probability(v_fam(spark, sf), SEGMENTS, metric=MAX_DRAWDOWN.negated()))
+
+
+_SHARPES = "SELECT family, strategy_id, mask, (mask >> seg) & 1 AS side, avg(r) / stddev_samp(r) AS sr FROM p, m WHERE bit_count(mask) = {half} GROUP BY 1, 2, 3, 4"
+_FALLS = "SELECT family, strategy_id, mask, side, -dd AS sr FROM ({fall})"
+R11_DRAWDOWN_SQL = R11_SQL.replace(
+    _SHARPES.format(half=SEGMENTS // 2),
+    _FALLS.format(fall=_fall("family, strategy_id, mask, side", "i", f"(SELECT family, strategy_id, mask, (mask >> seg) & 1 AS side, i, r FROM p, m WHERE bit_count(mask) = {SEGMENTS // 2})")),
+)
+
+
 def r12(spark, sf):
     sizes = rs.family_sizes(v_fam(spark, sf))
     out = None
@@ -339,7 +370,7 @@ QUERIES = {
     "R5_block_ci_moving_profit_factor": r5b, "R5_block_ci_fixed_sharpe": r5c, "R6_bca_interval": r6, "R7_permutation_sign_flip": r7_sign,
     "R7_permutation_shuffle": r7_shuffle, "R7_permutation_block_shuffle": r7_block, "R8_T2_reality_check": r8, "R9_superior_ability": r9, "R10_stepdown": r10,
     "R11_U4_overfitting_probability": r11, "R12_walk_forward": r12, "R13_purged_folds": r13, "R14_survival": r14, "R15_survival_cap": r15,
-    "R16_adjusted_p_values": r16, "R17_promotion": r17,
+    "R16_adjusted_p_values": r16, "R17_promotion": r17, "R5_block_ci_max_drawdown": r5_drawdown, "R11_max_drawdown_metric": r11_drawdown,
 }
 
 ORACLES = {
@@ -350,5 +381,5 @@ ORACLES = {
     "R14_survival": rsql("SELECT family, strategy_id, leverage::DOUBLE AS leverage, round(survival, 6) AS survival FROM v_surv"),
     "R15_survival_cap": rsql(f"""SELECT s.family, s.strategy_id, 6 + s.strategy_id % 6 AS base, coalesce(max(leverage::BIGINT) FILTER (survival >= {FLOOR} AND leverage <= 6 + s.strategy_id % 6), 0) AS cap
         FROM v_surv s GROUP BY 1, 2"""),
-    "R16_adjusted_p_values": R16_SQL, "R17_promotion": R17_SQL,
+    "R16_adjusted_p_values": R16_SQL, "R17_promotion": R17_SQL, "R5_block_ci_max_drawdown": R5_DRAWDOWN_SQL, "R11_max_drawdown_metric": R11_DRAWDOWN_SQL,
 }
