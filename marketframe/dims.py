@@ -173,3 +173,23 @@ def with_root_facts(df: DataFrame, *facts: str, root: str = "root", strict: bool
         ).otherwise(F.lit(True))
         out = out.filter(known)
     return out.drop("__known")
+
+
+def with_facts_as_of(df: DataFrame, facts: DataFrame, names: list[str], at: str, root: str = "root") -> DataFrame:
+    """Attach the latest ``facts`` (root, valid_from and ``names``) on or before date or time ``at``.
+
+    Of several facts of one day the greatest in order of ``names`` holds; later facts are never seen. A row
+    without a fact by then, or with a null one, fails the job, as a root without constants does.
+    """
+    from .operators.ordered import best_so_far
+    from .operators.pit import days
+
+    best = F.struct(F.col("valid_from"), *[F.col(c) for c in names])
+    dated = facts.select(F.col("root").alias(root), "valid_from", *names)
+    out = best_so_far(df, dated, [root], days(F.to_date(at)), days(F.to_date("valid_from")), best, 366.0, "__fact")
+    missing = F.lit(False)
+    for c in names:
+        missing = missing | F.col(f"__fact.{c}").isNull()
+    text = F.concat(F.lit("no facts for root "), F.coalesce(F.col(root), F.lit("(null)")), F.lit(" by "), F.coalesce(F.col(at).cast("string"), F.lit("(null)")))
+    out = out.filter(F.when(missing, F.raise_error(text)).otherwise(F.lit(True)))
+    return out.withColumns({c: F.col(f"__fact.{c}") for c in names}).drop("__fact")

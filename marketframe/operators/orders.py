@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import NATIVE_ORDER_TYPES, ORDER_DOWNGRADES, SLIPPAGE_BANDS, with_root_facts
+from ..dims import NATIVE_ORDER_TYPES, ORDER_DOWNGRADES, SLIPPAGE_BANDS, with_facts_as_of, with_root_facts
 from ..functions.contracts import contract_root
 
 
@@ -15,11 +15,22 @@ def slipped_price(price: Column, side: Column, tick: Column, band: str) -> Colum
     return F.when(side == "buy", price + tick * ticks).otherwise(price - tick * ticks)
 
 
-def apply_slippage(fills: DataFrame, band: str = "CONSERVATIVE") -> DataFrame:
-    """Market and stop fills move against the trader; limit fills do not."""
-    f = with_root_facts(fills.withColumn("root", contract_root(F.col("contract"))), "tick")
+def apply_slippage(fills: DataFrame, band: str = "CONSERVATIVE", slips: DataFrame | None = None, at: str = "filled_at") -> DataFrame:
+    """Market and stop fills move against the trader; limit fills do not.
+
+    ``slips`` (root, valid_from, tick, ticks) takes the place of the constant tick sizes and the band: a fill
+    moves by ``tick * ticks`` as in force at its time ``at``.
+    """
+    f = fills.withColumn("root", contract_root(F.col("contract")))
     moved = F.col("order_type").isin("MKT", "STP")
-    price = F.when(moved, slipped_price(F.col("fill_price"), F.col("side"), F.col("tick"), band)).otherwise(F.col("fill_price"))
+    if slips is None:
+        f = with_root_facts(f, "tick")
+        away = slipped_price(F.col("fill_price"), F.col("side"), F.col("tick"), band)
+    else:
+        f = with_facts_as_of(f, slips, ["tick", "ticks"], at)
+        move = F.col("tick") * F.col("ticks")
+        away = F.when(F.col("side") == "buy", F.col("fill_price") + move).otherwise(F.col("fill_price") - move)
+    price = F.when(moved, away).otherwise(F.col("fill_price"))
     return f.withColumn("slipped_price", price)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import with_root_facts
+from ..dims import with_facts_as_of, with_root_facts
 
 KELLY_SHARE, MARGIN_SHARE, LEVERAGE_CAP = 0.25, 0.5, 3.0
 
@@ -17,13 +17,17 @@ def _whole(c: Column) -> Column:
 
 
 def size_positions(signals: DataFrame, kelly_share: float = KELLY_SHARE, margin_share: float = MARGIN_SHARE,
-                   leverage_cap: float = LEVERAGE_CAP) -> DataFrame:
+                   leverage_cap: float = LEVERAGE_CAP, margins: DataFrame | None = None, at: str = "d") -> DataFrame:
     """Contracts allowed by kelly, margin, leverage and (optional column) survival caps.
 
     ``signals``: root, kelly, equity, price, optional ``survival_contracts``. The binding cap is the
-    smallest; ties go to kelly, margin, leverage, survival in that order.
+    smallest; ties go to kelly, margin, leverage, survival in that order. ``margins`` (root, valid_from,
+    margin) takes the place of the constant margins: a signal gets the one in force on its date ``at``.
     """
-    s = with_root_facts(signals, "multiplier", "margin")
+    if margins is None:
+        s = with_root_facts(signals, "multiplier", "margin")
+    else:
+        s = with_facts_as_of(with_root_facts(signals, "multiplier"), margins, ["margin"], at)
     equity, kelly = F.col("equity").cast("double"), F.col("kelly").cast("double")
     notional = F.col("price").cast("double") * F.col("multiplier").cast("double")
     bad = (equity <= 0) | (F.col("price") <= 0)

@@ -254,6 +254,30 @@ X1_SQL = tsql(
 )
 
 
+def _months(spark, sf):
+    """Per root and month: its first date and the price then."""
+    return v_base(spark, sf).groupBy("root", F.trunc("d", "month").alias("month")).agg(F.min("d").alias("valid_from"), F.min_by("px", "d").alias("px"))
+
+
+def x1_dated(spark, sf):
+    """Margins that follow prices: each month 7 % of a contract's value on the month's first date."""
+    m = dims.with_root_facts(_months(spark, sf), "multiplier")
+    m = m.select("root", "valid_from", (F.col("px").cast("double") * F.col("multiplier").cast("double") * 0.07).alias("margin"))
+    s = sizing.size_positions(v_signals(spark, sf).drop("survival_contracts"), margins=m)
+    return present(s.select("strategy_id", "d", "contracts", "binding", "margin_contracts", "margin"))
+
+
+_MONTHS = "(SELECT root, date_trunc('month', d) AS month, min(d) AS valid_from, arg_min(px, d) AS px FROM v_base GROUP BY 1, 2)"
+X1_DATED_SQL = tsql(
+    f"""WITH s AS (SELECT v.*, m.px::DOUBLE * multiplier::DOUBLE * 0.07e0 AS mg, floor(equity * 3e0 / (price::DOUBLE * multiplier::DOUBLE))::BIGINT AS lc,
+      CASE WHEN kelly <= 0 THEN 0 ELSE floor(kelly * 0.25e0 * equity / (price::DOUBLE * multiplier::DOUBLE)) END::BIGINT AS kc
+      FROM v_signals v JOIN {_DIM_SQL} ON dim.root = v.root ASOF JOIN {_MONTHS} m ON m.root = v.root AND v.d >= m.valid_from),
+    t AS (SELECT *, floor(equity * 0.5e0 / mg)::BIGINT AS mc FROM s)
+    SELECT strategy_id, d::VARCHAR AS d, CASE WHEN kelly <= 0 THEN 0 ELSE least(kc, mc, lc) END AS contracts,
+      CASE WHEN kelly <= 0 THEN 'no_edge' WHEN kc <= least(mc, lc) THEN 'kelly' WHEN mc <= lc THEN 'margin' ELSE 'leverage' END AS binding, mc AS margin_contracts, round(mg, 6) AS margin FROM t"""
+)
+
+
 def x2(spark, sf):
     s = sizing.size_fixed(v_signals(spark, sf), 3)
     return present(s.select("strategy_id", "d", "contracts"))
@@ -321,6 +345,25 @@ P7_SQL = tsql(
     WHERE fill_price IS NOT NULL"""
 )
 
+
+
+def p7_dated(spark, sf):
+    """Tick sizes doubled in odd years, one to three ticks by month."""
+    f = pos.fill_orders(v_orders(spark, sf), v_bars(spark, sf)).filter("fill_price IS NOT NULL")
+    ticks = (1 + F.month("valid_from") % 3).cast("int")
+    day = F.to_date("ts")
+    months = v_bars(spark, sf).groupBy(sym.contract_root(F.col("contract")).alias("root"), F.trunc(day, "month").alias("month")).agg(F.min(day).alias("valid_from"))
+    slips = dims.with_root_facts(months, "tick").select("root", "valid_from", (F.col("tick") * (1 + F.year("valid_from") % 2)).cast("decimal(20,8)").alias("tick"), ticks.alias("ticks"))
+    return present(order_ops.apply_slippage(f, slips=slips).select("order_id", "ticks", "slipped_price"))
+
+
+P7_DATED_SQL = tsql(
+    _J8 + f""", m AS (SELECT m.root, valid_from, (tick * (1 + year(valid_from) % 2))::DECIMAL(20,8) AS tick, 1 + month(valid_from) % 3 AS k
+      FROM (SELECT left(contract, length(contract) - 3) AS root, min(ts::DATE) AS valid_from FROM v_bars GROUP BY 1, date_trunc('month', ts)) m JOIN {_DIM_SQL} ON dim.root = m.root)
+    SELECT order_id, k::BIGINT AS ticks, (CASE WHEN order_type = 'LMT' THEN fill_price WHEN side = 'buy' THEN fill_price + tick * k ELSE fill_price - tick * k END)::DOUBLE AS slipped_price
+    FROM (SELECT *, left(contract, length(contract) - 3) AS r, filled_at::DATE AS fd FROM f WHERE fill_price IS NOT NULL) g ASOF JOIN m ON m.root = g.r AND g.fd >= m.valid_from"""
+)
+
 _TYPES = ["MKT", "LMT", "STP", "STP_LMT", "STP_PRT", "MIT", "LIT", "MOC", "MOO", "TRAIL", "TRAIL_LMT", "JOIN_BID", "JOIN_ASK", "ICEBERG"]
 
 
@@ -375,7 +418,7 @@ QUERIES = {
     "W1_roll_flags": w1, "W2_roll_clean_returns": w2, "W3_ratio_adjusted": w3, "W12_roll_bookings": w12, "U3_date_axis": u3,
     "W7_trade_ledger": w7, "W8_average_cost": w8, "W10_loss_limits": w10, "W10_session_limits": w10_sessions, "W11_equity_curve": w11, "W13_stop_loss": w13,
     "W14_target_deltas": w14, "J8_order_fills": j8, "J13_mark_price": j13, "P2_contract_parse": p2, "P3_next_contract": p3,
-    "P7_slippage": p7, "P8_root_constants": p8, "P16_order_downgrade": p16, "X1_capped_sizing": x1, "X2_fixed_sizing": x2,
+    "P7_slippage_dated": p7_dated, "X1_capped_sizing_dated": x1_dated, "P7_slippage": p7, "P8_root_constants": p8, "P16_order_downgrade": p16, "X1_capped_sizing": x1, "X2_fixed_sizing": x2,
     "X3_weighted_sizing": x3, "A20_inverse_vol_weights": a20,
 }
 
@@ -419,6 +462,8 @@ ORACLES = {
     "P3_next_contract": f"""WITH s AS ({_SYM_SQL}) SELECT DISTINCT symbol, r || CASE WHEN instr(c, code) < length(c) THEN c[instr(c, code) + 1] ELSE c[1] END
         || lpad(((y + CASE WHEN instr(c, code) < length(c) THEN 0 ELSE 1 END) % 100)::VARCHAR, 2, '0') AS next_symbol FROM s""",
     "P7_slippage": P7_SQL,
+    "P7_slippage_dated": P7_DATED_SQL,
+    "X1_capped_sizing_dated": X1_DATED_SQL,
     "P8_root_constants": f"""WITH s AS ({_SYM_SQL}) SELECT DISTINCT symbol, r AS root, multiplier::DOUBLE AS multiplier, margin::DOUBLE AS margin, round(tick::DOUBLE, 6) AS tick, cycle FROM s JOIN {_DIM_SQL} ON dim.root = r""",
     "P16_order_downgrade": P16_SQL,
     "X1_capped_sizing": X1_SQL,
