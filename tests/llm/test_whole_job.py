@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import brute
 import pytest
 
-from marketframe.llm import katz
-from marketframe.llm.url_templates import template_verdicts
+from marketframe.llm import katz, url_templates
+from marketframe.llm.url_templates import path_templates, template_verdicts
+from marketframe.session import work_dir
 
 
 def plain_katz(docs):
@@ -96,3 +97,66 @@ def test_op4_small_branches_speak_for_themselves_only(spark):
     got = {(r.host, r.path): r.rejected for r in template_verdicts(rows).collect()}
     assert len(got) == len(pages)
     assert [(h, p) for h, p, blocked in pages if got[(h, p)] != bool(blocked)] == []
+
+
+def plain_templates(paths, z=1.96):
+    """Template by (host, path), by a tree that is walked one segment at a time."""
+    out, todo = {}, defaultdict(list)
+    for host, path, n, labelled, blocked in paths:
+        todo[host, ""].append(([p for p in path.split("/") if p], path, n, labelled, blocked))
+    while todo:
+        (host, template), rows = todo.popitem()
+        branches = defaultdict(list)
+        for row in rows:
+            if row[0]:
+                branches[row[0][0]].append(row)
+            else:
+                out[host, row[1]] = template
+        sums = {p: [sum(r[i] for r in b) for i in (2, 3, 4)] for p, b in branches.items()}
+        total, bad = (sum(s[i] for s in sums.values()) for i in (1, 2))
+        names = {}
+        for p, (_, labels, blocked) in sums.items():
+            others = total - labels
+            if labels and others:
+                gap, rate = blocked / labels - (bad - blocked) / others, bad / total
+                names[p] = p if abs(gap) > z * math.sqrt(rate * (1 - rate) * (1 / labels + 1 / others)) else None
+            else:
+                names[p] = p if labels else None
+        merged = sum(s[1] for p, s in sums.items() if names[p] is None)
+        silent = sum(s[0] for s in sums.values() if s[1] == 0)
+        for p, b in branches.items():
+            name = names[p] or ("*" if sums[p][1] or not merged or merged >= silent else "?")
+            todo[host, f"{template}/{name}"] += [(r[0][1:], *r[1:]) for r in b]
+    return out
+
+
+def test_op4_templates_are_those_of_a_plain_tree(spark):
+    rnd = random.Random(4)
+    paths = {}
+    for _ in range(1500):
+        host = rnd.choice(["a.com", "b.org", ""])
+        parts = [rnd.choice(["fr", "de", "x", "y", "", *"0123456789"]) for _ in range(rnd.randint(0, 6))]
+        labelled = rnd.choice([0, 0, 1, 3])
+        blocked = labelled if "de" in parts[:2] else rnd.randint(0, labelled) if rnd.random() < 0.2 else 0
+        paths[host, "/" + "/".join(parts)] = (rnd.randint(labelled, 5) or 1, labelled, blocked)
+    # one chain of labelled paths, with unlabelled ones that end in it, leave it and go on after it
+    for path, labelled in (("/p/q/r/s", 2), ("/p/q/r/t", 2), ("/p/q", 0), ("/p/q/r", 0), ("/p/z/r/s", 0), ("/p/q/r/s/1/2", 0)):
+        paths["chain.net", path] = (2, labelled, labelled if path.endswith("t") else 0)
+    rows = [(h, p, *v) for (h, p), v in paths.items()]
+    df = spark.createDataFrame(rows, "host string, path string, n long, labelled long, blocked long")
+    got = [((r.host, r.path), r.template) for r in path_templates(df).collect()]
+    assert len(got) == len(rows)
+    assert dict(got) == plain_templates(rows)
+
+
+def test_op4_one_deep_url_decides_no_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(url_templates, "work_dir", lambda *a: made.append(work_dir(*a)) or made[-1])
+    deep = "/seg" * 2000
+    pages = [("a.com", f"/{k}/{i}", k == "x") for k in "xy" for i in range(20)] + [("a.com", "/x" + deep, True), ("a.com", deep, None), ("b.com", deep, False), (None, None, None)]
+    got = {(r.host, r.path): r for r in template_verdicts(spark.createDataFrame(pages, "host string, path string, blocked boolean")).collect()}
+    assert len(got) == len(pages) and len(made) <= 7
+    assert got["b.com", deep].template == deep and got["", ""].template == ""
+    assert got["a.com", "/x/3"].rejected and not got["a.com", "/y/3"].rejected
+    empty = spark.createDataFrame([], "host string, path string, blocked boolean")
+    assert template_verdicts(empty).count() == 0
