@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, spread
 from .mergeable import Statistic, merged, series_states
 from .ordered import quantiles, value_ranks
+from .resample import prefix_sums
 
 EPS = 1e-9
 
@@ -121,6 +122,25 @@ def assign_walk_forward(panel: DataFrame, folds: DataFrame) -> DataFrame:
     return panel.join(cover, ["family", "i"])
 
 
+def walk_forward_means(panel: DataFrame, folds: DataFrame) -> DataFrame:
+    """``n`` and ``mean`` of r per family, fold, strategy_id and role (train, validate).
+
+    A role is an interval of positions, so it costs two lookups in the strategy's prefix sums however
+    long it is. A null r has a place but no value; a role without values has no mean. Positions run from
+    0 without gaps, as in ``assign_walk_forward``.
+    """
+    value = F.col("r").cast("double")
+    sums = cut_lineage(prefix_sums(panel, {"s": F.coalesce(value, F.lit(0.0)), "c": F.when(value.isNull(), 0).otherwise(1)}), "prefix")
+    role = lambda name, a, z: F.struct(F.lit(name).alias("role"), F.col(a).alias("a"), F.col(z).alias("z"))
+    roles = folds.select("family", "fold", F.inline(F.array(role("train", "train_start", "train_end"), role("validate", "val_start", "val_end")))).filter("a < z")
+    edge = lambda at, plus: F.struct(F.col(at).alias("at"), F.lit(plus).alias("plus"))
+    edges = roles.select("family", "fold", "role", (F.col("z") - F.col("a")).alias("n"), F.inline(F.array(edge("a", False), edge("z", True))))
+    found = edges.join(sums, ["family", "at"])
+    total = lambda c: F.sum(F.when(F.col("plus"), F.col(c)).otherwise(-F.col(c))).cast("double")
+    g = found.groupBy("family", "fold", "strategy_id", "role").agg(F.max("n").alias("n"), total("c").alias("c"), total("s").alias("s"))
+    return g.select("family", "fold", "strategy_id", "role", "n", F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("mean"))
+
+
 def purged_roles(sizes: DataFrame, blocks: int = 10, test: int = 2, purge: int = 5, embargo: int = 2) -> DataFrame:
     """Role of every position in each combination of test blocks: test, purged, embargoed or train.
 

@@ -259,8 +259,7 @@ def r12(spark, sf):
     out = None
     for mode, kw in (("anchored", {"min_train": 24}), ("rolling", {"train": 24, "step": 7})):
         f = cv.walk_forward(sizes, 12, mode, **kw)
-        a = cv.assign_walk_forward(v_fam(spark, sf), f).groupBy("family", "fold", "strategy_id", "role").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"))
-        a = a.withColumn("mode", F.lit(mode))
+        a = cv.walk_forward_means(v_fam(spark, sf), f).withColumn("mode", F.lit(mode))
         out = a if out is None else out.unionByName(a)
     return present(out)
 
