@@ -10,6 +10,7 @@ from ..operators import validate
 from ..schemas import SCHEMAS
 from ..session import work_dir
 from ..sources import archive, feeds, ledger, settlement_pages
+from ..sources.custom import LandedFolder, feed_source
 from .quote_queries import EVENTS_SQL, _events
 from .views import load, present, sql, v_bars, v_contract_bars, v_cot, v_macro, v_quotes, v_ret, v_settles, view
 
@@ -113,6 +114,25 @@ S15_SQL = sql(
 )
 
 
+def landed_feed(spark, sf):
+    """All quotes landed by day and read through a data source of their own: the last week in a window, then everything."""
+    path = work_dir(spark, "feed")
+    q = v_quotes(spark, sf).select(*FEED_COLS)
+    q.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in q.schema)
+    spark.dataSource.register(feed_source(LandedFolder(path, ddl), "landed_quotes"))
+    read = lambda **window: spark.read.format("landed_quotes").options(**window).load()
+    both = read(starts="2024-01-20T12:00:00").withColumn("read", F.lit("window")).unionByName(read().withColumn("read", F.lit("all")))
+    return present(both.groupBy("read", "contract", "source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"), F.max("close").alias("top"), F.min("ts").alias("first")))
+
+
+FEED_COLS = ["contract", "ts", "close", "volume", "source_id", "as_of"]
+LANDED_FEED_SQL = sql(
+    """WITH q AS (SELECT 'all' AS read, * FROM v_quotes UNION ALL SELECT 'window', * FROM v_quotes WHERE ts >= TIMESTAMP '2024-01-20 12:00:00')
+    SELECT read, contract, source_id, count(*) AS n, sum(volume)::BIGINT AS volume, max(close)::DOUBLE AS top, min(ts)::VARCHAR AS first FROM q GROUP BY ALL"""
+)
+
+
 @view(stored=True)
 def v_pages(spark, sf):
     """One settlement page per root and day, with defects planted by day number."""
@@ -447,7 +467,7 @@ def j10(spark, sf):
 QUERIES = {
     "S1_bar_archive": s1, "S1_write_counts": s1_counts, "S2_bar_window": s2, "S3_settle_archive": s3, "S4_settle_range": s4, "S5_archive_sql": s5, "S5_archive_table_query": s5_where,
     "S6_settlement_pages": s6, "S6_page_problems": s6_problems, "S7_venue_bars": s7, "S8_vendor_daily_bars": s8, "S9_broker_bars": s9, "S10_settles_from_bars": s10, "S11_cot_reports": s11,
-    "S12_vintage_values": s12, "S13_monthly_values": s13, "S14_release_events": s14, "S15_session_ledger": s15, "S16_static_dates": s16, "S17_marker_lines": s17, "S17_marker_report": s17_report,
+    "S12_vintage_values": s12, "S13_monthly_values": s13, "S14_release_events": s14, "S15_session_ledger": s15, "D1_landed_feed": landed_feed, "S16_static_dates": s16, "S17_marker_lines": s17, "S17_marker_report": s17_report,
     "P1_bar_rules": p1, "P1_order_rules": p1_orders, "P18_number_cleaning": p18, "P19_schema_drift": p19, "T1_canonical_order": t1, "U1_U2_T3_keep_last": u2, "J10_new_rows": j10,
 }
 
@@ -462,7 +482,7 @@ ORACLES = {
     "S5_archive_sql": sql("""SELECT contract, month(ts) AS month, count(*) AS n, round(sum(close)::DOUBLE, 6) AS total, grouping_id(contract, month(ts)) AS g FROM v_quotes WHERE close >= 105 GROUP BY CUBE (contract, month(ts))"""),
     "S5_archive_table_query": sql("SELECT contract, max(settle)::DOUBLE AS top FROM v_settles WHERE root = 'GC' GROUP BY contract"),
     "S6_settlement_pages": S6_SQL, "S6_page_problems": S6P_SQL, "S7_venue_bars": S7_SQL, "S8_vendor_daily_bars": S8_SQL, "S9_broker_bars": S9_SQL, "S10_settles_from_bars": S10_SQL, "S11_cot_reports": S11_SQL,
-    "S12_vintage_values": S12_SQL, "S13_monthly_values": S13_SQL, "S14_release_events": S14_SQL, "S15_session_ledger": S15_SQL, "S16_static_dates": S16_SQL,
+    "S12_vintage_values": S12_SQL, "S13_monthly_values": S13_SQL, "S14_release_events": S14_SQL, "S15_session_ledger": S15_SQL, "D1_landed_feed": LANDED_FEED_SQL, "S16_static_dates": S16_SQL,
     "S17_marker_lines": _S17 + " SELECT doc_id, k AS line_no, trim(line) AS line, array_to_string(codes, ',') AS codes FROM c", "S17_marker_report": S17R_SQL,
     "P1_bar_rules": P1_SQL, "P1_order_rules": P1O_SQL, "P18_number_cleaning": P18_SQL,
     "P19_schema_drift": sql(_COT_BASE + " SELECT flavor, cs AS missing, count(*) AS n FROM d WHERE broken GROUP BY 1, 2"),
