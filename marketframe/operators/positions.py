@@ -225,18 +225,35 @@ def loss_limit_flags(fills: DataFrame, daily_loss: float, trailing_loss: float,
     )
 
 
+def _week(d: Column) -> Column:
+    return F.floor(F.unix_date(d) / 7)
+
+
+def held_weeks(states: DataFrame, ends: DataFrame) -> DataFrame:
+    """Weeks of every stretch of days from ``d`` to ``__to`` over which a chain holds one open position ``pos``.
+
+    A stretch lasts to the day before the chain's next fill, else to its root's last day (``ends``: root,
+    __end). Flat stretches give no rows, so what is not held costs nothing however long it is.
+    """
+    daily = states.groupBy(*KEYS, "d").agg(F.max(F.struct("fill_key", "net", "avg_price")).alias("pos"))
+    daily = daily.withColumn("__back", -F.unix_date("d"))
+    line = segmented(daily, KEYS, ["__back"], -F.year("d"), {"__next": ("lag", F.col("d"))})
+    held = line.filter("pos.net <> 0").join(ends, "root")
+    held = held.withColumn("__to", F.coalesce(F.date_sub("__next", 1), F.col("__end"))).filter("__to >= d")
+    return held.withColumn("__week", F.explode(F.sequence(_week(F.col("d")), _week(F.col("__to"))))).drop("__back", "__next", "__end")
+
+
 def stop_loss_flags(states: DataFrame, bars: DataFrame, pct: float) -> DataFrame:
     """Bars on which an open position has moved against its average entry by ``pct`` or more.
 
     ``states``: account, root, d, fill_key, net, avg_price after each fill. ``bars``: root, d, close.
     """
-    chains = states.groupBy(*KEYS).agg(F.min("d").alias("first"))
-    points = on_root_dates(chains, bars, F.col("first")).filter("d >= first").drop("first")
-    best = F.struct("d", "fill_key", "net", "avg_price")
-    got = best_so_far(points, states, KEYS, days(F.col("d")), days(F.col("d")), best, 31.0, "pos")
+    held = held_weeks(states, bars.groupBy("root").agg(F.max("d").alias("__end")))
+    marks = bars.select("root", F.col("d").alias("__d"), "close", _week(F.col("d")).alias("__week"))
+    got = held.join(marks, ["root", "__week"]).filter(F.col("__d").between(F.col("d"), F.col("__to"))).withColumn("d", F.col("__d"))
     avg, px = F.col("pos.avg_price"), F.col("close").cast("double")
     adverse = F.when(F.col("pos.net") > 0, (avg - px) / avg).when(F.col("pos.net") < 0, (px - avg) / avg)
-    return got.filter("pos.net <> 0").select(
+    return got.select(
         *KEYS, "d", F.col("pos.net").alias("net"), avg.alias("avg_price"), "close", adverse.alias("adverse")
     ).withColumn("stop", F.col("adverse") >= pct)
 

@@ -112,3 +112,18 @@ def test_finer_segments_change_nothing(spark):
     day = lambda d: F.unix_date(d)
     month = sorted(map(tuple, pos.trade_ledger(f).select("trade_no", "pnl").collect()))
     assert month == sorted(map(tuple, pos.trade_ledger(f, day).select("trade_no", "pnl").collect())) and month
+
+
+def test_stops_cost_rows_only_while_a_position_is_held(spark):
+    """Flat stretches give no rows; the last fill of a day counts; open positions last to the last bar."""
+    from datetime import date, timedelta
+
+    at = lambda n: date(2024, 1, 1) + timedelta(days=n)
+    states = [(1, "ES", at(3), 1, 2, 100.0), (1, "ES", at(3), 2, 3, 101.0), (1, "ES", at(5), 3, 0, None), (1, "ES", at(380), 4, -1, 90.0), (2, "CL", at(0), 5, 1, 50.0), (3, "GC", at(9), 6, 1, 50.0), (4, None, at(0), 7, 1, 50.0)]
+    bars = [("ES", at(n), 95.0 + n % 2) for n in range(390) if n != 4] + [("CL", at(20), 40.0), ("GC", at(2), 1.0)]
+    s = spark.createDataFrame(states, "account long, root string, d date, fill_key long, net long, avg_price double")
+    b = spark.createDataFrame(bars, "root string, d date, close double")
+    got = sorted((r.account, (r.d - at(0)).days, r.net, r.stop) for r in pos.stop_loss_flags(s, b, 0.05).collect())
+    assert got == [(1, 3, 3, False)] + [(1, n, -1, True) for n in range(380, 390)] + [(2, 20, 1, True)]
+    held = pos.held_weeks(s, b.groupBy("root").agg({"d": "max"}).withColumnRenamed("max(d)", "__end"))
+    assert held.filter("account = 1").count() <= 4
