@@ -229,7 +229,8 @@ def quantiles(ranked: DataFrame, keys: Sequence[str], value: str, probabilities:
     return out.select(
         *keys,
         *[
-            F.when(F.col(f"__{n}_lo") == F.col(f"__{n}_hi"), F.col(f"__{n}_lo"))
+            # nothing is added to a value that is taken whole: the next may be infinite
+            F.when((F.col(f"__{n}_lo") == F.col(f"__{n}_hi")) | (F.col(f"__{n}_w") == 0), F.col(f"__{n}_lo"))
             .otherwise(F.col(f"__{n}_lo") + F.col(f"__{n}_w") * (F.col(f"__{n}_hi") - F.col(f"__{n}_lo")))
             .alias(n)
             for n in probabilities

@@ -122,20 +122,21 @@ def independent_indices(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
     return d.select("family", "b", "step", pick(uniform("iid", seed, F.col("b"), F.col("step")), F.col("n")).alias("i"))
 
 
+#: Sums are exact decimals: a difference of two prefix sums is what adding up the rows in between gives, and a draw
+#: that takes the same returns in another order has the same statistic, not one that differs by rounding.
+EXACT = "decimal(28,18)"
+
+
 def draw_sums(panel: DataFrame, indices: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Per (family, b, strategy): sums of row expressions over the drawn positions.
 
     A position drawn c times counts c times, so the join carries distinct positions only, and the
     partial sums are formed where a draw lives.
     """
-    counts = indices.groupBy("family", "b", "i").agg(F.count(F.lit(1)).alias("c"))
-    vals = panel.select("family", "strategy_id", "i", *[c.alias(n) for n, c in sums.items()])
+    counts = indices.groupBy("family", "b", "i").agg(F.count(F.lit(1)).cast("decimal(9,0)").alias("c"))
+    vals = panel.select("family", "strategy_id", "i", *[c.cast(EXACT).alias(n) for n, c in sums.items()])
     j = counts.join(vals, ["family", "i"])
-    return j.groupBy("family", "b", "strategy_id").agg(*[F.sum(F.col(n) * F.col("c")).alias(n) for n in sums])
-
-
-#: Prefix sums are exact decimals, so that a difference of two is what adding up the rows in between gives.
-EXACT = "decimal(28,18)"
+    return j.groupBy("family", "b", "strategy_id").agg(*[F.sum(F.col(n) * F.col("c")).cast("double").alias(n) for n in sums])
 
 
 def prefix_sums(panel: DataFrame, sums: dict[str, Column]) -> DataFrame:
@@ -268,8 +269,8 @@ def _point(panel: DataFrame, statistic: str | Statistic) -> DataFrame:
         n = panel.groupBy(*KEYS).agg(F.count("r").alias("n"))
         return series_states(panel, KEYS, statistic).join(n, KEYS).select(*KEYS, "n", statistic.value(F.col("state")).alias("point"))
     sums, stat = _statistic(statistic)
-    g = panel.groupBy(*KEYS).agg(*[F.sum(c).alias(k) for k, c in sums.items()], F.count("r").alias("n"))
-    return g.withColumn("point", stat)
+    g = panel.groupBy(*KEYS).agg(*[F.sum(c.cast(EXACT)).alias(f"__e_{k}") for k, c in sums.items()], F.count("r").alias("n"))
+    return g.withColumns({k: F.col(f"__e_{k}").cast("double") for k in sums}).withColumn("point", stat)
 
 
 def _resampled(panel: DataFrame, draws: DataFrame, sizes: DataFrame, statistic: str | Statistic) -> DataFrame:
@@ -323,14 +324,15 @@ def bca_interval(panel: DataFrame, statistic: str = "profit_factor", draws: int
     )
     sums, stat = _statistic(statistic)
     names = list(sums)
-    left = panel.select(*KEYS, *[c.alias(f"__x_{k}") for k, c in sums.items()]).join(point, KEYS)
-    left = left.select(*KEYS, *[(F.col(k) - F.col(f"__x_{k}")).alias(k) for k in names], (F.col("n") - 1).alias("n")).withColumn("j", stat)
+    left = panel.select(*KEYS, *[c.cast(EXACT).alias(f"__x_{k}") for k, c in sums.items()]).join(point, KEYS)
+    left = left.select(*KEYS, *[(F.col(f"__e_{k}") - F.col(f"__x_{k}")).cast("double").alias(k) for k in names], (F.col("n") - 1).alias("n")).withColumn("j", stat)
     jm = left.groupBy(*KEYS).agg(F.avg("j").alias("jm"), F.count_if(~_finite(F.col("j"))).alias("odd"))
     dv = F.col("jm") - F.col("j")
     acc = left.join(jm, KEYS).groupBy(*KEYS).agg(F.sum(dv * dv).alias("d2"), F.sum(dv * dv * dv).alias("d3"), F.max("odd").alias("odd"))
-    g = point.select(*KEYS, "n", "point").join(place, KEYS).join(acc, KEYS)
+    # a strategy whose draws are all undefined keeps its row
+    g = point.select(*KEYS, "n", "point").join(place, KEYS, "left").join(acc, KEYS)
     half = 0.5 / F.col("m")
-    share = F.least(F.greatest((F.col("less") + 0.5 * F.col("same")) / F.col("m"), half), 1.0 - half)
+    share = F.when(F.col("m") > 0, F.least(F.greatest((F.col("less") + 0.5 * F.col("same")) / F.col("m"), half), 1.0 - half))
     usable = (F.col("odd") == 0) & (F.col("d2") > 0)
     g = g.withColumn("__share", share)
     g = g.withColumns({"z0": normal_ppf(F.col("__share")), "accel": F.when(usable, F.col("d3") / (6.0 * F.pow(F.when(usable, F.col("d2")), F.lit(1.5)))).otherwise(0.0)})
@@ -346,10 +348,10 @@ def bca_interval(panel: DataFrame, statistic: str = "profit_factor", draws: int
     g = g.withColumns({"__pl": normal_cdf(F.col("__zl")), "__pu": normal_cdf(F.col("__zu"))})
     ranked = value_ranks(theta, KEYS, "theta").join(g.select(*KEYS, "__pl", "__pu"), KEYS)
     q = quantiles(ranked, KEYS, "theta", {"lower": F.col("__pl"), "upper": F.col("__pu")})
-    reason = F.when(~_finite(F.col("point")), "point is not finite").when(F.col("m") < draws // 2, "too many undefined draws")
+    reason = F.when(~_finite(F.col("point")), "point is not finite").when(F.coalesce("m", F.lit(0)) < draws // 2, "too many undefined draws")
     ok = reason.isNull()
     lower = F.when(ok, F.col("lower"))
-    out = g.join(q, KEYS)
+    out = g.join(q, KEYS, "left")
     return out.select(*KEYS, "n", "point", lower.alias("lower"), F.when(ok, F.col("upper")).alias("upper"), "z0", "accel", reason.alias("reason"),
                       F.coalesce(_finite(lower) & (lower > 1.0), F.lit(False)).alias("exceeds_one"))
 

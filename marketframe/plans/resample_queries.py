@@ -106,6 +106,14 @@ def _r5(scheme, statistic, view_name):
         p AS (SELECT family, strategy_id, count(*) AS n, {stat} AS pt FROM v_fam GROUP BY 1, 2)
         SELECT family, p.strategy_id, n, round(pt, 6) AS point, round(lo, 6) AS lower, round(hi, 6) AS upper FROM p JOIN q ON q.strategy_id = p.strategy_id"""
     )
+    if statistic == "profit_factor":  # the only one with undefined draws and infinite points
+        text = rsql(
+            f"""WITH t AS (SELECT strategy_id, b, {stat} AS th FROM {view_name} d JOIN v_fam f ON f.i = d.i GROUP BY 1, 2),
+            q AS (SELECT strategy_id, quantile_cont(th, 0.025) AS lo, quantile_cont(th, 0.975) AS hi, count(*) AS kept FROM t WHERE NOT isnan(th) GROUP BY 1),
+            p AS (SELECT family, strategy_id, count(*) AS n, {stat} AS pt FROM v_fam GROUP BY 1, 2),
+            o AS (SELECT *, isfinite(pt) AND coalesce(kept, 0) >= {DRAWS // 2} AS ok FROM p LEFT JOIN q USING (strategy_id))
+            SELECT family, strategy_id, n, round(pt, 6) AS point, CASE WHEN ok THEN round(lo, 6) END AS lower, CASE WHEN ok THEN round(hi, 6) END AS upper FROM o"""
+        )
     return run, text
 
 
@@ -118,20 +126,31 @@ def r6(spark, sf):
     return present(rs.bca_interval(v_fam(spark, sf), "profit_factor", DRAWS, 0.95, SEED).drop("reason"))
 
 
-_R6 = f"""WITH p AS (SELECT family, strategy_id, count(*) AS n, sum(greatest(r, 0)) AS g, sum(greatest(-r, 0)) AS l FROM v_fam GROUP BY 1, 2),
-    t AS (SELECT strategy_id, b, sum(greatest(r, 0)) / sum(greatest(-r, 0)) AS th FROM v_iid d JOIN v_fam f ON f.i = d.i GROUP BY 1, 2),
-    c AS (SELECT t.strategy_id, (count(*) FILTER (th < g / l) + 0.5e0 * count(*) FILTER (th = g / l)) / count(*) AS sh FROM t JOIN p ON p.strategy_id = t.strategy_id GROUP BY 1),
-    j AS (SELECT f.strategy_id, (g - greatest(r, 0)) / (l - greatest(-r, 0)) AS j FROM v_fam f JOIN p ON p.strategy_id = f.strategy_id),
-    jm AS (SELECT *, avg(j) OVER (PARTITION BY strategy_id) - j AS dv FROM j),
-    a AS (SELECT strategy_id, sum(pow(dv, 3)) / (6 * pow(sum(dv * dv), 1.5e0)) AS ac FROM jm GROUP BY 1),
-    z AS (SELECT c.strategy_id, ac, {sqlmath.ppf('sh')} AS z0 FROM c JOIN a ON a.strategy_id = c.strategy_id),
-    zz AS (SELECT *, z0 + (z0 - 1.959963984540054e0) / (1 - ac * (z0 - 1.959963984540054e0)) AS a1, z0 + (z0 + 1.959963984540054e0) / (1 - ac * (z0 + 1.959963984540054e0)) AS a2 FROM z),
+_R6 = f"""WITH x AS (SELECT family, strategy_id, i, greatest(r, 0)::DECIMAL(28,18) AS xg, greatest(-r, 0)::DECIMAL(28,18) AS xl FROM v_fam),
+    p AS (SELECT family, strategy_id, count(*) AS n, sum(xg) AS eg, sum(xl) AS el, sum(xg)::DOUBLE AS g, sum(xl)::DOUBLE AS l FROM x GROUP BY 1, 2),
+    t0 AS (SELECT strategy_id, b, sum(xg)::DOUBLE / sum(xl)::DOUBLE AS th FROM v_iid d JOIN x ON x.i = d.i GROUP BY 1, 2),
+    t AS (SELECT * FROM t0 WHERE NOT isnan(th)),
+    c AS (SELECT t.strategy_id, count(*) AS m, (count(*) FILTER (th < g / l) + 0.5e0 * count(*) FILTER (th = g / l)) / count(*) AS raw FROM t JOIN p ON p.strategy_id = t.strategy_id GROUP BY 1),
+    j AS (SELECT f.strategy_id, (eg - xg)::DOUBLE / (el - xl)::DOUBLE AS j FROM x f JOIN p ON p.strategy_id = f.strategy_id),
+    od AS (SELECT strategy_id, count(*) FILTER (NOT isfinite(j)) AS odd FROM j GROUP BY 1),
+    jm AS (SELECT *, avg(j) OVER (PARTITION BY strategy_id) - j AS dv FROM j WHERE isfinite(j)),
+    a AS (SELECT strategy_id, sum(dv * dv) AS d2, sum(dv * dv * dv) AS d3 FROM jm GROUP BY 1),
+    sh AS (SELECT p.strategy_id, coalesce(m, 0) AS m, least(greatest(raw, 0.5e0 / m), 1 - 0.5e0 / m) AS sh, CASE WHEN odd = 0 AND d2 > 0 THEN d3 / (6 * pow(d2, 1.5e0)) ELSE 0e0 END AS ac,
+      isfinite(g / l) AND coalesce(m, 0) >= {DRAWS // 2} AS ok FROM p JOIN od USING (strategy_id) LEFT JOIN c USING (strategy_id) LEFT JOIN a USING (strategy_id)),
+    z AS (SELECT *, {sqlmath.ppf('sh')} AS z0 FROM sh),
+    de AS (SELECT *, z0 - 1.959963984540054e0 AS c1, z0 + 1.959963984540054e0 AS c2 FROM z),
+    dn AS (SELECT *, 1 - ac * c1 AS d1, 1 - ac * c2 AS d2 FROM de),
+    zz AS (SELECT *, z0 + c1 / CASE WHEN abs(d1) < 1e-12 THEN CASE WHEN d1 < 0 THEN -1e-12 ELSE 1e-12 END ELSE d1 END AS a1,
+      z0 + c2 / CASE WHEN abs(d2) < 1e-12 THEN CASE WHEN d2 < 0 THEN -1e-12 ELSE 1e-12 END ELSE d2 END AS a2 FROM dn),
     pr AS (SELECT *, {sqlmath.cdf('a1')} AS p1, {sqlmath.cdf('a2')} AS p2 FROM zz),
-    o AS (SELECT strategy_id, list_sort(list(th)) AS ths, count(*) AS m FROM t GROUP BY 1),
-    q AS (SELECT pr.*, ths, CAST(floor((m - 1) * p1) AS BIGINT) AS k1, (m - 1) * p1 - floor((m - 1) * p1) AS w1, CAST(floor((m - 1) * p2) AS BIGINT) AS k2, (m - 1) * p2 - floor((m - 1) * p2) AS w2, m FROM pr JOIN o ON o.strategy_id = pr.strategy_id),
-    r AS (SELECT q.*, ths[k1 + 1] + w1 * (ths[least(k1 + 2, m)] - ths[k1 + 1]) AS lo, ths[k2 + 1] + w2 * (ths[least(k2 + 2, m)] - ths[k2 + 1]) AS hi FROM q)"""
-R6_SQL = rsql(_R6 + """ SELECT family, p.strategy_id, n, round(g / l, 6) AS point, round(lo, 6) AS lower, round(hi, 6) AS upper, round(z0, 6) AS z0, round(ac, 6) AS accel, lo > 1 AS exceeds_one
-    FROM p JOIN r ON r.strategy_id = p.strategy_id""")
+    o AS (SELECT strategy_id, list_sort(list(th)) AS ths FROM t GROUP BY 1),
+    q AS (SELECT pr.*, ths, CAST(floor((m - 1) * p1) AS BIGINT) AS k1, (m - 1) * p1 - floor((m - 1) * p1) AS w1, CAST(floor((m - 1) * p2) AS BIGINT) AS k2, (m - 1) * p2 - floor((m - 1) * p2) AS w2
+      FROM pr LEFT JOIN o USING (strategy_id)),
+    e AS (SELECT *, ths[k1 + 1] AS l1, ths[least(k1 + 2, m)] AS h1, ths[k2 + 1] AS l2, ths[least(k2 + 2, m)] AS h2 FROM q),
+    r AS (SELECT strategy_id, z0, ac, CASE WHEN NOT ok THEN NULL WHEN w1 = 0 OR l1 = h1 THEN l1 ELSE l1 + w1 * (h1 - l1) END AS lo,
+      CASE WHEN NOT ok THEN NULL WHEN w2 = 0 OR l2 = h2 THEN l2 ELSE l2 + w2 * (h2 - l2) END AS hi FROM e)"""
+R6_SQL = rsql(_R6 + """ SELECT family, p.strategy_id, n, round(g / l, 6) AS point, round(lo, 6) AS lower, round(hi, 6) AS upper, round(z0, 6) AS z0, round(ac, 6) AS accel,
+    coalesce(isfinite(lo) AND lo > 1, false) AS exceeds_one FROM p JOIN r ON r.strategy_id = p.strategy_id""")
 
 
 def r7_sign(spark, sf):
@@ -350,15 +369,17 @@ R17_SQL = rsql(
     t9 AS (SELECT family, greatest(0, max(t)) AS st FROM g9 GROUP BY 1),
     m9 AS (SELECT g9.family, b, greatest(0, max(sqrt(n) * (dstar - g) / omega) FILTER (omega > 0)) AS m FROM v_means x JOIN g9 ON g9.strategy_id = x.strategy_id GROUP BY 1, 2),
     s9 AS (SELECT t9.family, (count(*) FILTER (m >= st) + 1e0) / (count(*) + 1e0) AS sp FROM t9 JOIN m9 ON m9.family = t9.family GROUP BY t9.family, st),
-    mo AS (SELECT family, strategy_id, count(*) AS n, any_value(mu) / stddev_samp(r) AS sr, avg(pow(r - mu, 3)) / pow(avg(pow(r - mu, 2)), 1.5e0) AS skew, avg(pow(r - mu, 4)) / pow(avg(pow(r - mu, 2)), 2e0) AS kurt
+    mo AS (SELECT family, strategy_id, count(*) AS n, CASE WHEN stddev_samp(r) > 0 THEN any_value(mu) / stddev_samp(r) END AS sr, avg(pow(r - mu, 3)) / pow(avg(pow(r - mu, 2)), 1.5e0) AS skew, avg(pow(r - mu, 4)) / pow(avg(pow(r - mu, 2)), 2e0) AS kurt
       FROM (SELECT *, avg(r) OVER (PARTITION BY strategy_id) AS mu FROM v_fam) GROUP BY 1, 2),
-    ff AS (SELECT family, var_samp(sr * sqrt(12e0)) AS v, 1e0 - 1e0 / count(*) AS q1, 1e0 - 1e0 / (count(*) * exp(1e0)) AS q2 FROM mo GROUP BY 1),
-    sf AS (SELECT family, sqrt(v) * ((1 - 0.5772156649015329e0) * {sqlmath.ppf('q1')} + 0.5772156649015329e0 * {sqlmath.ppf('q2')}) AS star FROM ff),
-    zs AS (SELECT mo.family, strategy_id, (sr - star / sqrt(12e0)) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS zd, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS zp
-      FROM mo JOIN sf ON sf.family = mo.family),
+    ff AS (SELECT family, count(sr) AS k, var_samp(sr * sqrt(12e0)) AS v, 1e0 - 1e0 / count(sr) AS q1, 1e0 - 1e0 / (count(sr) * exp(1e0)) AS q2 FROM mo GROUP BY 1),
+    sf AS (SELECT family, CASE WHEN k < 2 THEN NULL WHEN v > 0 THEN sqrt(v) * ((1 - 0.5772156649015329e0) * {sqlmath.ppf('q1')} + 0.5772156649015329e0 * {sqlmath.ppf('q2')}) ELSE 0e0 END AS star FROM ff),
+    vt AS (SELECT mo.*, star, 1 - skew * sr + (kurt - 1) / 4 * sr * sr AS vr FROM mo JOIN sf ON sf.family = mo.family),
+    zs AS (SELECT family, strategy_id, CASE WHEN n >= 10 AND vr > 0 THEN (sr - star / sqrt(12e0)) * sqrt(n - 1) / sqrt(CASE WHEN vr > 0 THEN vr END) END AS zd,
+      CASE WHEN n >= 10 AND vr > 0 THEN sr * sqrt(n - 1) / sqrt(CASE WHEN vr > 0 THEN vr END) END AS zp FROM vt),
     al AS (SELECT zs.family, zs.strategy_id, {sqlmath.cdf('zd')} AS dsr, {sqlmath.cdf('zp')} AS psr, lo AS lower, pp, sp FROM zs JOIN r ON r.strategy_id = zs.strategy_id
       JOIN p7 ON p7.strategy_id = zs.strategy_id JOIN s9 ON s9.family = zs.family),
-    fl AS (SELECT *, list_filter([CASE WHEN NOT dsr > 0.95 THEN 'deflated_sharpe' END, CASE WHEN NOT psr > 0.95 THEN 'probabilistic_sharpe' END, CASE WHEN NOT lower > 1 THEN 'bca_profit_factor' END,
+    fl AS (SELECT *, list_filter([CASE WHEN NOT coalesce(dsr > 0.95, false) THEN 'deflated_sharpe' END, CASE WHEN NOT coalesce(psr > 0.95, false) THEN 'probabilistic_sharpe' END,
+      CASE WHEN NOT coalesce(isfinite(lower) AND lower > 1, false) THEN 'bca_profit_factor' END,
       CASE WHEN NOT pp < 0.05 THEN 'permutation' END, CASE WHEN NOT sp < 0.05 THEN 'superiority' END], lambda g: g IS NOT NULL) AS failed FROM al)
     SELECT family, strategy_id, round(dsr, 6) AS dsr, round(psr, 6) AS psr, round(lower, 6) AS lower, round(pp, 6) AS permutation_p, round(sp, 6) AS superiority_p,
       array_to_string(failed, ',') AS failed_gates, len(failed) = 0 AS promoted FROM fl"""
