@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import positions as pos
-from ..session import work_dir
+from ..session import cut_lineage, work_dir
 from ..sources import archive
 from ..streaming import jobs, state
 from . import feed_queries as fq
@@ -89,7 +89,11 @@ def _flat_fills(fills, *columns):
 
 
 def _deliver_mixed(spark, rows, start):
-    """Deliver by day of arrival, and at last a row a year later of an account of its own, which moves the watermark."""
+    """Deliver by day of arrival, and at last a row a year later of an account of its own, which moves the watermark.
+
+    The rows are written first: each delivery then reads a table instead of deriving all rows again.
+    """
+    rows = cut_lineage(rows, "deliveries")
     last = rows.agg(F.max("ts").alias("__ts"), F.first(F.struct(*rows.columns), ignorenulls=True).alias("__row"))
     flush = last.select("__row.*", "__ts").withColumns({"account": F.lit(-1).cast("bigint"), "ts": F.col("__ts") + F.expr("INTERVAL 1 YEAR")}).select(*rows.columns)
     _deliver(spark, rows, "arrives", YEARS, start, flush)

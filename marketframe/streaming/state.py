@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,11 @@ DAY = 86_400_000
 _AT = "__at"
 
 
+def _rankable(column: pd.Series) -> np.ndarray:
+    """Values that sort as numbers; dates and texts, which come as objects, by the places of their distinct values."""
+    return column.to_numpy() if column.dtype != object else pd.factorize(column, sort=True)[0]
+
+
 def _names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
@@ -73,7 +79,7 @@ class InOrder(StatefulProcessor):
         for bucket in sorted(int(b) for (b,) in self.pieces.keys() if b <= last):
             n = self.pieces.getValue((bucket,))[0]
             rows = pd.concat([pa.ipc.open_stream(self.held.getValue((bucket, k))[0]).read_pandas() for k in range(n)])
-            state, out = self.fold(key, state, rows.sort_values(self.order))
+            state, out = self.fold(key, state, rows.iloc[np.lexsort([_rankable(rows[c]) for c in reversed([_AT, *self.order])])])
             for k in range(n):
                 self.held.removeKey((bucket, k))
             self.pieces.removeKey((bucket,))
@@ -110,12 +116,12 @@ class Positions(InOrder):
 
     def fold(self, key, state, rows):
         net, avg, realised, open_pnl = state
-        out = []
-        for r in rows.itertuples(index=False):
-            qty, price, gain, closed = int(r.qty), float(r.price), 0.0, None
+        out = {c: [] for c in ("net", "avg_price", "realised", "gain", "trade_pnl")}
+        for qty, price, multiplier in zip(rows["qty"].tolist(), rows["price"].astype("float64").tolist(), rows["multiplier"].astype("float64").tolist()):
+            gain, closed = 0.0, None
             after = net + qty
             if net * qty < 0:
-                gain = (price - avg) * min(abs(net), abs(qty)) * (1 if net > 0 else -1) * float(r.multiplier)
+                gain = (price - avg) * min(abs(net), abs(qty)) * (1 if net > 0 else -1) * multiplier
                 realised, open_pnl = realised + gain, open_pnl + gain
                 if after * net <= 0:
                     closed, open_pnl = open_pnl, 0.0
@@ -123,8 +129,10 @@ class Positions(InOrder):
             elif after:
                 avg = (avg * abs(net) + price * abs(qty)) / abs(after)
             net = after
-            out.append((key[0], key[1], r.d, qty, net, avg, realised, gain, closed, False))
-        return (net, avg, realised, open_pnl), pd.DataFrame(out, columns=_names(self.OUT))
+            for name, x in zip(out, (net, avg, realised, gain, closed)):
+                out[name].append(x)
+        known = rows[["d", "qty"]].reset_index(drop=True).assign(account=key[0], root=key[1], late=False, **out)
+        return (net, avg, realised, open_pnl), known[_names(self.OUT)]
 
 
 class LossLatch(InOrder):
@@ -144,12 +152,11 @@ class LossLatch(InOrder):
 
     def fold(self, key, state, rows):
         total, peak, halted, session = state
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.session != session:
-                total, peak, halted, session = 0.0, 0.0, False, r.session
-            net, before = int(r.net), int(r.net) - int(r.qty)
-            if abs(net) < abs(before):
+        verdicts, equity = [], []
+        for now, net, qty, gain in zip(rows["session"].tolist(), rows["net"].tolist(), rows["qty"].tolist(), rows["gain"].tolist()):
+            if now != session:
+                total, peak, halted, session = 0.0, 0.0, False, now
+            if abs(net) < abs(net - qty):
                 verdict = "reduce"
             elif halted:
                 verdict = "halted"
@@ -159,9 +166,11 @@ class LossLatch(InOrder):
                 peak = max(peak, total)
                 verdict = "loss_limit" if total <= -self.daily else "trailing_limit" if peak - total >= self.trailing else "allowed"
                 halted = verdict != "allowed"
-            out.append((key[0], session, r.d, verdict, self.start + total, False))
-            total += float(r.gain)
-        return (total, peak, halted, session), pd.DataFrame(out, columns=_names(self.OUT))
+            verdicts.append(verdict)
+            equity.append(self.start + total)
+            total += gain
+        known = rows[["session", "d"]].reset_index(drop=True).assign(account=key[0], verdict=verdicts, equity_before=equity, late=False)
+        return (total, peak, halted, session), known[_names(self.OUT)]
 
 
 def _held(rows: DataFrame, time: str, delay: str) -> DataFrame:
