@@ -6,9 +6,9 @@ samples are also folded into an odd sketch, a bitmap in which sample i flips one
 of the exclusive or of two sketches estimates how many samples differ, and candidates far below the
 threshold are dropped before their sets are fetched.
 
-Texts with equal sets are one class, so copies never multiply. A band's bucket is not paired up: its
-members meet its smallest member, then what stays in different components is compared again, first across
-all stored candidates and at last within the buckets that still hold several components. So no link
+Texts with equal sets are one class, so copies never multiply. A band's bucket is not paired up: a text
+meets the smallest member of all its buckets; what stays in different components is compared again, first
+with the smallest member of each bucket and at last within the buckets that still hold several components. So no link
 between different texts that could join components is left untried. Shingles that only one candidate has
 can be in no intersection; what is left of a set bounds its similarity to any other, and pairs that the
 bound rules out are never made.
@@ -184,34 +184,36 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: int = 75) -> DataF
     most = F.least("m_a", "m_b")  # no intersection is larger
     possible = 100 * most >= threshold * (F.col("n_a") + F.col("n_b") - most)
     likely = possible & (estimated_likeness(F.col("s_a"), F.col("s_b")) >= threshold / 100 - SLACK)
-    starred = shared.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = cut_lineage(starred.join(left, "a").join(right, "b").filter(likely).select("a", "b").distinct(), "pairs")
 
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    def hopeful(candidates: DataFrame) -> DataFrame:
+        return cut_lineage(candidates.join(left, "a").join(right, "b").filter(likely).select("a", "b"), "pairs")
+
+    first = hopeful(shared.filter("node != low").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).select("a", "b"))
     links = copies.union(_confirmed(first, sets, threshold))
     found = components(links)
 
-    def apart(candidates: DataFrame) -> DataFrame:
-        """Candidate pairs whose ends are still in different components."""
-        ca, cb = (found.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in "ab")
-        named = candidates.join(ca, "a", "left").join(cb, "b", "left")
-        return named.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    def placed() -> DataFrame:
+        """Rows of the buckets with the component of each member."""
+        return shared.join(found, "node", "left").select("key", "node", "low", F.coalesce("component", "node").alias("component"))
 
-    rest = cut_lineage(apart(pairs.join(first, ["a", "b"], "left_anti")), "rest")
+    of_low = found.select(F.col("node").alias("low"), F.col("component").alias("of_low"))
+    apart = placed().join(of_low, "low", "left").filter(F.col("component") != F.coalesce("of_low", "low"))
+    rest = hopeful(apart.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(_confirmed(rest, sets, threshold))
         found = components(links)
+    tried = first.union(rest)
 
-    named = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    named = placed()
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2")
     keys = stand.select(F.col("doc_id").alias("node"), "keys")
-    members = cut_lineage(named.join(mixed.select("key"), "key").join(sketch, "node").join(keys, "node"), "mixed")
+    members = cut_lineage(named.drop("low").join(mixed.select("key"), "key").join(sketch, "node").join(keys, "node"), "mixed")
     if not members.isEmpty():
         m, o = (members.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}"), F.col("n_shingles").alias(f"n_{n}"), F.col("common").alias(f"m_{n}"), F.col("sketch").alias(f"s_{n}"), F.col("keys").alias(f"k_{n}")) for n in "ab")
         once = F.get(F.array_intersect("k_a", "k_b"), F.lit(0)) == m.key  # a pair meets in the first bucket that it shares
         across = m.join(o, (m.key == o.key) & (F.col("c_a") < F.col("c_b")) & likely & once)
         across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        last = cut_lineage(across.join(pairs, ["a", "b"], "left_anti"), "untried")
+        last = cut_lineage(across.join(tried, ["a", "b"], "left_anti"), "untried")
         if not last.isEmpty():
             found = components(links.union(_confirmed(last, sets, threshold)))
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import cut_lineage
+
 Scan = Callable[[Iterable[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict]]]
 
 #: The columns of the documents table.
@@ -38,3 +41,23 @@ def scan_texts(df: DataFrame, scan: Scan, new: str, keep: list[str]) -> DataFram
 def with_row(docs: DataFrame) -> DataFrame:
     """Every row whole in ``row``, beside its text and id: extra columns of any name pass through a scan."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """``with_row`` and a ``key`` of each row, ascending with its place, that is the same at every reading.
+
+    Rows of Parquet files are known by their file and place in it, so no text is written again; other
+    rows, or ones that were multiplied after reading, get their keys in a stored copy.
+    """
+    if "_metadata" not in docs.columns:
+        try:
+            at = with_row(docs).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        except AnalysisException:
+            at = None
+        if at is not None:
+            names = sorted(r["file"] for r in at.select("file").distinct().toLocalIterator())
+            files = docs.sparkSession.createDataFrame([(n, i << 40) for i, n in enumerate(names)], "file string, base long")
+            keyed = at.join(F.broadcast(files), "file").select("row", "doc_id", "text", (F.col("base") + F.col("place")).alias("key"))
+            if keyed.groupBy("key").count().filter("count > 1").isEmpty():
+                return keyed
+    return cut_lineage(with_row(docs).withColumn("key", F.monotonically_increasing_id()), "keyed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,26 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Spark drops the shuffle files of what is written meanwhile, once it is written.
+
+    Otherwise they lie on the executors' disks until the driver happens to collect garbage.
+    """
+    before = spark.conf.get(_DROP, None)
+    spark.conf.set(_DROP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP)
+        else:
+            spark.conf.set(_DROP, before)
+
+
 def cut_lineage(df, label: str = "cut"):
     """Write ``df`` to the shared work folder and read it back.
 
@@ -53,7 +74,8 @@ def cut_lineage(df, label: str = "cut"):
     which a cached or locally checkpointed frame does not.
     """
     path = work_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
