@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,10 @@ def slipped_price(price: Column, side: Column, tick: Column, band: str) -> Colum
     return F.when(side == "buy", price + tick * ticks).otherwise(price - tick * ticks)
 
 
-def apply_slippage(fills: DataFrame, band: str = "CONSERVATIVE", slips: DataFrame | None = None, at: str = "filled_at") -> DataFrame:
+def apply_slippage(fills: DataFrame, band: str | Sequence[str] = "CONSERVATIVE", slips: DataFrame | None = None, at: str = "filled_at") -> DataFrame:
     """Market and stop fills move against the trader; limit fills do not.
 
+    Several bands give a row of each fill for every one, named in ``band``, from one reading of the fills.
     ``slips`` (root, valid_from, tick, ticks) takes the place of the constant tick sizes and the band: a fill
     moves by ``tick * ticks`` as in force at its time ``at``.
     """
@@ -25,13 +28,18 @@ def apply_slippage(fills: DataFrame, band: str = "CONSERVATIVE", slips: DataFram
     moved = F.col("order_type").isin("MKT", "STP")
     if slips is None:
         f = with_root_facts(f, "tick")
-        away = slipped_price(F.col("fill_price"), F.col("side"), F.col("tick"), band)
+        if isinstance(band, str):
+            away = slipped_price(F.col("fill_price"), F.col("side"), F.col("tick"), band)
+        else:
+            each = [F.struct(F.lit(b).alias("band"), slipped_price(F.col("fill_price"), F.col("side"), F.col("tick"), b).alias("__away")) for b in band]
+            f = f.select("*", F.inline(F.array(*each)))
+            away = F.col("__away")
     else:
         f = with_facts_as_of(f, slips, ["tick", "ticks"], at)
         move = F.col("tick") * F.col("ticks")
         away = F.when(F.col("side") == "buy", F.col("fill_price") + move).otherwise(F.col("fill_price") - move)
     price = F.when(moved, away).otherwise(F.col("fill_price"))
-    return f.withColumn("slipped_price", price)
+    return f.withColumn("slipped_price", price).drop("__away")
 
 
 def downgrade_orders(orders: DataFrame) -> DataFrame:

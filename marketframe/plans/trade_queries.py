@@ -332,11 +332,7 @@ _J8 = """WITH j AS (SELECT o.order_id, arg_min(b, b.ts) AS h FROM v_orders o JOI
 
 def p7(spark, sf):
     f = pos.fill_orders(v_orders(spark, sf), v_bars(spark, sf)).filter("fill_price IS NOT NULL")
-    out = None
-    for band, _ in dims.SLIPPAGE_BANDS:
-        one = order_ops.apply_slippage(f, band).select("order_id", F.lit(band).alias("band"), "slipped_price")
-        out = one if out is None else out.unionByName(one)
-    return present(out)
+    return present(order_ops.apply_slippage(f, [band for band, _ in dims.SLIPPAGE_BANDS]).select("order_id", "band", "slipped_price"))
 
 
 P7_SQL = tsql(

@@ -7,8 +7,9 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from marketframe.operators import positions
-from marketframe.plans import stream_queries
+from marketframe import dims
+from marketframe.operators import orders, positions
+from marketframe.plans import stream_queries, trade_queries
 
 
 def test_average_cost_needs_no_window_over_fills(spark):
@@ -35,3 +36,15 @@ def test_deliveries_are_derived_once(spark, monkeypatch):
     fills = spark.range(5).select(F.col("id").alias("account"), F.current_timestamp().alias("ts"))
     stream_queries._deliver_mixed(spark, fills, None)
     assert "Range" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bands_share_one_reading_of_the_fills(spark):
+    rows = [("ESH24", side, kind, Decimal(10 + i), i) for i, (side, kind) in enumerate((s, k) for s in ("buy", "sell") for k in ("MKT", "LMT", "STP"))]
+    fills = spark.createDataFrame(rows, "contract string, side string, order_type string, fill_price decimal(20,8), order_id long")
+    bands = [band for band, _ in dims.SLIPPAGE_BANDS]
+    got = {(r.order_id, r.band): r.slipped_price for r in orders.apply_slippage(fills, bands).collect()}
+    assert got == {(r.order_id, b): r.slipped_price for b in bands for r in orders.apply_slippage(fills, b).collect()}
+    assert len(got) == len(rows) * len(bands)
+    plan = trade_queries.p7(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # fills are found once, in partitions of a given number that adaptive execution does not merge
+    assert plan.count("RepartitionByExpression") == 2
