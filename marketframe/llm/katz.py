@@ -57,12 +57,22 @@ def _from_planes(raw: bytes, kind) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Whole numbers of the least width that holds them all."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+    """Whole numbers of the least width that holds them all, packed: most are far below the largest."""
+    return zlib.compress(_planes(x.astype(np.min_scalar_type(int(x.max(initial=0))))), 1)
 
 
 def _from_small(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+    raw = zlib.decompress(raw)
+    return _from_planes(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _reals(x: np.ndarray) -> bytes:
+    """Doubles packed: many are zero, and of the others many are alike."""
+    return zlib.compress(x.tobytes(), 1)
+
+
+def _from_reals(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.float64)
 
 
 def _rows(ddl: str, rows: list[dict]) -> pa.RecordBatch:
@@ -135,7 +145,7 @@ def _ask(number: int, kind: int, keys: np.ndarray, buckets: int, n: np.ndarray,
     for b, lo, hi in zip(some.tolist(), first.tolist(), [*first.tolist()[1:], len(keys)], strict=True):
         row = {"block": number, "kind": kind, "bucket": b, "keys": _planes(np.diff(keys[lo:hi], prepend=np.uint64(0))), "n": _small(n[lo:hi])}
         if given is not None:
-            row |= {"given": given[order[lo:hi]].tobytes(), "lower": lower[order[lo:hi]].tobytes()}
+            row |= {"given": _reals(given[order[lo:hi]]), "lower": _reals(lower[order[lo:hi]])}
         out.append(row)
     return _rows(_ASKED, out)
 
@@ -157,7 +167,7 @@ def _answers(asked: DataFrame, answer) -> DataFrame:
         _, first, key = np.unique(keys, return_index=True, return_inverse=True)
         del keys
         found, more = answer(kind, key, first, n, [r for r, _ in rows])
-        pack = _small if found.dtype == np.int64 else np.ndarray.tobytes
+        pack = _small if found.dtype == np.int64 else _reals
         at = 0
         for r, size in rows:
             yield _rows(_ANSWERS, [{"block": r["block"], "kind": kind, "bucket": bucket, "found": pack(found[at : at + size])}])
@@ -247,7 +257,7 @@ def _counted(kind, key, first, n, rows):
 
 def _weighed(kind, key, first, n, rows):
     """The backoff weight of each history; below zero where it has no discounts and its pairs must shrink."""
-    given, lower = (np.bincount(key, np.concatenate([np.frombuffer(r[c], np.float64) for r in rows])) for c in ("given", "lower"))
+    given, lower = (np.bincount(key, np.concatenate([_from_reals(r[c]) for r in rows])) for c in ("given", "lower"))
     count = n[first]  # the same in every block
     full = (count > 0) & (given >= 1 - 1e-12)
     rest = 1 - np.where(full, given * count / (count + 1), given)
@@ -268,7 +278,7 @@ def _with_answers(blocks: DataFrame, answers: DataFrame, buckets: int, each, ddl
                     if own:
                         order = np.argsort(keys)
                         first = np.searchsorted(_bucket(keys[order], buckets), np.array([a["bucket"] for a in own], np.uint64)).tolist()
-                        read = _from_small if kind != HISTORIES else lambda raw, n: np.frombuffer(raw, np.float64)
+                        read = _from_small if kind != HISTORIES else lambda raw, n: _from_reals(raw)
                         found = np.concatenate([read(a["found"], hi - lo) for a, lo, hi in zip(own, first, [*first[1:], len(keys)], strict=True)])
                         got[kind] = np.empty_like(found)
                         got[kind][order] = found

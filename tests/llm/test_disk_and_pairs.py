@@ -10,10 +10,11 @@ from collections import Counter
 
 import brute
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from marketframe import session
-from marketframe.llm import near_dedup
+from marketframe.llm import katz, near_dedup
 from marketframe.session import cut_lineage
 
 
@@ -70,3 +71,17 @@ def test_large_near_group_makes_one_candidate_per_text(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: c for d, _, c, _ in brute.near_duplicates(docs)}
     assert len(set(got.values())) == 1 and sum(made) < 2 * len(docs)
+
+
+def test_katz_counts_take_the_room_of_small_numbers():
+    """One large count among many small ones does not widen them; zeros and repeated weights take little."""
+    n = np.ones(10_000, np.int64)
+    n[5] = 3_000_000_000
+    raw = katz._small(n)
+    assert len(raw) < 2_000 and (katz._from_small(raw, len(n)) == n).all()
+    w = np.zeros(10_000)
+    w[::50] = 1 / 3
+    raw = katz._reals(w)
+    assert len(raw) < 4_000 and (katz._from_reals(raw) == w).all()
+    none = np.zeros(0, np.int64)
+    assert len(katz._from_small(katz._small(none), 0)) == 0
