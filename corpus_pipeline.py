@@ -12,7 +12,7 @@ from marketframe.llm.bpe import encode_texts
 from marketframe.llm.decontaminate import benchmark_hits, is_contaminated
 from marketframe.llm.near_dedup import near_groups
 from marketframe.llm.queries import fold
-from marketframe.llm.scan import with_key, with_row
+from marketframe.llm.scan import as_row, with_key
 from marketframe.llm.substring_dedup import remove_repeats
 from marketframe.llm.toxicity import learn, score_texts
 from marketframe.session import shuffles_dropped, work_dir
@@ -21,7 +21,7 @@ from marketframe.session import shuffles_dropped, work_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half; labels of fold 0 are not learnt from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold() != 0).select("doc_id", "toxic")
-    return score_texts(with_row(docs), learn(docs, labels), ["row"]).filter("score < 0.5").select("row.*")
+    return score_texts(as_row(docs), learn(docs, labels), ["row"]).filter("score < 0.5").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which under a twentieth stands in benchmark windows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return benchmark_hits(with_row(docs), benchmark, ["row"]).filter(~is_contaminated()).select("row.*")
+    return benchmark_hits(as_row(docs), benchmark, ["row"]).filter(~is_contaminated()).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,8 +166,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, keep: list[str], window: i
     size = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if size > BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes, more than {BENCHMARK_BYTES}: give it in parts")
-    rows = items.select(F.col("item_id").cast("long"), "text").toPandas()
-    phrases = phrases_of([None if i != i else int(i) for i in rows["item_id"]], list(rows["text"]), window)
+    rows = items.select(F.col("item_id").cast("long"), "text").toArrow()
+    phrases = phrases_of(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), window)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(phrases))
 
     def scan(batches):

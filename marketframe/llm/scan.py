@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -23,23 +24,46 @@ def fields(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
+def give_back() -> None:
+    """Workers live on between tasks: what a task has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def _with_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``text`` of a ``row`` beside it, without a copy, where it does not travel as a column of its own."""
+    for batch in batches:
+        yield batch if "text" in batch.schema.names else batch.append_column("text", batch.column("row").field("text"))
+
+
 def scan_texts(df: DataFrame, scan: Scan, new: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``df`` and those that ``scan`` adds to each part of a batch (DDL ``new``)."""
+    """Columns ``keep`` of ``df`` and those that ``scan`` adds to each part of a batch (DDL ``new``).
+
+    The scan finds texts in ``text``; a ``df`` without that column has them in its struct ``row``.
+    """
     added = fields(new)
     schema = T.StructType([df.schema[c] for c in keep] + list(added))
     arrow = to_arrow_schema(schema)
     names = [f.name for f in added]
 
     def run(batches):
-        for part, out in scan(batches):
+        for part, out in scan(_with_text(batches) if "row" in keep else batches):
             columns = [part.column(c) for c in keep] + [out[n] for n in names]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=arrow.names).cast(arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def as_row(docs: DataFrame) -> DataFrame:
+    """Every row whole in ``row``: extra columns of any name pass through a scan, and a text travels once."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def with_row(docs: DataFrame) -> DataFrame:
-    """Every row whole in ``row``, beside its text and id: extra columns of any name pass through a scan."""
+    """``as_row`` beside the row's text and id."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
 
 
@@ -56,7 +80,7 @@ def with_key(docs: DataFrame) -> DataFrame:
             at = None
         if at is not None:
             names = sorted(r["file"] for r in at.select("file").distinct().toLocalIterator())
-            files = docs.sparkSession.createDataFrame([(n, i << 40) for i, n in enumerate(names)], "file string, base long")
+            files = docs.sparkSession.createDataFrame(pa.table({"file": pa.array(names, pa.string()), "base": pa.array([i << 40 for i in range(len(names))], pa.int64())}))  # a list would start Python workers of another kind
             keyed = at.join(F.broadcast(files), "file").select("row", "doc_id", "text", (F.col("base") + F.col("place")).alias("key"))
             if keyed.groupBy("key").count().filter("count > 1").isEmpty():
                 return keyed

@@ -112,8 +112,8 @@ def common_anchors(docs: DataFrame) -> np.ndarray:
     sample = docs.select("text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
     rows = scan_texts(sample, scan, "grams array<long>", [])
     least = max(COMMON_LEAST, int(COMMON_SHARE * sample.count()))
-    found = rows.select(F.explode("grams").alias("g")).groupBy("g").count().filter(F.col("count") >= least).select("g").toPandas()
-    return np.sort(found["g"].to_numpy(np.int64).view(np.uint64))
+    found = rows.select(F.explode("grams").alias("g")).groupBy("g").count().filter(F.col("count") >= least).select("g").toArrow()
+    return np.sort(found.column("g").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _anchor_filter(docs: DataFrame, common, window: int) -> bytes:

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .scan import scan_texts
+from .scan import give_back, scan_texts
 from .words import _POWERS, ALNUM_LOWER, Words, buffers, chunks, list_of, mix64, signed, words_of
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
+#: Buckets that a training step changes at a time, to keep what it makes on the way small.
+PART = 1 << 14
 #: Labelled documents to learn from, at most: this many of each class, those whose id hashes lowest, and
 #: no more than this many characters of whole texts.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_500, 5_000, 60_000_000
@@ -64,10 +66,15 @@ def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return place, which
 
 
-def word_logits(w: Words, place: np.ndarray, model: Model) -> np.ndarray:
-    bucket, owner = word_grams(w.data, w.start[place], w.end[place])
-    n = np.bincount(owner, minlength=len(place))
-    return model.bias + np.bincount(owner, model.weight[bucket], len(place)) / np.maximum(n, 1)
+def word_logits(w: Words, place: np.ndarray, model: Model, step: int = 5_000) -> np.ndarray:
+    """Log odds of the words at ``place``; n-grams are made for a part of them at a time."""
+    out = np.empty(len(place))
+    for at in range(0, len(place), step):
+        some = place[at : at + step]
+        bucket, owner = word_grams(w.data, w.start[some], w.end[some])
+        n = np.bincount(owner, minlength=len(some))
+        out[at : at + step] = model.bias + np.bincount(owner, model.weight[bucket], len(some)) / np.maximum(n, 1)
+    return out
 
 
 class Bags(NamedTuple):
@@ -98,13 +105,13 @@ def _distinct_words(texts: DataFrame) -> DataFrame:
     return texts.select("number", "toxic", "text").mapInArrow(run, "number long, toxic boolean, hashes array<long>, words array<binary>")
 
 
-def _bags(docs: pa.Table, words: pa.Table, step: int = 20_000) -> Bags:
+def _bags(docs: pa.Table, words: pa.Table, step: int = 5_000) -> Bags:
     """Bags from distinct words by text and the words' bytes; n-grams are made for a part of the words at a time."""
     hashes = docs.column("hashes").combine_chunks()
     doc = np.repeat(np.arange(docs.num_rows, dtype=np.int32), np.diff(hashes.offsets.to_numpy()))
     value = words.column("hash").to_numpy()
     order = np.argsort(value)
-    word = order[np.searchsorted(value, hashes.flatten().to_numpy(), sorter=order)]
+    word = order.astype(np.int32)[np.searchsorted(value, hashes.flatten().to_numpy(), sorter=order)]
     buckets, counts = [], []
     for at in range(0, words.num_rows, step):
         raw, off = buffers(words.column("word").slice(at, step).combine_chunks())
@@ -161,12 +168,16 @@ def train(bags: Bags, toxic: np.ndarray, dim: int = 8, rounds: int = 4, epochs:
                 t = weight[pick]
                 error = (p * t.sum(1, keepdims=True) - t) / t.sum()
                 back = (error @ params[1].T) / many[:, None]
-                grads = [np.stack([np.bincount(bucket[rows], np.repeat(back[:, k], many), BUCKETS) for k in range(dim)], 1).astype(np.float32), mean.T @ error, error.sum(0)]
+                grads = [np.empty_like(params[0]), mean.T @ error, error.sum(0)]
+                for k in range(dim):
+                    grads[0][:, k] = np.bincount(bucket[rows], np.repeat(back[:, k], many), BUCKETS)
                 step += 1
-                for i, g in enumerate(grads):
-                    moment[i] += 0.1 * (g - moment[i])
-                    spread[i] += 0.01 * (g * g - spread[i])
-                    params[i] -= rate * (moment[i] / (1 - 0.9**step)) / (np.sqrt(spread[i] / (1 - 0.99**step)) + 1e-8)
+                for p, m, s, g in zip(params, moment, spread, grads, strict=True):
+                    for a in range(0, len(p), PART):
+                        b = slice(a, a + PART)
+                        m[b] += 0.1 * (g[b] - m[b])
+                        s[b] += 0.01 * (g[b] * g[b] - s[b])
+                        p[b] -= rate * (m[b] / (1 - 0.9**step)) / (np.sqrt(s[b] / (1 - 0.99**step)) + 1e-8)
         scale = (params[0] @ (params[1][:, 1] - params[1][:, 0])).astype(np.float32)
         odds = np.concatenate([np.add.reduceat(scale[bucket[first[a] : first[min(a + batch, n)]]], first[a : min(a + batch, n)] - first[a]) for a in range(0, n, batch)]) / count
         # a word's part of its text's label
@@ -198,13 +209,42 @@ def _calibrated(weight: np.ndarray, best: np.ndarray, toxic: np.ndarray) -> Mode
     return Model(weight * (a / width), float(b - a * centre / width))
 
 
+def _trained(texts: DataFrame, words: DataFrame) -> Model:
+    """The model of (number, toxic, hashes) and (hash, word), trained in one task: the sample bounds what it holds."""
+    none = {"toxic": F.lit(None).cast("boolean"), "hashes": F.lit(None).cast("array<long>"), "word": F.lit(None).cast("binary")}
+    first = words.select(F.lit(0).alias("kind"), F.col("hash").alias("at"), "word").withColumns({c: none[c] for c in ("toxic", "hashes")})
+    then = texts.select(F.lit(1).alias("kind"), F.col("number").alias("at"), "toxic", "hashes").withColumn("word", none["word"])
+    rows = first.unionByName(then).repartition(1).sortWithinPartitions("kind", "at").select("kind", F.col("at").alias("hash"), "toxic", "hashes", "word")
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        n = int((table.column("kind").to_numpy() == 0).sum())
+        toxic, bags = table.column("toxic").slice(n).to_numpy(), _bags(table.slice(n), table.slice(0, n))
+        held.clear()
+        del table
+        give_back()
+        model = train(bags, toxic)
+        del bags
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype(np.float64).tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weight", "bias"])
+
+    made = rows.mapInArrow(run, "weight binary, bias double").first()
+    if made is None:  # no text to learn from
+        return train(_bags(pa.table({"hashes": pa.array([], pa.list_(pa.int64()))}), pa.table({"hash": pa.array([], pa.int64()), "word": pa.array([], pa.binary())})), np.zeros(0, bool))
+    return Model(np.frombuffer(made["weight"]), made["bias"])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of ``labels`` (doc_id, toxic): ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents.
 
     The sample is taken by hash of the id, the same on any partitioning; its texts are whole, and a text that
     would pass ``SAMPLE_CHARS`` in all is left out. A document of several rows is learnt from its least text, one of
     several labels is toxic if one says so. Null labels and labels without a document are left out. Words are
-    found by the tasks; the driver gets numbers of words by text and each distinct word once.
+    found by the tasks; one of them gets numbers of words by text and each distinct word once, and the driver
+    gets the weights.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -215,9 +255,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = rows.select("doc_id", F.length("text").alias("size")).withColumns({"number": F.row_number().over(place).cast("long"), "upto": F.sum("size").over(place)})
     rows = rows.join(F.broadcast(sizes.filter(F.col("upto") <= SAMPLE_CHARS).select("doc_id", "number")), "doc_id")
     found = cut_lineage(_distinct_words(rows), "words")
-    texts = found.select("number", "toxic", "hashes").orderBy("number").toArrow()
     pairs = found.select(F.explode(F.arrays_zip("hashes", "words")).alias("w")).groupBy(F.col("w.hashes").alias("hash")).agg(F.min("w.words").alias("word"))
-    return train(_bags(texts, pairs.orderBy("hash").toArrow()), texts.column("toxic").to_numpy())
+    return _trained(found.select("number", "toxic", "hashes"), pairs)
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
